@@ -109,6 +109,15 @@ def row_pairs(between: str) -> str:
     return f"list_sort(list_filter([{items}], lambda x: x IS NOT NULL))"
 
 
+def row_json() -> str:
+    """The non-blank cells as JSON, in header order."""
+    items = ", ".join(
+        f"CASE WHEN {clean(c)} <> '' THEN {{'key': '{h}', 'value': {clean(c)}}} END"
+        for h, c in sorted(HEADERS.items())
+    )
+    return f"CAST(to_json(list_filter([{items}], lambda x: x IS NOT NULL)) AS VARCHAR)"
+
+
 def records(rows: str, name: str = "rec") -> str:
     """CTEs that make project records of the raw rows `rows`."""
     basis = "coalesce(project_id, nullif(concat_ws('|', project_name, substation_or_node), ''), 'unknown')"
@@ -122,7 +131,7 @@ def records(rows: str, name: str = "rec") -> str:
     {nullable(clean('q_state'))} AS state, CAST(NULL AS VARCHAR) AS zone,
     {nullable(clean('q_fuel'))} AS fuel_type,
     array_to_string({row_pairs("'='")}, ';') AS source_row,
-    array_to_string({row_pairs('chr(30)')}, chr(31)) AS row_mark
+    {row_json()} AS row_mark
   FROM ({rows})),
 {name}_1 AS (
   SELECT *, CASE WHEN {sanitize(basis)} = 'unknown'

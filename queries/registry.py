@@ -28,6 +28,7 @@ from tidemark.vocabulary import (
     STATE,
     STATUS,
     TRACKED_FIELDS,
+    WITHDRAWN_DATE,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,13 +121,22 @@ def status_normalize(spark, sf):
     )
 
 
+def _looked_up(spark, sf) -> tuple[DataFrame, ColumnLookup]:
+    lookup = ColumnLookup(fx.HEADERS)
+    return lookup.prepare(fx.raw_rows(spark, sf)), lookup
+
+
 @query
 def status_infer(spark, sf):
-    lookup = ColumnLookup(fx.HEADERS)
-    return fx.raw_rows(spark, sf).select(
+    rows, lookup = _looked_up(spark, sf)
+    rows = rows.select(
+        "ord", lookup.value(STATUS).alias("raw"), lookup.value(WITHDRAWN_DATE).alias("withdrawn")
+    )
+    raw, withdrawn = F.col("raw"), F.col("withdrawn")
+    return rows.select(
         "ord",
-        rec.infer_status(lookup).alias("status"),
-        rec.infer_status(lookup, whole_words=True).alias("strict_status"),
+        rec.infer_status(raw, withdrawn).alias("status"),
+        rec.infer_status(raw, withdrawn, whole_words=True).alias("strict_status"),
     )
 
 
@@ -147,12 +157,13 @@ def capacity_choice(spark, sf):
     lookup = ColumnLookup(
         ["NET MW POI", "Summer Output", "Nameplate", "Storage MWh", "Updated MW"]
     )
-    return rows.select("ord", lookup.capacity().alias("chosen")).select("ord", "chosen.*")
+    chosen = lookup.prepare(rows).select("ord", lookup.capacity().alias("chosen"))
+    return chosen.select("ord", "chosen.*")
 
 
 @query
 def alias_resolve(spark, sf):
-    lookup = ColumnLookup(fx.HEADERS)
+    rows, lookup = _looked_up(spark, sf)
     fields = {
         "project_id": PROJECT_ID,
         "project_name": PROJECT_NAME,
@@ -163,21 +174,25 @@ def alias_resolve(spark, sf):
         "state": STATE,
         "fuel": FUEL,
     }
-    return fx.raw_rows(spark, sf).select(
+    return rows.select(
         "ord", *[lookup.value(aliases).alias(name) for name, aliases in fields.items()]
     )
 
 
 @query
 def project_keys(spark, sf):
-    lookup = ColumnLookup(fx.HEADERS)
-    key = rec.project_key(
+    rows, lookup = _looked_up(spark, sf)
+    basis = rec.key_basis(
         lookup.value(PROJECT_ID), lookup.value(PROJECT_NAME), lookup.value(NODE)
     )
-    odd = rec.project_key(
-        F.when(F.col("ord") % 2 == 0, F.lit("---")), F.lit(None).cast("string"), F.lit(None).cast("string")
+    odd = F.when(F.col("ord") % 2 == 0, F.lit("---")).otherwise("unknown")
+    keyed = rec.with_project_key(rows.select("ord", basis.alias("basis"), odd.alias("odd")))
+    odd_keys = rec.with_project_key(
+        keyed.select("ord", "odd", F.col("project_key").alias("usual")), "odd"
+    )
+    return odd_keys.select(
+        "ord", F.col("usual").alias("project_key"), F.col("project_key").alias("odd_key")
     )
-    return fx.raw_rows(spark, sf).select("ord", key.alias("project_key"), odd.alias("odd_key"))
 
 
 @query
@@ -197,10 +212,9 @@ def sanitize_keys(spark, sf):
 
 @query
 def source_row_map(spark, sf):
-    rows = fx.raw_rows(spark, sf)
-    return rows.select(
-        "ord", rec.source_row(ColumnLookup(fx.HEADERS).entries()).alias("source_row")
-    ).select("ord", flat_map("source_row").alias("source_row"))
+    rows, lookup = _looked_up(spark, sf)
+    rows = rows.select("ord", lookup.source_row().alias("source_row"))
+    return rows.select("ord", flat_map("source_row").alias("source_row"))
 
 
 @query

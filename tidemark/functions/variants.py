@@ -24,16 +24,19 @@ def member(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f"$.{key}", "variant")
 
 
-def member_kind(value: Column, key: str) -> Column:
-    """absent, null, boolean, integer, number, string or other."""
-    kind = F.schema_of_variant(member(value, key))
+def member_schema(value: Column, key: str) -> Column:
+    return F.schema_of_variant(member(value, key))
+
+
+def schema_kind(schema: Column) -> Column:
+    """absent, null, boolean, integer, number, string or other, from a VARIANT's schema."""
     return (
-        F.when(kind.isNull(), "absent")
-        .when(kind == "VOID", "null")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "BIGINT", "integer")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "number")
-        .when(kind == "STRING", "string")
+        F.when(schema.isNull(), "absent")
+        .when(schema == "VOID", "null")
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema == "BIGINT", "integer")
+        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "number")
+        .when(schema == "STRING", "string")
         .otherwise("other")
     )
 

@@ -14,10 +14,9 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import (
-    as_column,
     clean_cell,
     half_even,
     normalize_header,
@@ -44,134 +43,162 @@ def is_capacity_header(name: Column) -> Column:
     return name.rlike("|".join(CAPACITY_HINTS)) & ~name.rlike("|".join(CAPACITY_EXCLUDES))
 
 
-def _best_capacity(candidates: Column) -> Column:
-    """Largest positive number, else the largest; the earlier column wins a tie.
+def _ranked(number: Column, position: Column, header: Column) -> Column:
+    """Orders candidates: positive first, then by size; the earlier column wins a tie."""
+    return F.struct(
+        (number > 0).alias("positive"),
+        number.alias("number"),
+        (-position).alias("earliness"),
+        header.alias("header"),
+    )
 
-    `candidates` is ARRAY<STRUCT<number, position, header>>, in column order.
-    """
-    ranked = F.transform(
-        candidates,
-        lambda c: F.struct(
-            (c["number"] > 0).alias("positive"),
-            c["number"].alias("number"),
-            (-c["position"]).alias("earliness"),
-            c["header"].alias("header"),
+
+def _best_capacity(candidates: Column) -> Column:
+    best = F.array_max(F.filter(candidates, lambda c: c["number"].isNotNull()))
+    return F.transform(
+        F.array(best),
+        lambda b: F.struct(
+            half_even(b["number"]).alias("capacity_mw"),
+            b["header"].alias("capacity_source_field"),
         ),
-    )
-    best = F.array_max(ranked)
-    return F.struct(
-        half_even(best["number"]).alias("capacity_mw"),
-        best["header"].alias("capacity_source_field"),
-    ).cast(CAPACITY_TYPE)
+    )[0].cast(CAPACITY_TYPE)
 
 
 class ColumnLookup:
-    """Aliases over named columns."""
+    """Aliases over named columns.
 
-    def __init__(self, headers: Sequence[str], cleaned: bool = False):
-        self.headers = list(headers)
-        self._cells = {
-            h: (F.col(f"`{h}`") if cleaned else clean_cell(F.col(f"`{h}`"))) for h in self.headers
-        }
+    `prepare` cleans every cell once, into one array. Cleaning them as separate
+    columns would repeat its code for each, into a generated method too large
+    for the JVM to compile.
+    """
 
-    def _by_name(self, name: str) -> list[str]:
-        return [h for h in self.headers if header_name(h) == name]
+    def __init__(self, headers: Sequence[str]):
+        self.headers = list(headers)
+        self.names = [header_name(h) for h in self.headers]
+
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        cells = F.array(*[F.col(f"`{h}`").cast("string") for h in self.headers])
+        cleaned = rows.withColumn("_cells", F.transform(cells, lambda c: clean_cell(c)))
+        return cleaned.withColumn(
+            "_values", F.transform("_cells", lambda c: nullable_cell(c))
+        ).drop(*self.headers)
+
+    def _is_first(self, index: int) -> Column:
+        """The cell has text and no earlier column of the same name has any."""
+        earlier = [j for j in range(index) if self.names[j] == self.names[index]]
+        return reduce(
+            lambda a, b: a & b,
+            [F.get("_cells", F.lit(j)) == "" for j in earlier],
+            F.get("_cells", F.lit(index)) != "",
+        )
 
     def value(self, aliases: Sequence[str]) -> Column:
         options = []
         for alias in aliases:
-            cells = [self._cells[h] for h in self._by_name(alias)]
-            if cells:
-                filled = [F.when(c != "", c) for c in cells]
-                first = filled[0] if len(filled) == 1 else F.coalesce(*filled)
-                options.append(nullable_cell(first))
-        if not options:
-            return F.lit(None).cast("string")
-        return options[0] if len(options) == 1 else F.coalesce(*options)
+            same = [i for i, name in enumerate(self.names) if name == alias]
+            if len(same) == 1:
+                options.append(F.get("_values", F.lit(same[0])))
+            elif same:
+                options.append(
+                    F.coalesce(
+                        *[F.when(self._is_first(i), F.get("_values", F.lit(i))) for i in same]
+                    )
+                )
+        return F.coalesce(*options) if options else F.lit(None).cast("string")
 
     def capacity(self) -> Column:
-        found = []
-        for position, header in enumerate(self.headers):
-            name = header_name(header)
-            if not is_capacity_name(name):
-                continue
-            cell = self._cells[header]
-            earlier = [self._cells[h] for h in self.headers[:position] if header_name(h) == name]
-            usable = reduce(lambda a, b: a & b, [c == "" for c in earlier], cell != "")
-            number = parse_numeric(F.when(usable, cell))
-            found.append(
-                F.when(
-                    number.isNotNull(),
-                    F.struct(
-                        number.alias("number"),
-                        F.lit(position).alias("position"),
-                        F.lit(header).alias("header"),
-                    ),
-                )
+        found = [
+            F.struct(
+                F.when(self._is_first(i), F.get("_cells", F.lit(i))).alias("text"),
+                F.lit(i).alias("position"),
+                F.lit(self.headers[i]).alias("header"),
             )
+            for i, name in enumerate(self.names)
+            if is_capacity_name(name)
+        ]
         if not found:
             return F.lit(None).cast(CAPACITY_TYPE)
-        return _best_capacity(F.array_compact(F.array(*found)))
+        return _best_capacity(
+            F.transform(
+                F.array(*found), lambda c: _ranked(parse_numeric(c["text"]), c["position"], c["header"])
+            )
+        )
 
-    def entries(self) -> Column:
-        """Non-blank cells in column order."""
-        pairs = [
-            F.when(cell != "", F.struct(F.lit(h).alias("header"), cell.alias("value")))
-            for h, cell in self._cells.items()
-        ]
-        return F.array_compact(F.array(*pairs)).cast(ENTRY_TYPE)
+    def source_row(self, limit: int = 80) -> Column:
+        """MAP of the non-blank cells: keys to 80 and values to 500 characters."""
+        short = [h[:80] for h in self.headers]
+        names = F.array(*[F.lit(h) for h in self.headers])
+        if len(short) > limit or len(set(short)) < len(short):
+            pairs = F.arrays_zip(names.alias("header"), F.col("_cells").alias("value"))
+            return compact_row(F.filter(pairs, lambda e: e["value"] != ""), limit)
+        return F.map_filter(
+            F.map_from_arrays(
+                F.array(*[F.lit(h) for h in short]),
+                F.transform("_cells", lambda c: F.substring(c, 1, 500)),
+            ),
+            lambda _, value: value != "",
+        )
 
 
 class EntryLookup:
-    """Aliases over an array of keyed cells and the map built from it.
+    """Aliases over rows that carry their cells as ARRAY<STRUCT<header, value>> `entries`.
 
-    `names` is the map column `name_map` makes; keep it as a column of its own
-    so that it is built once per row, not once per alias.
+    `prepare` builds the map from normalised header to value once per row.
     """
 
-    def __init__(self, entries: Column | str = "entries", names: Column | str = "names"):
-        self._entries = as_column(entries)
-        self._names = as_column(names)
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        named = rows.withColumn(
+            "_names", F.transform("entries", lambda e: normalize_header(e["header"]))
+        )
+        # The first of several entries with the same normalised header counts.
+        firsts = F.filter(
+            F.arrays_zip(F.col("_names").alias("name"), F.col("entries").alias("entry")),
+            lambda e, i: F.array_position(F.col("_names"), e["name"]) == i + 1,
+        )
+        firsts = named.withColumn("_firsts", firsts)
+        usable = F.filter(
+            F.transform(
+                "_firsts",
+                lambda e: F.struct(
+                    e["name"].alias("key"), nullable_cell(e["entry"]["value"]).alias("value")
+                ),
+            ),
+            lambda e: e["value"].isNotNull(),
+        )
+        return firsts.withColumn("_values", F.map_from_entries(usable))
 
     def value(self, aliases: Sequence[str]) -> Column:
-        options = [nullable_cell(F.try_element_at(self._names, F.lit(a))) for a in aliases]
-        return options[0] if len(options) == 1 else F.coalesce(*options)
+        return F.coalesce(*[F.try_element_at("_values", F.lit(a)) for a in aliases])
 
     def capacity(self) -> Column:
-        firsts = first_of_each_name(self._entries)
         candidates = F.transform(
-            firsts,
-            lambda e, i: F.struct(
-                F.when(is_capacity_header(e["name"]), parse_numeric(e["value"])).alias("number"),
-                i.alias("position"),
-                e["header"].alias("header"),
+            "_firsts",
+            lambda e, i: _ranked(
+                F.when(is_capacity_header(e["name"]), parse_numeric(e["entry"]["value"])),
+                i,
+                e["entry"]["header"],
             ),
         )
-        return _best_capacity(F.filter(candidates, lambda c: c["number"].isNotNull()))
+        return _best_capacity(candidates)
 
-    def entries(self) -> Column:
-        return self._entries
+    def source_row(self, limit: int = 80) -> Column:
+        return compact_row(F.col("entries"), limit)
 
 
-def first_of_each_name(entries: Column) -> Column:
-    """ARRAY<STRUCT<name, header, value>>: the first entry of every normalised header."""
-    named = F.transform(
+def compact_row(entries: Column, limit: int = 80) -> Column:
+    """MAP of at most `limit` entries, keys to 80 and values to 500 characters."""
+    short = F.transform(
         entries,
         lambda e: F.struct(
-            normalize_header(e["header"]).alias("name"),
-            e["header"].alias("header"),
-            e["value"].alias("value"),
+            F.substring(e["header"], 1, 80).alias("key"),
+            F.substring(e["value"], 1, 500).alias("value"),
         ),
     )
-    names = F.transform(entries, lambda e: normalize_header(e["header"]))
-    return F.when(F.size(F.array_distinct(names)) == F.size(names), named).otherwise(
-        F.filter(named, lambda e, i: F.array_position(names, e["name"]) == i + 1)
-    )
-
-
-def name_map(entries: Column | str = "entries") -> Column:
-    """MAP of normalised header to value, for `EntryLookup`."""
-    firsts = first_of_each_name(as_column(entries))
-    return F.map_from_entries(
-        F.transform(firsts, lambda e: F.struct(e["name"].alias("key"), e["value"].alias("value")))
+    keys = F.transform(entries, lambda e: F.substring(e["header"], 1, 80))
+    # Long headers can share their first 80 characters: first place, last value.
+    merged = F.transform(
+        F.array_distinct(keys),
+        lambda k: F.element_at(F.filter(short, lambda x: x["key"] == k), -1),
     )
+    distinct = F.when(F.size(F.array_distinct(keys)) == F.size(keys), short).otherwise(merged)
+    return F.map_from_entries(F.slice(distinct, 1, limit))

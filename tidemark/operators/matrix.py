@@ -82,26 +82,27 @@ def fill_down_headers(matrix: DataFrame, block_rows: int | None = BLOCK_ROWS) ->
     )
 
 
-def zip_row(header: Column | str = "header", cells: Column | str = "cells") -> Column:
-    """ARRAY<STRUCT<header, value>> of the cells that have a header and a value.
+def zip_rows(rows: DataFrame) -> DataFrame:
+    """Adds `entries`: ARRAY<STRUCT<header, value>> of the cells with a header and a value.
 
     A header met again in the row gets the suffix " 2", " 3", ...; only cells
     with a value count.
     """
-    names, values = as_column(header), as_column(cells)
     pairs = F.filter(
         F.transform(
-            names,
+            "header",
             lambda h, i: F.struct(
-                h.alias("header"), F.coalesce(F.get(values, i), F.lit("")).alias("value")
+                h.alias("header"), F.coalesce(F.get("cells", i), F.lit("")).alias("value")
             ),
         ),
         lambda e: (e["header"] != "") & (e["value"] != ""),
     ).cast(ENTRY_TYPE)
-    used = F.transform(pairs, lambda e: e["header"])
-    return F.when(F.size(F.array_distinct(used)) == F.size(used), pairs).otherwise(
-        F.aggregate(pairs, F.array().cast(ENTRY_TYPE), _append_renamed)
-    )
+    paired = rows.withColumn("_pairs", pairs)
+    used = F.col("_pairs.header")
+    entries = F.when(
+        F.size(F.array_distinct(used)) == F.size(used), F.col("_pairs")
+    ).otherwise(F.aggregate("_pairs", F.array().cast(ENTRY_TYPE), _append_renamed))
+    return paired.withColumn("entries", entries).drop("_pairs")
 
 
 def _append_renamed(done: Column, entry: Column) -> Column:
@@ -121,12 +122,13 @@ def _append_renamed(done: Column, entry: Column) -> Column:
 
 def keyed_rows(matrix: DataFrame, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Matrix to rows ready for `records_from_entries`."""
-    return fill_down_headers(clean_cells(matrix), block_rows).select(
+    filled = fill_down_headers(clean_cells(matrix), block_rows)
+    return zip_rows(filled).select(
         "source_queue_id",
         "doc_id",
         "ord",
         F.col("sheet").alias("source_location"),
         F.col("row_number").alias("source_row_number"),
         "source_header_row_number",
-        zip_row().alias("entries"),
+        "entries",
     )

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import half_even, nullable, parse_numeric, status_word, strip
-from tidemark.functions.variants import json_object, member_kind, member_text
+from tidemark.functions.variants import json_object, member_schema, member_text, schema_kind
+from tidemark.operators.once import computed_once
 from tidemark.operators.records import SCORE_TYPE
 from tidemark.vocabulary import (
     ALLOWED_STATUSES,
@@ -44,53 +45,69 @@ LEAD_RULES = (
 )
 
 
-def _text_member(value: Column, key: str) -> Column:
-    text = member_text(value, key)
-    # Booleans read as words with a capital letter.
-    spelled = F.when(member_kind(value, key) == "boolean", F.initcap(text)).otherwise(text)
-    return nullable(spelled)
-
-
 def validate_extractions(responses: DataFrame, column: str = "response") -> DataFrame:
     """Five typed fields from response text; `error` tells why a response is not valid.
 
     The fields are null whenever there is an error.
     """
-    parsed = responses.withColumn("_value", json_object(column))
     value = F.col("_value")
-    kind = {key: member_kind(value, key) for key in REQUIRED_KEYS}
-    missing = F.array_compact(
-        F.array(*[F.when(kind[key] == "absent", F.lit(key)) for key in REQUIRED_KEYS])
+    parsed = computed_once(responses, {"_value": json_object(column)})
+    kinds = F.transform(
+        F.array(*[member_schema(value, key) for key in REQUIRED_KEYS]), lambda k: schema_kind(k)
     )
-    number = half_even(parse_numeric(member_text(value, "capacity_mw")))
-    capacity = F.when(
-        kind["capacity_mw"].isin("integer", "number", "string"), number
+    parsed = computed_once(
+        parsed,
+        {
+            "_kinds": kinds,
+            **{f"_text_{key}": member_text(value, key) for key in REQUIRED_KEYS},
+        },
     )
-    bad_capacity = (kind["capacity_mw"] != "null") & capacity.isNull()
-    status = F.when(
-        kind["status"] == "string", status_word(member_text(value, "status"))
+
+    def kind(key: str) -> Column:
+        return F.get("_kinds", F.lit(REQUIRED_KEYS.index(key)))
+
+    def text(key: str) -> Column:
+        raw = F.col(f"_text_{key}")
+        # Booleans read as words with a capital letter.
+        return nullable(F.when(kind(key) == "boolean", F.initcap(raw)).otherwise(raw))
+
+    number = half_even(parse_numeric("_text_capacity_mw"))
+    typed = computed_once(
+        parsed,
+        {
+            "_missing": F.array_join(
+                F.array_compact(
+                    F.array(*[F.when(kind(k) == "absent", F.lit(k)) for k in REQUIRED_KEYS])
+                ),
+                ", ",
+            ),
+            "_capacity": F.when(kind("capacity_mw").isin("integer", "number", "string"), number),
+            "_status": F.when(kind("status") == "string", status_word("_text_status")),
+            "_id": text("interconnection_queue_id"),
+            "_node": text("substation_or_node"),
+            "_developer": text("developer_name"),
+        },
     )
-    error = (
+    checked = typed.withColumn(
+        "error",
         F.when(value.isNull(), NOT_AN_OBJECT)
         .when(
-            F.size(missing) > 0,
-            F.concat(F.lit("Response missing required keys: "), F.array_join(missing, ", ")),
+            F.col("_missing") != "",
+            F.concat(F.lit("Response missing required keys: "), "_missing"),
         )
-        .when(bad_capacity, BAD_CAPACITY)
-        .when(status.isNull(), BAD_STATUS_VALUE)
+        .when((kind("capacity_mw") != "null") & F.col("_capacity").isNull(), BAD_CAPACITY)
+        .when(F.col("_status").isNull(), BAD_STATUS_VALUE),
     )
-    checked = parsed.withColumn("error", error)
-    valid = F.col("error").isNull()
     fields = {
-        "interconnection_queue_id": _text_member(value, "interconnection_queue_id"),
-        "capacity_mw": capacity,
-        "substation_or_node": _text_member(value, "substation_or_node"),
-        "status": status,
-        "developer_name": _text_member(value, "developer_name"),
+        "interconnection_queue_id": "_id",
+        "capacity_mw": "_capacity",
+        "substation_or_node": "_node",
+        "status": "_status",
+        "developer_name": "_developer",
     }
     return checked.select(
         *responses.columns,
-        *[F.when(valid, column).alias(name) for name, column in fields.items()],
+        *[F.when(F.col("error").isNull(), F.col(c)).alias(name) for name, c in fields.items()],
         "error",
     )
 
@@ -142,7 +159,7 @@ def validate_leads(bodies: DataFrame, created_at: Column, origin: str) -> DataFr
     """
     body = F.coalesce(F.when(F.col("body") != "", F.col("body")), F.lit("{}"))
     whole = F.try_parse_json(body)
-    value = F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole)
+    value = F.when(F.schema_of_variant("_whole").startswith("OBJECT"), F.col("_whole"))
 
     def field(name: str) -> Column:
         text = F.coalesce(member_text(F.col("_value"), name), F.lit(""))
@@ -150,7 +167,8 @@ def validate_leads(bodies: DataFrame, created_at: Column, origin: str) -> DataFr
 
     fields = {name: field(name) for name in ("company", "role", "territories", "use_case", "name")}
     fields["email"] = F.lower(field("email"))
-    read = bodies.withColumns({"_whole": whole, "_value": value}).withColumns(fields)
+    parsed = computed_once(bodies, {"_whole": whole})
+    read = computed_once(computed_once(parsed, {"_value": value}), fields)
     failing = {
         "email": ~F.col("email").rlike(EMAIL),
         **{name: F.col(name) == "" for name, _ in LEAD_RULES[1:]},

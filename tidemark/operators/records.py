@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.text import any_token, half_even, sanitize_key, status_word
-from tidemark.operators.lookup import ColumnLookup, EntryLookup, header_name, name_map
+from tidemark.functions.text import any_token, normalize_header, sanitize_key, status_word
+from tidemark.operators.lookup import ColumnLookup, EntryLookup
+from tidemark.operators.once import computed_once
 from tidemark.operators.ranking import top_per_group
 from tidemark.vocabulary import (
     AUTO_REVIEWED,
@@ -31,8 +32,8 @@ from tidemark.vocabulary import (
 )
 
 SCORE_TYPE = "decimal(3,2)"
-# Between the parts of a fingerprint; cleaned cells cannot contain either.
-_FIELD_MARK, _PAIR_MARK = "\x1f", "\x1e"
+# Between the parts of a fingerprint; cleaned cells cannot contain it.
+_FIELD_MARK = "\x1f"
 
 RECORD_COLUMNS = (
     "source_queue_id",
@@ -60,49 +61,35 @@ RECORD_COLUMNS = (
 
 
 # --- field rules --------------------------------------------------------------
-def infer_status(lookup: ColumnLookup | EntryLookup, whole_words: bool = False) -> Column:
+def infer_status(raw: Column, withdrawn: Column, whole_words: bool = False) -> Column:
     """Withdrawal date, then status word, then a token in the status, else Active.
 
     Tokens match anywhere in the text ("Final" holds "ina"). `whole_words` makes
     them match words only.
     """
-    raw = lookup.value(STATUS)
     lowered = F.lower(raw)
-    return (
-        F.when(lookup.value(WITHDRAWN_DATE).isNotNull(), "Withdrawn")
-        .when(status_word(raw).isNotNull(), status_word(raw))
-        .when(any_token(lowered, WITHDRAWN_TOKENS, whole_words), "Withdrawn")
-        .when(any_token(lowered, COMPLETED_TOKENS, whole_words), "Completed")
-        .otherwise("Active")
+    return F.coalesce(
+        F.when(withdrawn.isNotNull(), "Withdrawn"),
+        status_word(raw),
+        F.when(any_token(lowered, WITHDRAWN_TOKENS, whole_words), "Withdrawn"),
+        F.when(any_token(lowered, COMPLETED_TOKENS, whole_words), "Completed"),
+        F.lit("Active"),
     )
 
 
-def project_key(project_id: Column, project_name: Column, node: Column) -> Column:
-    """Id, else name|node, as a safe key of at most 120 characters."""
+def key_basis(project_id: Column, project_name: Column, node: Column) -> Column:
+    """What a project is known by: its id, else name|node."""
     named = F.concat_ws("|", project_name, node)
-    basis = F.coalesce(project_id, F.when(named != "", named), F.lit("unknown"))
-    safe = sanitize_key(basis)
-    digest = F.concat(F.lit("project-"), F.substring(F.sha2(basis, 256), 1, 16))
-    return F.when(safe == "unknown", digest).otherwise(F.substring(safe, 1, 120))
-
-
-def source_row(entries: Column, limit: int = 80) -> Column:
-    """MAP of the row as read: at most `limit` cells, keys to 80 and values to 500 characters."""
-    short = F.transform(
-        entries,
-        lambda e: F.struct(
-            F.substring(e["header"], 1, 80).alias("key"),
-            F.substring(e["value"], 1, 500).alias("value"),
-        ),
-    )
-    keys = F.transform(short, lambda e: e["key"])
-    # Two long headers can share their first 80 characters: first place, last value.
-    last_value = lambda e: F.element_at(F.filter(short, lambda x: x["key"] == e["key"]), -1)
-    merged = F.transform(
-        F.filter(short, lambda e, i: F.array_position(keys, e["key"]) == i + 1), last_value
-    )
-    distinct = F.when(F.size(F.array_distinct(keys)) == F.size(keys), short).otherwise(merged)
-    return F.map_from_entries(F.slice(distinct, 1, limit))
+    return F.coalesce(project_id, F.nullif(named, F.lit("")), F.lit("unknown"))
+
+
+def with_project_key(rows: DataFrame, basis: str = "basis") -> DataFrame:
+    """Adds project_key: the basis as a safe key of at most 120 characters."""
+    digest = F.concat(F.lit("project-"), F.substring(F.sha2(F.col(basis), 256), 1, 16))
+    return rows.withColumn("_safe", sanitize_key(basis)).withColumn(
+        "project_key",
+        F.when(F.col("_safe") == "unknown", digest).otherwise(F.substring("_safe", 1, 120)),
+    ).drop("_safe")
 
 
 def record_score(capacity: Column, node: Column, developer: Column) -> Column:
@@ -121,18 +108,14 @@ def record_score(capacity: Column, node: Column, developer: Column) -> Column:
 
 
 def review_reasons(capacity: Column, node: Column) -> Column:
-    return F.array_compact(
-        F.array(
-            F.when(capacity.isNull(), F.lit(MISSING_CAPACITY)),
-            F.when(node.isNull(), F.lit(MISSING_NODE)),
-        )
+    """What a record lacks; it is never without capacity and node both."""
+    return (
+        F.when(capacity.isNull(), F.array(F.lit(MISSING_CAPACITY)))
+        .when(node.isNull(), F.array(F.lit(MISSING_NODE)))
+        .otherwise(F.array().cast("array<string>"))
     )
 
 
-def review_status(reasons: Column) -> Column:
-    return F.when(F.size(reasons) > 0, NEEDS_REVIEW).otherwise(AUTO_REVIEWED)
-
-
 def completeness(prefix: str = "") -> Column:
     """How many of the eight descriptive fields are filled."""
     score = F.lit(0)
@@ -158,54 +141,58 @@ def to_records(
         "source_row_number": "bigint",
         "source_header_row_number": "bigint",
     }
-    for name, kind in place.items():
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kind))
-
-    found = rows.select(
-        "source_queue_id",
-        "ord",
-        *[F.col(name).cast(kind).alias(name) for name, kind in place.items()],
-        lookup.value(PROJECT_ID).alias("project_id"),
-        F.coalesce(lookup.value(COMMERCIAL_NAME), lookup.value(PROJECT_NAME)).alias("project_name"),
-        lookup.capacity().alias("capacity"),
-        lookup.value(NODE).alias("listed_node"),
-        F.when(
-            lookup.value(COMMERCIAL_NAME).isNotNull(), lookup.value(BARE_NAME)
-        ).alias("spare_node"),
-        infer_status(lookup, whole_words).alias("status"),
-        lookup.value(DEVELOPER).alias("developer_name"),
-        lookup.value(COUNTY).alias("county"),
-        lookup.value(STATE).alias("state"),
-        lookup.value(ZONE).alias("zone"),
-        lookup.value(FUEL).alias("fuel_type"),
-        source_row(lookup.entries()).alias("source_row"),
+    rows = rows.withColumns(
+        {
+            name: (F.col(name) if name in rows.columns else F.lit(None)).cast(kind)
+            for name, kind in place.items()
+        }
     )
-    is_header = F.regexp_replace(F.lower("project_id"), "[^a-z0-9]+", "").isin(*PROJECT_ID)
+
+    fields = {
+        "project_id": lookup.value(PROJECT_ID),
+        "commercial_name": lookup.value(COMMERCIAL_NAME),
+        "listed_name": lookup.value(PROJECT_NAME),
+        "bare_name": lookup.value(BARE_NAME),
+        "capacity": lookup.capacity(),
+        "listed_node": lookup.value(NODE),
+        "raw_status": lookup.value(STATUS),
+        "withdrawn_on": F.coalesce(*[lookup.value([a]) for a in WITHDRAWN_DATE]),
+        "developer_name": lookup.value(DEVELOPER),
+        "county": lookup.value(COUNTY),
+        "state": lookup.value(STATE),
+        "zone": lookup.value(ZONE),
+        "fuel_type": lookup.value(FUEL),
+        "source_row": lookup.source_row(),
+    }
+    found = computed_once(lookup.prepare(rows), fields)
+    repeats_header = normalize_header("project_id").isin(*PROJECT_ID)
     usable = (
-        found.filter(F.col("project_id").isNotNull() | F.col("project_name").isNotNull())
-        .filter(F.col("project_id").isNull() | ~is_header)
+        found.filter(F.coalesce("project_id", "commercial_name", "listed_name").isNotNull())
+        .filter(F.col("project_id").isNull() | ~repeats_header)
         .filter(F.col("capacity.capacity_mw").isNotNull() | F.col("listed_node").isNotNull())
     )
-    keyed = usable.withColumns(
+    named = usable.withColumns(
         {
-            "substation_or_node": F.coalesce("listed_node", "spare_node"),
+            "project_name": F.coalesce("commercial_name", "listed_name"),
+            "substation_or_node": F.coalesce(
+                "listed_node", F.when(F.col("commercial_name").isNotNull(), F.col("bare_name"))
+            ),
             "capacity_mw": F.col("capacity.capacity_mw"),
             "capacity_source_field": F.col("capacity.capacity_source_field"),
+            "status": infer_status(F.col("raw_status"), F.col("withdrawn_on"), whole_words),
         }
     )
-    keyed = keyed.withColumn(
-        "project_key",
-        project_key(F.col("project_id"), F.col("project_name"), F.col("substation_or_node")),
-    )
     capacity, node = F.col("capacity_mw"), F.col("substation_or_node")
-    reasons = review_reasons(capacity, node)
+    keyed = with_project_key(
+        named.withColumn("basis", key_basis(F.col("project_id"), F.col("project_name"), node))
+    )
+    missing = capacity.isNull() | node.isNull()
     return keyed.withColumns(
         {
             "interconnection_queue_id": F.coalesce("project_id", "project_key"),
             "extraction_confidence": record_score(capacity, node, F.col("developer_name")),
-            "review_status": review_status(reasons),
-            "review_reasons": reasons,
+            "review_status": F.when(missing, NEEDS_REVIEW).otherwise(AUTO_REVIEWED),
+            "review_reasons": review_reasons(capacity, node),
         }
     ).select(*RECORD_COLUMNS)
 
@@ -219,7 +206,7 @@ def records_from_columns(
 
 def records_from_entries(rows: DataFrame, whole_words: bool = False) -> DataFrame:
     """Records of rows that hold their cells as ARRAY<STRUCT<header, value>> `entries`."""
-    return to_records(rows.withColumn("names", name_map("entries")), EntryLookup(), whole_words)
+    return to_records(rows, EntryLookup(), whole_words)
 
 
 def extraction() -> Column:
@@ -238,7 +225,7 @@ def record_fingerprint(ignore_location: bool = False) -> Column:
     """sha256 over everything that describes the project.
 
     Scores, review fields and row numbers do not count. The text is
-    unambiguous: a null field is left out, and the separators cannot occur in
+    unambiguous: a null field is left out, and the separator cannot occur in
     clean cells. `ignore_location` leaves out source_location, which for XML is
     the element index and so moves when an earlier element is added.
     """
@@ -260,12 +247,8 @@ def record_fingerprint(ignore_location: bool = False) -> Column:
     if not ignore_location:
         fields.append("source_location")
     parts = [F.concat(F.lit(f + "="), F.col(f).cast("string")) for f in fields]
-    cells = F.transform(
-        F.map_entries("source_row"), lambda e: F.concat(e["key"], F.lit(_PAIR_MARK), e["value"])
-    )
-    return F.sha2(
-        F.concat_ws(_FIELD_MARK, *parts, F.array_join(F.array_sort(cells), _FIELD_MARK)), 256
-    )
+    row = F.to_json(F.sort_array(F.map_entries("source_row")))
+    return F.sha2(F.concat_ws(_FIELD_MARK, *parts, row), 256)
 
 
 def with_fingerprints(records: DataFrame, ignore_location: bool = False) -> DataFrame:
@@ -304,26 +287,3 @@ def build_records(
     """Deduplicated, fingerprinted and limited records, ready for a snapshot."""
     ready = with_fingerprints(dedupe_records(raw_records), ignore_location)
     return ready if limit is None else limit_records(ready, limit)
-
-
-__all__ = [
-    "RECORD_COLUMNS",
-    "build_records",
-    "completeness",
-    "dedupe_records",
-    "extraction",
-    "half_even",
-    "header_name",
-    "infer_status",
-    "limit_records",
-    "project_key",
-    "record_fingerprint",
-    "record_score",
-    "records_from_columns",
-    "records_from_entries",
-    "review_reasons",
-    "review_status",
-    "source_row",
-    "to_records",
-    "with_fingerprints",
-]
