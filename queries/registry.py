@@ -787,7 +787,7 @@ def content_types(spark, sf):
         t.content_type(
             F.when(key % 4 == 0, " text/html ; charset=utf-8").when(key % 4 == 1, ";x"),
             F.concat(
-                F.substring_index("url", "?", 1),
+                F.regexp_extract("url", "^[^?#]*", 0),
                 F.when(key % 8 == 2, "/a.csv?x=1").when(key % 8 == 3, "/b.XLSX").otherwise("/c"),
             ),
             F.when(key % 8 == 6, "hint.pdf"),

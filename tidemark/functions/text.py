@@ -29,6 +29,11 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def literal_map(values: dict[str, str]) -> Column:
+    """Fixed text-to-text map as one literal expression."""
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in values.items()) + ")")
+
+
 def strip(value: Column | str) -> Column:
     """Trim every kind of white space, not just blanks."""
     return F.regexp_replace(as_column(value), _EDGE_SPACE, "")
@@ -76,8 +81,7 @@ def first_non_empty(*values: Column | str) -> Column:
 
 def status_word(value: Column | str) -> Column:
     """Allowed status for a known status word, null for any other text."""
-    words = F.create_map(*[F.lit(x) for pair in STATUS_WORDS.items() for x in pair])
-    return F.try_element_at(words, F.lower(strip(as_column(value))))
+    return F.try_element_at(literal_map(STATUS_WORDS), F.lower(strip(as_column(value))))
 
 
 def any_token(text: Column, tokens: tuple[str, ...], whole_words: bool = False) -> Column:
@@ -141,8 +145,8 @@ def content_type(header: Column | str, url: Column | str, filename_hint: Column
     # The query and fragment are not part of a file name.
     path = F.regexp_replace(name, r"[?#].*$", "")
     extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    types = F.create_map(*[F.lit(x) for pair in EXTENSION_TYPES.items() for x in pair])
-    guessed = F.coalesce(F.try_element_at(types, extension), F.lit(OCTET_STREAM))
+    known = F.try_element_at(literal_map(EXTENSION_TYPES), extension)
+    guessed = F.coalesce(known, F.lit(OCTET_STREAM))
     named = F.coalesce(
         non_empty(strip(F.split_part(declared, F.lit(";"), F.lit(1)))), F.lit(OCTET_STREAM)
     )

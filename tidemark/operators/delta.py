@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.joins import join_lookup
+from tidemark.operators.joins import join_lookup, size_within
 from tidemark.operators.ranking import top_per_group
 from tidemark.vocabulary import (
     BASELINE,
@@ -110,9 +110,10 @@ def split_by_history(current: DataFrame, manifest: DataFrame) -> tuple[DataFrame
     new is a property of the source, not of its rows.
     """
     known = manifest.select("source_queue_id").distinct()
+    small = size_within(known)
     return (
-        join_lookup(current, known, ["source_queue_id"], "left_semi"),
-        join_lookup(current, known, ["source_queue_id"], "left_anti"),
+        join_lookup(current, known, ["source_queue_id"], "left_semi", small=small),
+        join_lookup(current, known, ["source_queue_id"], "left_anti", small=small),
     )
 
 

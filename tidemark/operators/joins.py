@@ -28,17 +28,19 @@ def join_lookup(
     how: str = "left",
     limit: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join many rows to a lookup table that has one row per key.
 
     Within `limit` the lookup is broadcast. Beyond it, the facts are spread over
     `salts` parts per key and the lookup is repeated once per part, so a key
-    that holds a large share of the facts is not joined by one task.
+    that holds a large share of the facts is not joined by one task. `small`
+    is the outcome of `size_within` where the caller has it already.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"the facts must be the preserved side, not {how}")
     keys = list(on)
-    if size_within(lookup, limit):
+    if size_within(lookup, limit) if small is None else small:
         return facts.join(F.broadcast(lookup), keys, how)
     # Maps and variants cannot be hashed; any plain columns spread the rows.
     plain = [f.name for f in facts.schema if _hashable(f.dataType)]
