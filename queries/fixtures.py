@@ -36,6 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the files gave fewer partitions than there are cores.
+
+    A large table has many partitions already and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -47,52 +56,31 @@ def text(value: Column | str) -> Column:
 # --- raw rows -------------------------------------------------------------------
 def raw_rows(spark: SparkSession, sf_dir: str, raised: Column | None = None) -> DataFrame:
     """Queue rows, one per order; capacity is 25 MW higher where `raised` holds."""
-    key = F.col("o_orderkey")
     joined = (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    megawatts = F.floor(F.col("o_totalprice") / 1000).cast("bigint")
     if raised is not None:
-        megawatts = megawatts + F.when(raised, 25).otherwise(0)
-    status = F.array(
-        *[
-            F.lit(s)
-            for s in (
-                "Under Study",
-                "DONE",
-                "Final IA",
-                "IN SERVICE",
-                "withdrawn by customer",
-                "",
-                "Pending",
-            )
-        ]
-    )
-    return joined.select(
-        F.concat(F.lit("src-"), text("n_nationkey")).alias("source_queue_id"),
-        key.alias("ord"),
-        F.when(key % 17 == 0, "N/A")
-        .otherwise(F.concat(F.lit(" Q-"), text(key), F.lit(" ")))
-        .alias("Queue Number"),
-        F.col("c_name").alias("Project Name"),
-        F.when(key % 13 == 0, "")
-        .otherwise(F.concat(F.lit("Node  "), "o_orderpriority"))
-        .alias("POI"),
-        F.when(key % 19 == 0, "unknown")
-        .otherwise(F.concat(text(megawatts), F.lit(".5 MW")))
-        .alias("NET MW POI"),
-        F.get(status, (key % 7).cast("int")).alias("Status"),
-        F.when(key % 23 == 0, "2024-01-05").alias("Date Withdrawn"),
-        F.col("c_mktsegment").alias("Interconnection Customer"),
-        F.col("n_name").alias("State"),
-        F.col("r_name").alias("County"),
-        F.when(F.col("o_orderstatus") == "F", "Solar")
-        .when(F.col("o_orderstatus") == "O", "Wind")
-        .otherwise("na")
-        .alias("Fuel Type"),
+        joined = joined.withColumn("extra_mw", F.when(raised, 25).otherwise(0))
+    else:
+        joined = joined.withColumn("extra_mw", F.lit(0))
+    return joined.selectExpr(
+        "concat('src-', n_nationkey) AS source_queue_id",
+        "o_orderkey AS ord",
+        "if(o_orderkey % 17 = 0, 'N/A', concat(' Q-', o_orderkey, ' ')) AS `Queue Number`",
+        "c_name AS `Project Name`",
+        "if(o_orderkey % 13 = 0, '', concat('Node  ', o_orderpriority)) AS POI",
+        "if(o_orderkey % 19 = 0, 'unknown', "
+        "concat(cast(floor(o_totalprice / 1000) AS bigint) + extra_mw, '.5 MW')) AS `NET MW POI`",
+        "get(array('Under Study', 'DONE', 'Final IA', 'IN SERVICE', 'withdrawn by customer', '', "
+        "'Pending'), cast(o_orderkey % 7 AS int)) AS Status",
+        "if(o_orderkey % 23 = 0, '2024-01-05', null) AS `Date Withdrawn`",
+        "c_mktsegment AS `Interconnection Customer`",
+        "n_name AS State",
+        "r_name AS County",
+        "CASE o_orderstatus WHEN 'F' THEN 'Solar' WHEN 'O' THEN 'Wind' ELSE 'na' END AS `Fuel Type`",
     )
 
 
@@ -354,7 +342,7 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     document = F.floor(key / ROWS_PER_DOCUMENT).cast("bigint")
     status = F.array(*[F.lit(s) for s in ("Under Study", "DONE", "Withdrawn", "Pending")])
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         document.alias("doc"),
         (key % ROWS_PER_DOCUMENT + 1).alias("place"),
         F.concat(F.lit("Q-"), text(key)).alias("number"),
@@ -538,7 +526,7 @@ def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     nation = table(spark, sf_dir, "nation")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    orders = table(spark, sf_dir, "orders").join(
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey").join(
         customers, F.col("o_custkey") == F.col("c_custkey")
     )
     key = F.col("o_orderkey")
@@ -602,7 +590,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 == 0, "null").otherwise('"Example Solar"'),
         F.lit("}"),
     )
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         key.alias("response_id"),
         F.when(key % 5 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" Thank you.")))
         .when(key % 5 == 2, F.lit('{"status": "queued", "capacity_mw": 5}'))

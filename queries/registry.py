@@ -5,6 +5,7 @@ Arrays and maps are flattened to text so that results compare across engines.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -40,6 +41,19 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows computed once for a query that reads them several times.
+
+    They go to the checkpoint folder of the session (spark.checkpoint.dir), which
+    survives a lost executor; a folder is chosen only where none is set.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+    return rows.checkpoint()
+
+
 def joined(column: Column | str, separator: str = ",") -> Column:
     return F.array_join(column, separator)
 
@@ -266,12 +280,11 @@ def record_limit(spark, sf):
 DELTA_FIELDS = [*RECORD_FIELDS, "record_fingerprint"]
 
 
-def _deltas(spark, sf) -> DataFrame:
-    return delta.compare(
-        fx.current_snapshot(spark, sf),
-        fx.previous_snapshot(spark, sf),
-        fx.previous_manifest(spark, sf),
-    )
+def _run(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Current records, all deltas of the run, and the manifest before it."""
+    current = kept(fx.current_snapshot(spark, sf))
+    manifest = fx.previous_manifest(spark, sf)
+    return current, kept(delta.compare(current, fx.previous_snapshot(spark, sf), manifest)), manifest
 
 
 @query
@@ -340,14 +353,14 @@ def baseline_top(spark, sf):
 
 @query
 def delta_summary(spark, sf):
-    return delta.delta_summary(
-        _deltas(spark, sf), fx.current_snapshot(spark, sf), fx.previous_manifest(spark, sf)
-    )
+    current, deltas, manifest = _run(spark, sf)
+    return delta.delta_summary(deltas, current, manifest)
 
 
 @query
 def delta_select(spark, sf):
-    return delta.selected(_deltas(spark, sf)).select(
+    _, deltas, _ = _run(spark, sf)
+    return delta.selected(deltas).select(
         "source_queue_id",
         "project_key",
         "delta_type",
@@ -356,22 +369,20 @@ def delta_select(spark, sf):
     )
 
 
-def _counters(spark, sf) -> DataFrame:
-    deltas = _deltas(spark, sf)
-    summary = delta.delta_summary(
-        deltas, fx.current_snapshot(spark, sf), fx.previous_manifest(spark, sf)
-    )
-    return delta.run_counters(summary, delta.selected(deltas))
-
-
 @query
 def run_counters(spark, sf):
-    return _counters(spark, sf)
+    current, deltas, manifest = _run(spark, sf)
+    return delta.run_counters(
+        delta.delta_summary(deltas, current, manifest), delta.selected(deltas)
+    )
 
 
 @query
 def run_output(spark, sf):
-    output = ins.run_output(delta.selected(_deltas(spark, sf)), _counters(spark, sf))
+    current, deltas, manifest = _run(spark, sf)
+    chosen = delta.selected(deltas)
+    counters = delta.run_counters(delta.delta_summary(deltas, current, manifest), chosen)
+    output = ins.run_output(chosen, counters)
     return output.select(
         "source_queue_id",
         "record_count",
@@ -387,7 +398,8 @@ def run_output(spark, sf):
 
 @query
 def delta_enrich(spark, sf):
-    enriched = ins.enrich(_deltas(spark, sf), fx.source_metadata(spark, sf))
+    _, deltas, _ = _run(spark, sf)
+    enriched = ins.enrich(deltas, fx.source_metadata(spark, sf))
     return enriched.select(
         "source_queue_id",
         "project_key",
@@ -403,13 +415,14 @@ def delta_enrich(spark, sf):
 def insight_upsert(spark, sf):
     """Earlier insights of every other current record, then this run's deltas over them."""
     parsed = fx.ntz(fx.AS_OF)
+    current, deltas, _ = _run(spark, sf)
     incoming = ins.delta_insights(
-        delta.selected(_deltas(spark, sf)),
+        delta.selected(deltas),
         fx.source_metadata(spark, sf),
         fx.run_evidence(spark, sf),
         parsed,
     )
-    old = fx.current_snapshot(spark, sf).filter("ord % 2 = 0").withColumns(
+    old = current.filter("ord % 2 = 0").withColumns(
         {"delta_type": F.lit("OLD"), "changed_fields": F.array().cast("array<string>")}
     )
     existing = ins.delta_insights(
@@ -893,7 +906,7 @@ def pdf_text(spark, sf):
 
 @query
 def document_text(spark, sf):
-    documents = fx.corpus(spark, sf, deflate=True).unionByName(_pages_as_documents(spark, sf))
+    documents = kept(fx.corpus(spark, sf, deflate=True)).unionByName(_pages_as_documents(spark, sf))
     return decode.document_text(documents).select(
         "doc_id", "route", "text", joined("notes", "; ").alias("notes"), "error"
     )
@@ -902,7 +915,7 @@ def document_text(spark, sf):
 @query
 def document_table_records(spark, sf):
     """Documents of four table formats all the way to project records."""
-    rows = document_records(fx.corpus(spark, sf, ("csv", "html", "xml", "xlsx")))
+    rows = document_records(kept(fx.corpus(spark, sf, ("csv", "html", "xml", "xlsx"))))
     return rows.select(
         *RECORD_FIELDS, "source_location", "source_row_number", "source_header_row_number"
     )

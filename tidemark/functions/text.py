@@ -61,8 +61,9 @@ def half_even(value: Column | str) -> Column:
 
 def nullable(value: Column | str) -> Column:
     """Trimmed text, or null when it is blank or stands for "no value"."""
-    text = strip(as_column(value))
-    return F.when((text != "") & ~F.lower(text).isin(*NULL_WORDS), text)
+    words = "|".join(NULL_WORDS)
+    named = F.regexp_replace(strip(as_column(value)), f"^(?i:{words})$", "")
+    return F.nullif(named, F.lit(""))
 
 
 def nullable_cell(cleaned: Column) -> Column:
@@ -85,12 +86,8 @@ def status_word(value: Column | str) -> Column:
 
 
 def any_token(text: Column, tokens: tuple[str, ...], whole_words: bool = False) -> Column:
-    if whole_words:
-        return text.rlike(r"\b(" + "|".join(tokens) + r")\b")
-    found = F.lit(False)
-    for token in tokens:
-        found = found | text.contains(token)
-    return found
+    pattern = "|".join(tokens)
+    return text.rlike(rf"\b({pattern})\b" if whole_words else pattern)
 
 
 def normalize_lines(value: Column | str) -> Column:

@@ -7,16 +7,15 @@ from pyspark.sql import Column, functions as F
 from tidemark.functions.text import as_column
 
 
-def _object_or_null(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
-
-
 def json_object(text: Column | str) -> Column:
-    """VARIANT object: the whole text, else the span from the first { to the last }."""
+    """VARIANT object: the whole text, else the span from the first { to the last }.
+
+    Text that is JSON but no object gives null, also when it holds an object.
+    """
     raw = as_column(text)
     whole = F.try_parse_json(raw)
     inner = F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0))
-    return F.when(whole.isNotNull(), _object_or_null(whole)).otherwise(_object_or_null(inner))
+    return F.when(raw.rlike(r"^\s*\{"), F.coalesce(whole, inner)).when(whole.isNull(), inner)
 
 
 def member(value: Column, key: str) -> Column:

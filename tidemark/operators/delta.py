@@ -23,17 +23,12 @@ SUMMARY_COLUMNS = ("baseline_records", "baseline_sample", "new", "updated", "rem
 
 def changed_fields(old: str, new: str) -> Column:
     """Labels of the tracked fields that differ; only the raw row differs when none does."""
-    differing = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    ~F.col(f"{old}.{column}").eqNullSafe(F.col(f"{new}.{column}")), F.lit(label)
-                )
-                for label, column in TRACKED_FIELDS.items()
-            ]
-        )
+    labels = ", ".join(
+        f"if({old}.{column} <=> {new}.{column}, null, '{label}')"
+        for label, column in TRACKED_FIELDS.items()
     )
-    return F.when(F.size(differing) > 0, differing).otherwise(F.array(F.lit("SourceRow")))
+    # Labels hold no comma, so joining and splitting drops the nulls.
+    return F.expr(f"split(coalesce(nullif(concat_ws(',', {labels}), ''), 'SourceRow'), ',')")
 
 
 def _packed(records: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -48,21 +43,21 @@ def _as_deltas(joined: DataFrame, keys: list[str], fields: list[str]) -> DataFra
         .when(F.col("cur").isNull(), REMOVED)
         .when(F.col("cur.record_fingerprint") != F.col("prev.record_fingerprint"), UPDATED)
     )
-    moved = joined.withColumn("delta_type", kind).filter(F.col("delta_type").isNotNull())
     gone = F.col("delta_type") == REMOVED
-    chosen = {f: F.when(gone, F.col(f"prev.{f}")).otherwise(F.col(f"cur.{f}")) for f in fields}
-    # A project that left the queue counts as withdrawn.
-    chosen["status"] = F.when(gone, F.lit("Withdrawn")).otherwise(F.col("cur.status"))
     labels = (
         F.when(gone, F.array(F.lit("Status")))
         .when(F.col("delta_type") == UPDATED, changed_fields("prev", "cur"))
         .otherwise(F.array().cast("array<string>"))
     )
-    return moved.select(
-        *keys,
-        "delta_type",
-        labels.alias("changed_fields"),
-        *[value.alias(f) for f, value in chosen.items()],
+    moved = joined.withColumn("delta_type", kind).filter(F.col("delta_type").isNotNull())
+    chosen = F.when(gone, F.col("prev")).otherwise(F.col("cur")).alias("chosen")
+    rows = moved.select(*keys, "delta_type", labels.alias("changed_fields"), chosen)
+    # A project that left the queue counts as withdrawn.
+    status = F.when(gone, F.lit("Withdrawn")).otherwise(F.col("chosen.status"))
+    return (
+        rows.withColumn("chosen", F.col("chosen").withField("status", status))
+        .select(*keys, "delta_type", "changed_fields", "chosen.*")
+        .select(*keys, "delta_type", "changed_fields", *fields)
     )
 
 
@@ -92,13 +87,12 @@ def removed_projects(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def updated_projects(current: DataFrame, previous: DataFrame) -> DataFrame:
-    fields = [c for c in current.columns if c not in KEYS]
     old = previous.select(*KEYS, "record_fingerprint", *TRACKED_FIELDS.values())
     pairs = _packed(current, "cur", KEYS).join(_packed(old, "prev", KEYS), KEYS)
     return (
         pairs.filter(F.col("cur.record_fingerprint") != F.col("prev.record_fingerprint"))
         .withColumn("changed_fields", changed_fields("prev", "cur"))
-        .select(*KEYS, "changed_fields", *[F.col(f"cur.{f}").alias(f) for f in fields])
+        .select(*KEYS, "changed_fields", "cur.*")
     )
 
 

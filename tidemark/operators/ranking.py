@@ -45,5 +45,5 @@ def first_per_group(rows: DataFrame, group: Sequence[str], best: Column) -> Data
     return (
         rows.groupBy(*group)
         .agg(F.max_by(F.struct(*rest), best).alias("_row"))
-        .select(*group, *[F.col(f"_row.{c}").alias(c) for c in rest])
+        .select(*group, "_row.*")
     )

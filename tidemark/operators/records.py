@@ -32,8 +32,6 @@ from tidemark.vocabulary import (
 )
 
 SCORE_TYPE = "decimal(3,2)"
-# Between the parts of a fingerprint; cleaned cells cannot contain it.
-_FIELD_MARK = "\x1f"
 
 RECORD_COLUMNS = (
     "source_queue_id",
@@ -116,13 +114,12 @@ def review_reasons(capacity: Column, node: Column) -> Column:
     )
 
 
-def completeness(prefix: str = "") -> Column:
+def completeness() -> Column:
     """How many of the eight descriptive fields are filled."""
-    score = F.lit(0)
-    for field in COMPLETENESS_FIELDS:
-        text = F.col(prefix + field).cast("string")
-        score = score + F.when(F.coalesce(text, F.lit("")) != "", 1).otherwise(0)
-    return score
+    filled = [
+        f"if(coalesce(cast({field} AS string), '') <> '', 1, 0)" for field in COMPLETENESS_FIELDS
+    ]
+    return F.expr(" + ".join(filled))
 
 
 # --- record projection --------------------------------------------------------
@@ -246,9 +243,10 @@ def record_fingerprint(ignore_location: bool = False) -> Column:
     ]
     if not ignore_location:
         fields.append("source_location")
-    parts = [F.concat(F.lit(f + "="), F.col(f).cast("string")) for f in fields]
-    row = F.to_json(F.sort_array(F.map_entries("source_row")))
-    return F.sha2(F.concat_ws(_FIELD_MARK, *parts, row), 256)
+    parts = ", ".join(f"concat('{field}=', {field})" for field in fields)
+    row = "to_json(sort_array(map_entries(source_row)))"
+    # The separator cannot occur in clean cells.
+    return F.expr(f"sha2(concat_ws('\\u001f', {parts}, {row}), 256)")
 
 
 def with_fingerprints(records: DataFrame, ignore_location: bool = False) -> DataFrame:
@@ -271,7 +269,7 @@ def dedupe_records(records: DataFrame) -> DataFrame:
             F.max_by(F.struct(*rest), F.struct(completeness(), -F.col("ord"))).alias("winner"),
             F.min("ord").alias("first_seen"),
         )
-        .select(*keys, *[F.col(f"winner.{c}").alias(c) for c in rest], "first_seen")
+        .select(*keys, "winner.*", "first_seen")
     )
 
 
