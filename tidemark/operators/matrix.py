@@ -44,14 +44,17 @@ def fill_down_headers(matrix: DataFrame, block_rows: int | None = BLOCK_ROWS) ->
     blocks of row_seq so that a very long one is not filled down by one task:
     the last header of each block is carried over the blocks (one short row per
     block), then rows are filled inside their block. With `block_rows` None each
-    sheet is one block: for sheets known to be small, it reads the matrix once.
+    sheet is one block: for sheets known to be small, it reads the matrix once. A row that
+    has `own_header` keeps it.
     """
     head = F.struct(F.col("row_number").alias("row_number"), F.col("cells").alias("cells"))
+    keyed = "own_header" in matrix.columns
+    is_header = is_header_row("cells")
+    if keyed:
+        is_header = is_header & F.col("own_header").isNull()
     header_here = F.when(F.col("is_header"), head)
     block = F.lit(0) if block_rows is None else F.floor(F.col("row_seq") / block_rows)
-    marked = matrix.withColumns(
-        {"block": block.cast("bigint"), "is_header": is_header_row("cells")}
-    )
+    marked = matrix.withColumns({"block": block.cast("bigint"), "is_header": is_header})
     within = (
         Window.partitionBy(*SHEET, "block")
         .orderBy("row_seq")
@@ -75,8 +78,15 @@ def fill_down_headers(matrix: DataFrame, block_rows: int | None = BLOCK_ROWS) ->
         rows = rows.join(carried, [*SHEET, "block"]).withColumn(
             "chosen", F.coalesce("chosen", "carried")
         )
+    if keyed:
+        own = F.struct(
+            F.lit(None).cast("bigint").alias("row_number"), F.col("own_header").alias("cells")
+        )
+        rows = rows.withColumn(
+            "chosen", F.when(F.col("own_header").isNotNull(), own).otherwise(F.col("chosen"))
+        )
     return rows.filter(F.col("chosen").isNotNull()).select(
-        *matrix.columns,
+        *[c for c in matrix.columns if c != "own_header"],
         F.col("chosen.cells").alias("header"),
         F.col("chosen.row_number").alias("source_header_row_number"),
     )

@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.text import clean_cell
 from tidemark.operators import matrix
 from tidemark.operators.records import records_from_entries
 from tidemark.sources import decode
 
 
-def _clean_entries() -> Column:
-    cleaned = F.transform(
-        "entries",
-        lambda e: F.struct(e["header"].alias("header"), clean_cell(e["value"]).alias("value")),
-    )
-    return F.filter(cleaned, lambda e: e["value"] != "")
-
-
 def keyed_document_rows(documents: DataFrame) -> DataFrame:
     """Keyed rows of all table documents; unreadable documents give none.
 
-    Each format is one job over its own documents. A sheet belongs to one
-    document, which one task has decoded whole, so it is filled down in one block.
+    The corpus is read and decoded once. A sheet belongs to one document, which
+    one task has decoded whole, so it is filled down in one block.
     """
-    routed = documents.withColumn("_format", decode.table_format("path", "content_type"))
-
-    def of(kind: str) -> DataFrame:
-        return routed.filter(F.col("_format") == kind)
-
-    sheets = (
-        decode.xlsx_matrix(of("xlsx"))
-        .unionByName(decode.csv_matrix(of("csv")))
-        .unionByName(decode.html_tables(of("html")))
-        .filter(F.col("error").isNull())
-        .drop("error")
-    )
-    keyed = (
-        decode.xml_records(of("xml"))
-        .filter(F.col("error").isNull())
-        .drop("error")
-        .withColumn("entries", _clean_entries())
-    )
-    return matrix.keyed_rows(sheets, block_rows=None).unionByName(keyed, allowMissingColumns=True)
+    rows = decode.table_rows(documents).filter(F.col("error").isNull()).drop("error")
+    return matrix.keyed_rows(rows, block_rows=None)
 
 
 def document_records(documents: DataFrame, whole_words: bool = False) -> DataFrame:
@@ -52,31 +26,25 @@ def document_records(documents: DataFrame, whole_words: bool = False) -> DataFra
 
 def extraction_notes(documents: DataFrame) -> DataFrame:
     """What table extraction did with each document: a note, or why it was skipped."""
-    routed = documents.withColumn("_format", decode.table_format("path", "content_type"))
-    problems = None
-    for kind, read in (
-        ("xlsx", decode.xlsx_matrix),
-        ("xml", decode.xml_records),
-        ("html", decode.html_tables),
-        ("csv", decode.csv_matrix),
-    ):
-        failed = read(routed.filter(F.col("_format") == kind)).filter(F.col("error").isNotNull())
-        failed = failed.select("source_queue_id", "doc_id", "error")
-        problems = failed if problems is None else problems.unionByName(failed)
+    kind = decode.table_format("path", "content_type")
+    problems = (
+        decode.table_rows(documents)
+        .filter(F.col("error").isNotNull())
+        .select("source_queue_id", "doc_id", "error")
+    )
     note = (
-        F.when(F.col("_format") == "xlsx", decode.XLSX_NOTE)
-        .when(F.col("_format") == "xml", decode.XML_NOTE)
-        .when(F.col("_format") == "html", decode.HTML_NOTE)
-        .when(F.col("_format") == "csv", decode.CSV_NOTE)
+        F.when(kind == "xlsx", decode.XLSX_NOTE)
+        .when(kind == "xml", decode.XML_NOTE)
+        .when(kind == "html", decode.HTML_NOTE)
+        .when(kind == "csv", decode.CSV_NOTE)
     )
-    return routed.select("source_queue_id", "doc_id", "_format").join(
-        problems, ["source_queue_id", "doc_id"], "left"
-    ).select(
-        "source_queue_id",
-        "doc_id",
-        F.array_compact(
-            F.array(
-                F.coalesce(F.concat(F.lit(decode.SKIPPED_NOTE), "error"), note)
-            )
-        ).alias("notes"),
+    skipped = F.concat(F.lit(decode.SKIPPED_NOTE), "error")
+    return (
+        documents.select("source_queue_id", "doc_id", note.alias("note"))
+        .join(problems, ["source_queue_id", "doc_id"], "left")
+        .select(
+            "source_queue_id",
+            "doc_id",
+            F.array_compact(F.array(F.coalesce(skipped, "note"))).alias("notes"),
+        )
     )

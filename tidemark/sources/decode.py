@@ -2,7 +2,8 @@
 
 Only what needs a format library runs in Python, one document at a time inside
 `mapInArrow`; cells leave the worker as read, and all cleaning, header finding
-and normalising happens in built-in expressions. Input documents have the
+and normalising happens in built-in expressions. A corpus of mixed formats is
+read once. Input documents have the
 columns source_queue_id, doc_id, path, content_type and content. A document that cannot be read gives one row with
 `error` set, so a bad file never stops the job and never gives half its rows.
 """
@@ -47,6 +48,18 @@ MATRIX_SCHEMA = {
     "cells": "array<string>",
     "error": "string",
 }
+# A matrix row, or a keyed record: the latter brings its own header.
+TABLE_SCHEMA = {
+    "source_queue_id": "string",
+    "doc_id": "string",
+    "sheet": "string",
+    "row_seq": "bigint",
+    "ord": "bigint",
+    "row_number": "bigint",
+    "cells": "array<string>",
+    "own_header": "array<string>",
+    "error": "string",
+}
 KEYED_SCHEMA = {
     "source_queue_id": "string",
     "doc_id": "string",
@@ -62,6 +75,14 @@ TEXT_SCHEMA = {
     "text": "string",
     "error": "string",
 }
+ROUTED_TEXT_SCHEMA = {
+    "source_queue_id": "string",
+    "doc_id": "string",
+    "path": "string",
+    "route": "string",
+    "text": "string",
+    "error": "string",
+}
 _ARROW_TYPES = {
     "string": pa.string(),
     "bigint": pa.int64(),
@@ -74,6 +95,7 @@ _ROWS_PER_BATCH = 4096
 SHEET_SPAN = 1 << 32
 CSV_SAMPLE_CHARS = 8192
 MIN_PDF_CHARS = 50
+SHORT_PDF = "Could not extract enough text from PDF with the built-in reader"
 
 XLSX_NOTE = "Extracted project rows from XLSX worksheets"
 XML_NOTE = "Extracted project rows from XML elements"
@@ -108,22 +130,28 @@ def text_format(path: Column | str, content_type: Column | str) -> Column:
 # --- workers ------------------------------------------------------------------
 def _per_document(
     documents: DataFrame,
-    body: Column,
+    inputs: list[Column],
     read: Callable[..., Iterable[tuple]],
     schema: dict[str, str],
+    carried: int = 0,
 ) -> DataFrame:
-    """Run `read(body)` on every document; it gives the columns after doc_id, before error."""
+    """Run `read(*inputs)` on every document; it gives the columns before error.
+
+    The ids and the first `carried` inputs are repeated on every row, before
+    what `read` gives, and kept when it fails.
+    """
     types = pa.schema([(name, _ARROW_TYPES[kind]) for name, kind in schema.items()])
-    width = len(schema) - 3
+    width = len(schema) - 3 - carried
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for queue, doc, data in zip(*(batch.column(i) for i in range(3))):
-                ids = (queue.as_py(), doc.as_py())
+            for row in zip(*batch.columns):
+                values = [v.as_py() for v in row]
+                kept, rest = values[: 2 + carried], values[2:]
                 try:
-                    found = [(*ids, *row, None) for row in read(data.as_py())]
+                    found = [(*kept, *out, None) for out in read(*rest)]
                 except Exception as problem:  # one bad document must not stop the rest
-                    found = [(*ids, *(None,) * width, f"{type(problem).__name__}: {problem}")]
+                    found = [(*kept, *(None,) * width, f"{type(problem).__name__}: {problem}")]
                 for start in range(0, len(found), _ROWS_PER_BATCH):
                     part = zip(*found[start : start + _ROWS_PER_BATCH])
                     yield pa.RecordBatch.from_arrays(
@@ -131,7 +159,9 @@ def _per_document(
                     )
 
     return documents.select(
-        F.col("source_queue_id").cast("string"), F.col("doc_id").cast("string"), body.alias("body")
+        F.col("source_queue_id").cast("string"),
+        F.col("doc_id").cast("string"),
+        *[column.alias(f"input_{i}") for i, column in enumerate(inputs)],
     ).mapInArrow(batches, ", ".join(f"{name} {kind}" for name, kind in schema.items()))
 
 
@@ -327,14 +357,35 @@ def _pdf_text(data: bytes) -> Iterator[tuple]:
     yield (" ".join(found or _pdf_literals(data)),)
 
 
+def _table_rows(kind: str, data: bytes | None, text: str | None) -> Iterator[tuple]:
+    """Rows of a document of any table format."""
+    if kind == "xml":
+        for place, location, number, entries in _xml_rows(data):
+            values = [e["value"] for e in entries]
+            yield location, 0, place, number, values, [e["header"] for e in entries]
+    else:
+        sheets = {"xlsx": _xlsx_rows, "csv": _csv_rows, "html": _html_rows}[kind]
+        for row in sheets(data if kind == "xlsx" else text):
+            yield *row, None
+
+
+def _routed_text(path: str, route: str, data: bytes | None, text: str | None) -> Iterator[tuple]:
+    """Text of a document of any format; plain text is decoded already."""
+    if route == "plain":
+        yield (text,)
+    else:
+        readers = {"xlsx": _xlsx_text, "html": _html_text, "pdf": _pdf_text}
+        yield from readers[route](text if route == "html" else data)
+
+
 # --- jobs ---------------------------------------------------------------------
 def xlsx_matrix(documents: DataFrame) -> DataFrame:
-    return _per_document(documents, F.col("content"), _xlsx_rows, MATRIX_SCHEMA)
+    return _per_document(documents, [F.col("content")], _xlsx_rows, MATRIX_SCHEMA)
 
 
 def csv_matrix(documents: DataFrame) -> DataFrame:
     """The dialect is guessed from the start of the text; rows without text are left out."""
-    rows = _per_document(documents, decode_text("content"), _csv_rows, MATRIX_SCHEMA)
+    rows = _per_document(documents, [decode_text("content")], _csv_rows, MATRIX_SCHEMA)
     return rows.filter(
         F.col("error").isNotNull() | F.exists("cells", lambda c: c.rlike(r"(?U)[^\s\x1c-\x1f]"))
     )
@@ -342,97 +393,104 @@ def csv_matrix(documents: DataFrame) -> DataFrame:
 
 def html_tables(documents: DataFrame) -> DataFrame:
     """Rows of all tables of a document; nested tables belong to the outer one."""
-    return _per_document(documents, decode_text("content"), _html_rows, MATRIX_SCHEMA)
+    return _per_document(documents, [decode_text("content")], _html_rows, MATRIX_SCHEMA)
 
 
 def xml_records(documents: DataFrame) -> DataFrame:
     """Keyed rows: every child of the root is a record, its leaf children are the fields."""
-    return _per_document(documents, F.col("content"), _xml_rows, KEYED_SCHEMA)
+    return _per_document(documents, [F.col("content")], _xml_rows, KEYED_SCHEMA)
 
 
 def xlsx_text(documents: DataFrame) -> DataFrame:
-    return _per_document(documents, F.col("content"), _xlsx_text, TEXT_SCHEMA)
+    return _per_document(documents, [F.col("content")], _xlsx_text, TEXT_SCHEMA)
 
 
 def html_visible_text(documents: DataFrame) -> DataFrame:
-    raw = _per_document(documents, decode_text("content"), _html_text, TEXT_SCHEMA)
+    raw = _per_document(documents, [decode_text("content")], _html_text, TEXT_SCHEMA)
     return raw.withColumn("text", normalize_lines("text"))
 
 
 def pdf_text(documents: DataFrame) -> DataFrame:
     """Best effort: string literals of the plain or inflated streams; too little is an error."""
-    raw = _per_document(documents, F.col("content"), _pdf_text, TEXT_SCHEMA)
+    raw = _per_document(documents, [F.col("content")], _pdf_text, TEXT_SCHEMA)
     tidy = raw.withColumn("text", normalize_lines("text"))
     short = F.col("error").isNull() & (F.length("text") < MIN_PDF_CHARS)
     return tidy.withColumns(
         {
             "error": F.when(
-                short, F.lit("Could not extract enough text from PDF with the built-in reader")
+                short, F.lit(SHORT_PDF)
             ).otherwise(F.col("error")),
             "text": F.when(~short, F.col("text")),
         }
     )
 
 
+def table_rows(documents: DataFrame) -> DataFrame:
+    """Rows of all table documents, whatever their format, in one pass over the corpus.
+
+    XML records bring their tags in `own_header`; for other rows it is null.
+    """
+    kind = table_format("path", "content_type")
+    routed = documents.withColumn("_format", kind).filter(F.col("_format").isNotNull())
+    is_text = F.col("_format").isin("csv", "html")
+    inputs = [
+        F.col("_format"),
+        F.when(~is_text, F.col("content")),
+        F.when(is_text, decode_text("content")),
+    ]
+    return _per_document(routed, inputs, _table_rows, TABLE_SCHEMA)
+
+
 def document_text(documents: DataFrame) -> DataFrame:
-    """Text, notes and, for unreadable documents, the error; one row per document."""
-    routed = documents.withColumn("route", text_format("path", "content_type"))
-
-    def branch(route: str) -> DataFrame:
-        return routed.filter(F.col("route") == route)
-
-    def noted(texts: DataFrame, route: str, *notes: str) -> DataFrame:
-        return texts.select(
-            "source_queue_id",
-            "doc_id",
-            F.lit(route).alias("route"),
-            "text",
-            F.array(*[F.lit(n) for n in notes]).alias("notes"),
-            "error",
-        )
-
-    plain = branch("plain").select(
-        F.col("source_queue_id").cast("string"),
-        F.col("doc_id").cast("string"),
-        "path",
-        decode_text("content").alias("text"),
+    """Whole text, notes and, for unreadable documents, the error; one row per document.
+
+    All formats go through one pass over the corpus.
+    """
+    routed = documents.withColumn("_route", text_format("path", "content_type"))
+    is_text = F.col("_route").isin("html", "plain")
+    inputs = [
+        F.col("path"),
+        F.col("_route"),
+        F.when(~is_text, F.col("content")),
+        F.when(is_text, decode_text("content")),
+    ]
+    raw = _per_document(routed, inputs, _routed_text, ROUTED_TEXT_SCHEMA, carried=2)
+    route = F.col("route")
+    tidy = raw.withColumn(
+        "text",
+        F.when(route.isin("html", "pdf"), normalize_lines("text")).otherwise(F.col("text")),
     )
-    readable = looks_like_text(F.col("text"))
-    plain = plain.select(
-        "source_queue_id",
-        "doc_id",
-        F.when(readable, F.col("text")).alias("text"),
-        F.when(
-            ~readable,
+    checked = tidy.withColumn(
+        "error",
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when((route == "pdf") & (F.length("text") < MIN_PDF_CHARS), SHORT_PDF)
+        .when(
+            (route == "plain") & ~looks_like_text(F.col("text")),
             F.concat(
                 F.lit("Unsupported binary document type for "),
                 "path",
                 F.lit("; provide text, CSV, HTML, PDF, or XLSX"),
             ),
-        ).alias("error"),
-    )
-    pdf = pdf_text(branch("pdf"))
-    attempted = "Attempted local best-effort PDF text extraction"
-    pdf_notes = F.array(
-        F.lit(attempted),
-        F.when(F.col("error").isNull(), F.lit("Used local PDF text extraction")).otherwise(
-            F.concat(F.lit("Local PDF text extraction failed: "), "error")
         ),
     )
-    return (
-        noted(xlsx_text(branch("xlsx")), "xlsx", "Extracted worksheet text from XLSX XML parts")
-        .unionByName(
-            noted(html_visible_text(branch("html")), "html", "Extracted visible text from HTML")
-        )
-        .unionByName(noted(pdf, "pdf", attempted).withColumn("notes", pdf_notes))
-        .unionByName(
-            noted(plain, "plain", "Decoded text payload").withColumn(
-                "notes",
-                F.when(F.col("error").isNull(), F.col("notes")).otherwise(
-                    F.array().cast("array<string>")
-                ),
-            )
-        )
+    good = F.col("error").isNull()
+    attempted = F.lit("Attempted local best-effort PDF text extraction")
+    failed = F.concat(F.lit("Local PDF text extraction failed: "), "error")
+    used = F.lit("Used local PDF text extraction")
+    notes = (
+        F.when(route == "xlsx", F.array(F.lit("Extracted worksheet text from XLSX XML parts")))
+        .when(route == "html", F.array(F.lit("Extracted visible text from HTML")))
+        .when(route == "pdf", F.array(attempted, F.when(good, used).otherwise(failed)))
+        .when(good, F.array(F.lit("Decoded text payload")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return checked.select(
+        "source_queue_id",
+        "doc_id",
+        "route",
+        F.when(good, F.col("text")).alias("text"),
+        notes.alias("notes"),
+        "error",
     )
 
 
