@@ -906,7 +906,7 @@ def pdf_text(spark, sf):
 
 @query
 def document_text(spark, sf):
-    documents = kept(fx.corpus(spark, sf, deflate=True)).unionByName(_pages_as_documents(spark, sf))
+    documents = fx.spread(kept(fx.corpus(spark, sf, deflate=True)), "doc_id").unionByName(_pages_as_documents(spark, sf))
     return decode.document_text(documents).select(
         "doc_id", "route", "text", joined("notes", "; ").alias("notes"), "error"
     )
@@ -915,7 +915,8 @@ def document_text(spark, sf):
 @query
 def document_table_records(spark, sf):
     """Documents of four table formats all the way to project records."""
-    rows = document_records(kept(fx.corpus(spark, sf, ("csv", "html", "xml", "xlsx"))))
+    documents = kept(fx.corpus(spark, sf, ("csv", "html", "xml", "xlsx")))
+    rows = document_records(fx.spread(documents, "doc_id"))
     return rows.select(
         *RECORD_FIELDS, "source_location", "source_row_number", "source_header_row_number"
     )
