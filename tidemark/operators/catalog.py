@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import (
     as_column,
-    ascii_metadata,
-    content_type,
     extra_value,
     first_non_empty,
     non_empty,
@@ -16,8 +14,6 @@ from tidemark.functions.text import (
     truthy,
     unquote,
 )
-from tidemark.functions.variants import json_object
-from tidemark.operators.joins import join_lookup
 from tidemark.operators.ranking import first_per_group
 from tidemark.vocabulary import METADATA_KEYS, PROBE_BYTES
 
@@ -52,14 +48,10 @@ DOCUMENT_LIST_TYPE = (
 
 # --- catalog rows ---------------------------------------------------------------
 def _spelled(rows: DataFrame, spellings: tuple[str, ...]) -> Column:
-    found = [F.col(f"`{s}`").cast("string") for s in spellings if s in _case_exact(rows)]
+    found = [F.col(f"`{s}`").cast("string") for s in spellings if s in rows.columns]
     return first_non_empty(*found) if found else F.lit(None).cast("string")
 
 
-def _case_exact(rows: DataFrame) -> set[str]:
-    return set(rows.columns)
-
-
 def canonical_name(column: str) -> str:
     name = column.strip()
     return CANONICAL_NAMES.get(name.lower(), name)
@@ -240,9 +232,10 @@ def latest_document(lists: DataFrame) -> DataFrame:
         name.alias("friendly_name"),
         F.col("best.publish_date").alias("publish_date"),
         F.col("best.constructed_name").alias("constructed_name"),
-        F.concat(F.lit(DOWNLOAD_BASE), F.replace(F.url_encode("best.doc_id"), F.lit("+"), F.lit("%20"))).alias(
-            "source_url"
-        ),
+        F.concat(
+            F.lit(DOWNLOAD_BASE),
+            F.replace(F.url_encode("best.doc_id"), F.lit("+"), F.lit("%20")),
+        ).alias("source_url"),
         F.concat(name, F.lit("."), "extension").alias("filename_hint"),
         F.when(F.col("best").isNull(), "No document matched the prefix and extension")
         .when(no_id, "Latest document did not include DocID")
@@ -350,8 +343,8 @@ def detect_changes(catalog: DataFrame, state: DataFrame, manifest: DataFrame) ->
     """Status of every active source: changed, unchanged or error.
 
     `manifest` describes what was last seen of each source (remote_fingerprint,
-    content_md5 and `error` of the request, any of them null). Catalog rows
-    without id or URL are errors and never reach the join keys as matches.
+    content_md5 and fetch_error, any of them null). Catalog rows without id or
+    URL are errors. Sources are unique on all sides, so no join key is hot.
     """
     scanned = active_sources(catalog)
     joined = scanned.join(state, "source_queue_id", "left").join(
@@ -447,26 +440,3 @@ def error_update(
 def latest_by_source(rows: DataFrame, version: str) -> DataFrame:
     """One row per source: the one with the greatest version."""
     return first_per_group(rows, ["source_queue_id"], F.col(version))
-
-
-__all__ = [
-    "accepted",
-    "active_sources",
-    "ascii_metadata",
-    "content_type",
-    "detect_changes",
-    "header_fingerprint",
-    "join_lookup",
-    "json_object",
-    "latest_document",
-    "normalize_catalog",
-    "probe_fingerprint",
-    "queue_metadata",
-    "raw_path",
-    "rejected",
-    "request_headers",
-    "scan_summary",
-    "stored_fingerprint",
-    "upsert_catalog",
-    "upsert_state",
-]
