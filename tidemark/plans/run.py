@@ -11,7 +11,12 @@ from tidemark.operators.records import build_records
 from tidemark.plans.ingest import document_records
 from tidemark.sinks.reports import write_run_output
 from tidemark.sinks.store import DeltaStore
-from tidemark.vocabulary import BASELINE_SAMPLE, MAX_DELTAS_PER_SOURCE, MAX_PROJECT_RECORDS
+from tidemark.vocabulary import (
+    BASELINE_SAMPLE,
+    MAX_DELTAS_PER_SOURCE,
+    MAX_PROJECT_RECORDS,
+    MAX_SOURCE_BYTES,
+)
 
 
 @dataclass(frozen=True)
@@ -19,6 +24,7 @@ class Limits:
     records: int | None = MAX_PROJECT_RECORDS
     deltas: int = MAX_DELTAS_PER_SOURCE
     baseline: int = BASELINE_SAMPLE
+    document_bytes: int = MAX_SOURCE_BYTES
 
 
 def catalog_metadata(store: DeltaStore) -> DataFrame:
@@ -49,7 +55,8 @@ def ingest(
     back, so a lost executor never recomputes the decoding, and the manifest is
     written last. Sources whose document gives no records are left untouched.
     """
-    records = build_records(document_records(documents), limit=limits.records)
+    bounded = documents.withColumn("content", F.substring("content", 1, limits.document_bytes))
+    records = build_records(document_records(bounded), limit=limits.records)
     store.write("records", records, run_id)
     current = store.of_run("records", run_id).drop("snapshot_id")
 
