@@ -8,13 +8,38 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import tidemark.llm
-from tidemark.llm import chat, language, licenses, mixing, packing, privacy, secrets
+from tidemark.llm import (
+    ann,
+    chat,
+    embedding_dedup,
+    language,
+    licenses,
+    minmax,
+    mixing,
+    oracles,
+    packing,
+    privacy,
+    secrets,
+)
 from tidemark.llm.common import table
 
 # Workers need not find this folder on their path: what they run travels with the plan.
 cloudpickle.register_pickle_by_value(tidemark.llm)
 
 
+def op1_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+def op3_minmax_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.link(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,6 +71,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_hnsw_neighbours,
+        op2_embedding_links,
+        op3_minmax_links,
         op4_source_mix,
         op5_preference_chat,
         op6_license_scan,
@@ -56,4 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_embedding_links": oracles.OP2,
+    "op3_minmax_links": oracles.OP3,
+    "op4_source_mix": oracles.OP4,
+    "op5_preference_chat": oracles.OP5,
+}
