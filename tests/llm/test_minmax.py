@@ -60,18 +60,36 @@ def copies(prose):
     return texts
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_against_brute_force(docs, prose, words):
+@pytest.mark.parametrize("words, chunk", [(2, 512), (2, 3), (5, 512)])
+def test_against_brute_force(docs, prose, words, chunk):
     texts = copies(prose)
     expected = brute(texts, words)
     rows = [(d, t, "en", "s", 0) for d, t in texts.items()]
-    out = minmax.link(docs(rows, clash=True), words=words).collect()
+    out = minmax.link(docs(rows, clash=True), words=words, chunk=chunk).collect()
     assert len(out) == len(rows)
     for r in out:
         assert (r.n_shingles, r.component_id) == expected[r.doc_id], r.doc_id
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_third_round_finds_what_stars_miss(spark):
+    """Members of a bucket that are joined to each other, but not to its smallest one."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+
+    def text(own, kept):
+        return " ".join(base[:kept] + [f"{own}{rng.randrange(10**9)}" for _ in range(100 - kept)])
+
+    texts = {1: " ".join(base)} | {i: text(f"x{i}", 70) for i in range(2, 9)}
+    texts[9] = texts[4] + " more"
+    texts[10] = texts[6] + " words"
+    placed = spark.createDataFrame([(5, d, len(shingle_set(t, 2)), d) for d, t in texts.items()], "key long, rep long, n long, component long")
+    held = spark.createDataFrame([(d, t.encode()) for d, t in texts.items()], "rep long, text binary")
+    for chunk in (2, 512):
+        found = {tuple(sorted(r)) for r in minmax.mixed_links(placed, held, 2, 80, chunk).collect()}
+        assert found == {(4, 9), (6, 10)}
+
+
 def test_bands_catch_the_threshold():
     """Pairs just above the threshold share a band."""
     rng = np.random.default_rng(5)
