@@ -11,12 +11,18 @@ columns source_queue_id, doc_id, path, content_type and content. A document that
 from __future__ import annotations
 
 import csv
+import fnmatch
 import io
 import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
+from functools import reduce
 from html.parser import HTMLParser
+from itertools import accumulate, chain
+from operator import itemgetter
+from typing import IO
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -171,76 +177,73 @@ def _place(sheets: Iterable[tuple[str, Iterable[tuple[int, list[str]]]]]) -> Ite
             yield sheet, seq, index * SHEET_SPAN + seq, number, cells
 
 
-def _column_of(reference: str, fallback: str = "A") -> int:
-    letters = "".join(filter(str.isalpha, reference)).upper() or fallback
-    place = 0
-    for letter in letters:
-        place = place * 26 + ord(letter) - 64
-    return max(place - 1, 0)
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def _column_number(reference: str) -> int:
+    """Letters of a cell reference, read in base 26 with A as 1; no letters count as A."""
+    digits = (int(letter, 36) - 9 for letter in reference if letter.isalpha())
+    return max(reduce(lambda number, digit: 26 * number + digit, digits, 0), 1) - 1
+
 
+def _elements(part: IO[bytes], name: str) -> Iterator[ElementTree.Element]:
+    """Finished elements of one name, each forgotten before the next is read."""
+    for _, node in ElementTree.iterparse(part):
+        if _local(node.tag) == name:
+            yield node
+            node.clear()
 
-class _Workbook:
-    """Cells of the worksheets in a zipped workbook, as text."""
 
-    def __init__(self, data: bytes):
-        self._zip = zipfile.ZipFile(io.BytesIO(data))
-        names = self._zip.namelist()
-        # Sheets are taken in name order, so sheet10 precedes sheet2.
-        self.sheets = sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))
-        self._shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            table = ElementTree.fromstring(self._zip.read("xl/sharedStrings.xml"))
-            self._shared = [self._text(item) for item in table.iterfind(".//{*}si")]
+def _words_in(node: ElementTree.Element, name: str) -> list[str]:
+    return [part.text or "" for part in node.iter() if _local(part.tag) == name]
 
-    @staticmethod
-    def _text(node: ElementTree.Element) -> str:
-        return "".join(t.text or "" for t in node.iterfind(".//{*}t"))
 
-    def _cell(self, cell: ElementTree.Element) -> str:
+def _sheets(data: bytes) -> Iterator[tuple[str, Iterator[tuple[int, dict[int, str]]]]]:
+    """Every worksheet of a workbook: its name and its rows, (row number, texts by column).
+
+    Sheets come in name order, so sheet10 precedes sheet2. Rows are read one at a time; what is
+    held of a workbook is its table of shared strings.
+    """
+    book = zipfile.ZipFile(io.BytesIO(data))
+    names = set(book.namelist())
+    shared: dict[str, str] = {}
+    if "xl/sharedStrings.xml" in names:
+        with book.open("xl/sharedStrings.xml") as part:
+            for place, item in enumerate(_elements(part, "si")):
+                shared[str(place)] = "".join(_words_in(item, "t"))
+
+    def shown(cell: ElementTree.Element) -> str:
         kind = cell.get("t")
-        if kind == "inlineStr":
-            return self._text(cell).strip()
-        value = (cell.findtext("{*}v") or "").strip()
-        if kind != "s" or not value:
-            return value
-        try:
-            return self._shared[int(value)].strip()
-        except (ValueError, IndexError):
-            return value
-
-    def rows(self, sheet: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
-        """(row number, [(column, text)]) in document order."""
-        tree = ElementTree.fromstring(self._zip.read(sheet))
-        for count, row in enumerate(tree.iterfind(".//{*}row"), 1):
-            cells = [(_column_of(c.get("r", "A1")), self._cell(c)) for c in row.iterfind("{*}c")]
-            yield int(row.get("r", count)), cells
+        text = "".join(_words_in(cell, "t") if kind == "inlineStr" else _words_in(cell, "v")[:1])
+        return (shared.get(text.strip(), text) if kind == "s" else text).strip()
 
+    def rows(name: str) -> Iterator[tuple[int, dict[int, str]]]:
+        with book.open(name) as part:
+            for count, row in enumerate(_elements(part, "row"), 1):
+                cells = (node for node in row if _local(node.tag) == "c")
+                yield int(row.get("r", count)), {_column_number(c.get("r", "")): shown(c) for c in cells}
 
-def _xlsx_rows(data: bytes) -> Iterator[tuple]:
-    book = _Workbook(data)
+    for name in sorted(fnmatch.filter(names, "xl/worksheets/*.xml")):
+        yield name, rows(name)
 
-    def padded(sheet: str) -> Iterator[tuple[int, list[str]]]:
-        for number, cells in book.rows(sheet):
-            line = [""] * (1 + max((column for column, _ in cells), default=-1))
-            for column, text in cells:
-                line[column] = text
-            yield number, line
 
-    return _place((sheet, padded(sheet)) for sheet in book.sheets)
+def _xlsx_rows(data: bytes) -> Iterator[tuple]:
+    def padded(rows: Iterator[tuple[int, dict[int, str]]]) -> Iterator[tuple[int, list[str]]]:
+        for number, texts in rows:
+            yield number, [texts.get(column, "") for column in range(max(texts, default=-1) + 1)]
+
+    return _place((name, padded(rows)) for name, rows in _sheets(data))
 
 
 def _xlsx_text(data: bytes) -> Iterator[tuple]:
-    book = _Workbook(data)
-    lines = []
-    for sheet in book.sheets:
-        lines.append(f"\n# {sheet}")
-        for _, cells in book.rows(sheet):
-            filled = [text for _, text in cells if text != ""]
-            if filled:
-                lines.append("\t".join(filled))
-    if not lines:
+    blocks = []
+    for name, rows in _sheets(data):
+        filled = ("\t".join(filter(None, texts.values())) for _, texts in rows)
+        blocks.append("\n".join([f"\n# {name}", *filter(None, filled)]))
+    if not blocks:
         raise ValueError("No readable worksheet text found in XLSX")
-    yield ("\n".join(lines),)
+    yield ("\n".join(blocks),)
 
 
 def _csv_rows(text: str) -> Iterator[tuple]:
@@ -251,10 +254,6 @@ def _csv_rows(text: str) -> Iterator[tuple]:
     return _place([("csv", enumerate(csv.reader(io.StringIO(text), dialect), 1))])
 
 
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
 def _xml_rows(data: bytes) -> Iterator[tuple]:
     for index, record in enumerate(ElementTree.fromstring(data), 1):
         leaves = {}
@@ -265,60 +264,66 @@ def _xml_rows(data: bytes) -> Iterator[tuple]:
         yield index, f"{_local(record.tag)}[{index}]", index, entries
 
 
-class _Events(HTMLParser):
-    """An HTML document as a list of (kind, tag or text) events."""
-
-    def __init__(self, markup: str):
-        super().__init__()
-        self.events: list[tuple[str, str]] = []
-        self.handle_starttag = lambda tag, attrs: self.events.append(("open", tag))
-        self.handle_endtag = lambda tag: self.events.append(("close", tag))
-        self.handle_data = lambda data: self.events.append(("text", data))
-        # No close(): an unfinished tag at the end of the document is not text.
-        self.feed(markup)
+def _marks(markup: str) -> Iterator[tuple[str, str]]:
+    """An HTML document as (what, tag or words), read piece by piece."""
+    found: list[tuple[str, str]] = []
+    parser = HTMLParser()
+    parser.handle_starttag = lambda tag, _: found.append(("open", tag))
+    parser.handle_endtag = lambda tag: found.append(("close", tag))
+    parser.handle_data = lambda words: found.append(("words", words))
+    # Fed in one go, as pieces would split words; no close(): an unfinished tag at the end is not text.
+    parser.feed(markup)
+    yield from found
 
 
 def _html_rows(text: str) -> Iterator[tuple]:
-    depth, row, cell, rows = 0, [], None, []
-    for kind, name in _Events(text).events:
-        if kind == "text":
-            if cell is not None:
-                cell.append(name)
-        elif name == "table":
-            # Depth counts nested tables; a stray closing tag cannot go below zero.
-            depth = depth + 1 if kind == "open" else max(depth - 1, 0)
-        elif depth and name == "tr":
-            if kind == "open":
-                row = []
-            elif any(c.strip() for c in row):
-                # The list itself: a cell met before the next row tag still joins it.
-                rows.append((len(rows) + 1, row))
-        elif depth and name in ("td", "th"):
-            if kind == "open":
-                cell = []
-            elif cell is not None:
-                row.append(" ".join(cell))
-                cell = None
-    return _place([("html-table", rows)])
-
-
-# Elements whose tags break a line of visible text (fixed values).
-_BREAK_ON_OPEN = {"br", "p", "div", "tr", "li", "table"}
-_BREAK_ON_CLOSE = {"p", "div", "tr", "li"}
-_HIDDEN = {"script", "style", "noscript"}
+    """A row is what its cells say up to the next row's tag; it counts once for each of its end
+    tags that comes after a cell with text. Tables in a table are part of its rows."""
+
+    def rows() -> Iterator[list[str]]:
+        tables, ends = 0, 0
+        cells: list[str] = []
+        said: list[str] | None = None
+        for mark in _marks(text):
+            match mark:
+                case "words", words if said is not None:
+                    said.append(words)
+                case "open", "table":
+                    tables += 1
+                case "close", "table" if tables:
+                    tables -= 1
+                case ("open", "tr") if tables:
+                    yield from [cells] * ends
+                    cells, ends = [], 0
+                case ("close", "tr") if tables:
+                    ends += "".join(cells).strip() != ""
+                case ("open", "td" | "th") if tables:
+                    said = []
+                case ("close", "td" | "th") if tables and said is not None:
+                    cells.append(" ".join(said))
+                    said = None
+        yield from [cells] * ends
+
+    return _place([("html-table", enumerate(rows(), 1))])
+
+
+# Elements whose tags break a line of visible text, and those whose content is not shown (fixed values).
+_BREAKS = {("open", tag) for tag in ("br", "p", "div", "tr", "li", "table")} | {
+    ("close", tag) for tag in ("p", "div", "tr", "li")
+}
+_HIDDEN = ("script", "style", "noscript")
 
 
 def _html_text(text: str) -> Iterator[tuple]:
-    hidden, parts = 0, []
-    for kind, name in _Events(text).events:
-        if kind == "text":
-            if not hidden and name.strip():
-                parts.append(name.strip())
-        elif name in _HIDDEN:
-            hidden = hidden + 1 if kind == "open" else max(hidden - 1, 0)
-        elif name in (_BREAK_ON_OPEN if kind == "open" else _BREAK_ON_CLOSE):
-            parts.append("\n")
-    yield (" ".join(parts),)
+    marks = list(_marks(text))
+    moves = ({"open": 1, "close": -1}.get(what, 0) if tag in _HIDDEN else 0 for what, tag in marks)
+    # How many hidden elements are open before each mark; stray end tags count for nothing.
+    hidden = accumulate(moves, lambda depth, move: max(depth + move, 0), initial=0)
+    pieces = (
+        "\n" if mark in _BREAKS else "" if depth or mark[0] != "words" else mark[1].strip()
+        for mark, depth in zip(marks, hidden)
+    )
+    yield (" ".join(filter(None, pieces)),)
 
 
 # PDF syntax and escapes (fixed values; escapes are replaced in this order).
@@ -336,25 +341,28 @@ _PDF_ESCAPES = (
 )
 
 
-def _pdf_literals(data: bytes) -> Iterator[str]:
-    for literal in _PDF_LITERAL.findall(data):
-        plain = literal[1:-1]
-        for escape, meaning in _PDF_ESCAPES:
-            plain = plain.replace(escape, meaning)
-        if plain.decode("latin-1").strip():
-            yield plain.decode("latin-1")
+def _pdf_layers(data: bytes) -> Iterator[bytes]:
+    """The streams of a document as they stand, each followed by what it inflates to, if it does."""
+    for stream in map(itemgetter(1), _PDF_STREAM.finditer(data)):
+        packed = stream.strip(b"\r\n")
+        yield packed
+        with suppress(zlib.error):
+            yield zlib.decompress(packed)
+
+
+def _said_in(layer: bytes) -> list[str]:
+    """The string literals of a layer that are not blank."""
+    found = _PDF_LITERAL.findall(layer)
+    if not found:
+        return []
+    # One text for all literals, so that each escape is replaced in one go; a NUL parts them.
+    whole = reduce(lambda text, escape: text.replace(*escape), _PDF_ESCAPES, b"\0".join(x[1:-1].replace(b"\0", b" ") for x in found))
+    return [words for words in whole.decode("latin-1").split("\0") if words.strip()]
 
 
 def _pdf_text(data: bytes) -> Iterator[tuple]:
-    found: list[str] = []
-    for match in _PDF_STREAM.finditer(data):
-        packed = match[1].strip(b"\r\n")
-        found += _pdf_literals(packed)
-        try:
-            found += _pdf_literals(zlib.decompress(packed))
-        except zlib.error:
-            pass
-    yield (" ".join(found or _pdf_literals(data)),)
+    words = list(chain.from_iterable(map(_said_in, _pdf_layers(data))))
+    yield (" ".join(words or _said_in(data)),)
 
 
 def _table_rows(kind: str, data: bytes | None, text: str | None) -> Iterator[tuple]:
