@@ -14,9 +14,12 @@ last one left open:
   1. each representative with the smallest one it shares a bucket with,
   2. with the smallest one of each of its buckets, where the two are not connected yet,
   3. in buckets that still hold several components: every member outside the largest of them with
-     every member of another component.
+     every member of another component. Such members and buckets are cut into chunks, and a task
+     counts what one chunk of each shares through an inverted index of the first; it returns at
+     most one link for each member and component.
 After that every pair that shares a bucket has been confirmed or refuted or is connected anyway:
-no cap, and no link lost that would join two components. Sizes that differ too much rule a pair out exactly.
+no cap, and no link lost that would join two components. Sizes that differ too much rule a pair
+out exactly.
 
 Shingles are compared by 64-bit hashes. Rows without doc_id are linked with nothing, component null,
 kept; rows that share a doc_id are one document in what they link. Null text is empty. An empty
@@ -189,7 +192,115 @@ def _with_component(members: DataFrame, joined: DataFrame) -> DataFrame:
     return members.join(mine, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def link(documents: DataFrame, words: int = 2, percent: int = SIMILAR) -> DataFrame:
+#: Rows of a bucket in one chunk.
+CHUNK = 512
+
+
+def _crossing(rows: dict[str, list], cut: Shingles, percent: int) -> list[tuple[int, int]]:
+    """Links of one tile between members outside the largest component and members of others."""
+    at = {c: np.array(rows[c]) for c in ("rep", "n", "component", "outside", "mine", "among", "l", "r")}
+    left = np.flatnonzero(at["outside"] & (at["mine"] == at["l"]))
+    right = np.flatnonzero(at["among"] == at["r"])
+    n, component = at["n"], at["component"]
+    small, large = np.minimum.outer(n[right], n[left]), np.maximum.outer(n[right], n[left])
+    asked = (100 * small >= percent * large) & (component[right][:, None] != component[left][None, :])
+    left, right, asked = left[asked.any(axis=0)], right[asked.any(axis=1)], asked[asked.any(axis=1)][:, asked.any(axis=0)]
+    if not len(left):
+        return []
+    sets = [cut.of(rows["text"][i]) for i in left]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(left)), [len(x) for x in sets])
+    held = np.concatenate(sets)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    out: dict[tuple[int, int], int] = {}
+    for y, ask in zip(right, asked, strict=True):
+        mine = cut.of(rows["text"][y])
+        first, last = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
+        length = last - first
+        start = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+        shared = np.bincount(owner[start + np.arange(len(start))], minlength=len(left))
+        good = ask & (100 * shared >= percent * (sizes + len(mine) - shared))
+        for x in left[good]:
+            out.setdefault((int(at["rep"][x]), int(component[y])), int(at["rep"][y]))
+    return [(x, y) for (x, _), y in out.items()]
+
+
+def _cross(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tiles come as runs of rows; a run may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingles(words)
+        held: dict[str, list] = {}
+        tile = None
+        for batch in batches:
+            rows = batch.to_pydict()
+            tiles = list(zip(rows["key"], rows["l"], rows["r"], strict=True))
+            out: list[tuple[int, int]] = []
+            start = 0
+            for end in range(1, len(tiles) + 1):
+                if end < len(tiles) and tiles[end] == tiles[start]:
+                    continue
+                if tile != tiles[start]:
+                    out += _crossing(held, cut, percent) if held else []
+                    held, tile = {c: [] for c in rows}, tiles[start]
+                for c, values in rows.items():
+                    held[c] += values[start:end]
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        if held:
+            out = _crossing(held, cut, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def mixed_links(placed: DataFrame, texts: DataFrame, words: int, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links across the components of buckets. Rows are (key, rep, n, component).
+
+    Pairs of a bucket of two have been tried as its star. In larger ones, rows whose size no member
+    outside the largest component could match are left out first."""
+    counted = placed.groupBy("key", "component").agg(
+        F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    largest = (
+        counted.groupBy("key")
+        .agg(F.max(F.struct("rows", "component")).alias("m"), F.sum("rows").alias("all"), F.count("*").alias("parts"))
+        .where("parts > 1 and all > 2")
+        .select("key", F.col("m.component").alias("largest"))
+    )
+    outside = (
+        counted.join(largest, "key")
+        .where("component != largest")
+        .groupBy("key", "largest")
+        .agg(F.sum("rows").alias("out_rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+    )
+    totals = counted.groupBy("key").agg(F.sum("rows").alias("rows"))
+    figures = outside.join(totals, "key").select(
+        "key", "largest", "low", "high",
+        F.ceil(F.col("out_rows") / chunk).cast("int").alias("lefts"),
+        F.ceil(F.col("rows") / chunk).cast("int").alias("rights"),
+    )
+    fits = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("n") * percent <= F.col("high") * 100)
+    mine, among = (F.pmod(F.xxhash64("rep", F.lit(i)), F.col(c)).cast("int") for i, c in ((1, "lefts"), (2, "rights")))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    right = F.transform(upto("lefts"), lambda i: F.struct(i.alias("l"), F.col("among").alias("r")))
+    left = F.transform(upto("rights"), lambda j: F.struct(F.col("mine").alias("l"), j.alias("r")))
+    tiles = F.when(F.col("outside"), F.array_union(right, left)).otherwise(right)
+    rows = (
+        placed.join(figures, "key")
+        .where(fits)
+        .withColumn("outside", F.col("component") != F.col("largest"))
+        .withColumn("mine", mine)
+        .withColumn("among", among)
+        .withColumn("tile", F.explode(tiles))
+        .select("key", "tile.*", "rep", "n", "component", "outside", "mine", "among")
+    )
+    full = rows.join(texts, "rep").repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+    return full.mapInArrow(_cross(words, percent), _LINKS).distinct()
+
+
+def link(documents: DataFrame, words: int = 2, percent: int = SIMILAR, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     raw = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     signed = written(raw.mapInArrow(_sign(words), SIGNED), "minmax-signed")
@@ -234,31 +345,11 @@ def link(documents: DataFrame, words: int = 2, percent: int = SIMILAR) -> DataFr
     )
     again = written(open_, "minmax-open")
     more = written(confirmed(again, texts, words, percent), "minmax-more")
-    links, tried = links.union(more), tried.union(again)
+    links = links.union(more)
     joined = components(links)
 
-    # Buckets with several components: all against all but the largest component within itself.
-    placed = _with_component(members, joined).select("key", "rep", "n", "component")
-    counted = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    largest = (
-        counted.groupBy("key")
-        .agg(F.max(F.struct("rows", "component")).alias("m"), F.count("*").alias("components"))
-        .where("components > 1")
-        .select("key", F.col("m.component").alias("largest"))
-    )
-    mixed = written(placed.join(largest, "key"), "minmax-mixed")
-    other = mixed.select("key", *[F.col(c).alias(f"other_{c}") for c in ("rep", "n", "component")])
-    left = mixed.where("component != largest")
-    last = (
-        left.join(other, "key")
-        .where("component != other_component")
-        .where("other_component = largest or rep < other_rep")
-        .where(_sizes_allow("n", "other_n", percent))
-        .select(F.greatest("rep", "other_rep").alias("a"), F.least("rep", "other_rep").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    links = links.union(written(confirmed(last, texts, words, percent), "minmax-last"))
+    placed = _with_component(members, joined)
+    links = links.union(written(mixed_links(placed, texts, words, percent, chunk), "minmax-last"))
     joined = components(links).select(F.col("node").alias("rep"), "component")
 
     placed = first.join(joined, "rep", "left").select("class_digest", F.coalesce("component", "rep").alias("component"))
