@@ -34,9 +34,11 @@ def whole(x: str) -> str:
     return f"CAST(round_even({x}, 0) AS BIGINT)"
 
 
-def sanitize(x: str, allowed: str = "A-Za-z0-9_.=:") -> str:
+def sanitize(x: str, allowed: str = "A-Za-z0-9_.=:", limit: int = 160) -> str:
     dashed = f"trim(regexp_replace({x}, '[^{allowed}-]', '-', 'g'), '-')"
-    return f"coalesce(nullif(substr({dashed}, 1, 160), ''), 'unknown')"
+    short = f"substr({dashed}, 1, {limit - 17}) || '-' || substr(sha256({dashed}), 1, 16)"
+    kept = f"(CASE WHEN length({dashed}) > {limit} THEN {short} ELSE {dashed} END)"
+    return f"coalesce(nullif({kept}, ''), 'unknown')"
 
 
 def status_word(x: str) -> str:
@@ -136,7 +138,7 @@ def records(rows: str, name: str = "rec") -> str:
 {name}_1 AS (
   SELECT *, CASE WHEN {sanitize(basis)} = 'unknown'
       THEN 'project-' || substr(sha256({basis}), 1, 16)
-      ELSE substr({sanitize(basis)}, 1, 120) END AS project_key,
+      ELSE {sanitize(basis, limit=120)} END AS project_key,
     CASE WHEN capacity_mw IS NOT NULL THEN 'NET MW POI' END AS capacity_source_field,
     CAST(least(99, 80 + CASE WHEN capacity_mw IS NOT NULL THEN 12 ELSE 0 END
       + CASE WHEN substation_or_node IS NOT NULL THEN 8 ELSE 0 END
@@ -588,7 +590,7 @@ SELECT ord, {whole('number')} AS capacity_mw, header AS capacity_source_field FR
 WITH a AS (
   SELECT ord, coalesce({nullable(clean('q_number'))}, concat_ws('|', {nullable(clean('q_name'))},
     {nullable(clean('q_poi'))})) AS basis FROM ({RAW}))
-SELECT ord, substr({sanitize('basis')}, 1, 120) AS project_key,
+SELECT ord, {sanitize('basis', limit=120)} AS project_key,
   'project-' || substr(sha256(CASE WHEN ord % 2 = 0 THEN '---' ELSE 'unknown' END), 1, 16) AS odd_key
 FROM a""",
     "sanitize_keys": f"""
@@ -656,9 +658,17 @@ SELECT {sanitize("source_queue_id || '-' || project_key")} AS queue_id, source_q
   capacity_mw, status, status AS extracted_status, changed_fields
 FROM merged LEFT JOIN meta USING (source_queue_id)""",
     "snapshot_manifest": f"""WITH {snapshot(CURRENT_ROWS, 'cur')}
-SELECT source_queue_id, count(*) AS record_count,
-  'project-snapshots/' || source_queue_id || '/2024-01-30T09:00:00Z.json' AS snapshot_key
+SELECT source_queue_id, count(*) AS record_count, 0::BIGINT AS delta_count, 0::BIGINT AS persisted_count
 FROM cur GROUP BY source_queue_id""",
+    "document_rejects": """
+WITH d AS (
+  SELECT page_id, encode(html) AS content, CASE WHEN page_id % 3 = 0 THEN 'xlsx' WHEN page_id % 5 = 0 THEN 'bin'
+    ELSE 'html' END AS kind FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS doc_id, octet_length(content) AS byte_count, md5(content) AS content_md5,
+  CASE kind WHEN 'xlsx' THEN 'BadZipFile' ELSE 'NoRecords' END AS error_type,
+  CASE kind WHEN 'xlsx' THEN 'Deterministic project extraction skipped: BadZipFile: File is not a zip file'
+    WHEN 'html' THEN 'Extracted project rows from HTML tables' ELSE '' END AS notes
+FROM d""",
     "latest_snapshot": f"""WITH {HISTORY}
 SELECT source_queue_id, snapshot_seq, project_key, capacity_mw, record_fingerprint FROM history
 JOIN (SELECT source_queue_id, max(snapshot_seq) AS snapshot_seq FROM versions GROUP BY 1)
@@ -690,7 +700,7 @@ SELECT count(*) AS total_signals,
   count(*) FILTER (status = 'Completed') AS completed_signals
 FROM pref""",
     "source_health": f"WITH {INSIGHTS}, {health('pref')} SELECT * FROM health",
-    "health_ratio": f"""WITH {INSIGHTS}, {health('sig')}
+    "health_ratio": f"""WITH {INSIGHTS}, {health('pref')}
 SELECT count(*) FILTER (parser_status = 'HEALTHY') AS healthy_sources, count(*) AS all_sources
 FROM health""",
     "signal_facets": f"""WITH {INSIGHTS}
@@ -765,7 +775,7 @@ SELECT coalesce(s.source_queue_id, c.source_queue_id) AS source_queue_id,
     CASE WHEN s.source_queue_id IS NOT NULL THEN 'SUCCEEDED' END) AS parser_status,
   coalesce(CASE WHEN scan_status = 'error' THEN 'request failed' WHEN scan_status IS NOT NULL THEN '' END,
     last_error) AS last_error,
-  CASE WHEN scan_status = 'error' THEN 'HTTPError' END AS last_error_type,
+  CASE WHEN scan_status = 'error' THEN 'HTTPError' WHEN scan_status IS NOT NULL THEN '' END AS last_error_type,
   CASE WHEN scan_status IS NOT NULL THEN {AS_OF} END AS last_checked_at,
   CASE WHEN scan_status = 'changed' THEN {AS_OF} END AS last_changed_at
 FROM state s FULL JOIN (SELECT * FROM changes WHERE source_queue_id IS NOT NULL) c
@@ -797,7 +807,9 @@ FROM b""",
   strlen(html) > 52428800 AS truncated FROM pages""",
     "probe_fingerprint": r"""
 WITH a AS (SELECT doc_id, n_chars, encode(text) AS content FROM documents)
-SELECT doc_id, 'probe-md5:' || md5(content[1:1048576]) || ';bytes='
+SELECT doc_id, 'probe-md5:' || md5(content) || ';bytes=' || octet_length(content)
+    || ';length=unknown;range=none' AS whole,
+  'probe-md5:' || md5(content[1:1048576]) || ';bytes='
     || least(octet_length(content), 1048576) || ';length=unknown;range=none' AS probe,
   'probe-md5:' || md5(content[1:100]) || ';bytes=' || least(octet_length(content), 100)
     || ';length=' || n_chars || ';range=bytes 0-99' AS short_probe
@@ -808,7 +820,7 @@ WITH a AS (
     ELSE coalesce(nullif(regexp_extract(url_decode(split_part(split_part(url, '?', 1), '#', 1)),
       '^[A-Za-z]+://[^/]*.*/([^/]*)$', 1), ''), 'queue-document') END AS name FROM pages),
 b AS (SELECT page_id, {sanitize('name', 'A-Za-z0-9_.=')} AS name FROM a)
-SELECT page_id, 'raw/dominion-nova-' || page_id || '/2026/05/21/20260521T090000Z-' || name
+SELECT page_id, 'raw/valley-power-' || page_id || '/2026/05/21/20260521T090000Z-' || name
   || CASE WHEN contains(name, '.') THEN '' ELSE '.bin' END AS path FROM b""",
     "content_types": """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'text/html' WHEN 4 THEN 'text/html'
   WHEN 2 THEN 'text/csv' WHEN 6 THEN 'application/pdf'

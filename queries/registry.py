@@ -5,7 +5,7 @@ Arrays and maps are flattened to text so that results compare across engines.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,12 +17,16 @@ from tidemark.operators import catalog as cat
 from tidemark.operators import delta, insights as ins, matrix as mx, quality, records as rec, report
 from tidemark.operators.lookup import ColumnLookup
 from tidemark.plans.ingest import document_records
+from tidemark.plans.run import document_facts, rejected
 from tidemark.sources import decode
 from tidemark.vocabulary import (
+    BASELINE_SAMPLE,
     COUNTY,
     DEVELOPER,
     FUEL,
+    MAX_DELTAS_PER_SOURCE,
     MAX_SOURCE_BYTES,
+    PROBE_BYTES,
     NODE,
     PROJECT_ID,
     PROJECT_NAME,
@@ -42,16 +46,14 @@ def query(fn: Query) -> Query:
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    """Rows computed once for a query that reads them several times.
-
-    They go to the checkpoint folder of the session (spark.checkpoint.dir), which
-    survives a lost executor; a folder is chosen only where none is set.
-    """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
-    return rows.checkpoint()
+    """Rows that a query reads several times: stored once where the session names a folder that all
+    machines share (spark.checkpoint.dir), else worked out again."""
+    folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return rows
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def joined(column: Column | str, separator: str = ",") -> Column:
@@ -284,7 +286,8 @@ def _run(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Current records, all deltas of the run, and the manifest before it."""
     current = kept(fx.current_snapshot(spark, sf))
     manifest = fx.previous_manifest(spark, sf)
-    return current, kept(delta.compare(current, fx.previous_snapshot(spark, sf), manifest)), manifest
+    deltas = delta.compare(current, fx.previous_snapshot(spark, sf), manifest, BASELINE_SAMPLE)
+    return current, kept(deltas), manifest
 
 
 @query
@@ -343,7 +346,7 @@ def baseline_sources(spark, sf):
 @query
 def baseline_top(spark, sf):
     """All sources taken as first-time, so that every one is ranked."""
-    return delta.baseline_top(fx.current_snapshot(spark, sf)).select(
+    return delta.baseline_top(fx.current_snapshot(spark, sf), BASELINE_SAMPLE).select(
         "source_queue_id",
         "project_key",
         "capacity_mw",
@@ -360,7 +363,7 @@ def delta_summary(spark, sf):
 @query
 def delta_select(spark, sf):
     _, deltas, _ = _run(spark, sf)
-    return delta.selected(deltas).select(
+    return delta.selected(deltas, MAX_DELTAS_PER_SOURCE).select(
         "source_queue_id",
         "project_key",
         "delta_type",
@@ -373,14 +376,14 @@ def delta_select(spark, sf):
 def run_counters(spark, sf):
     current, deltas, manifest = _run(spark, sf)
     return delta.run_counters(
-        delta.delta_summary(deltas, current, manifest), delta.selected(deltas)
+        delta.delta_summary(deltas, current, manifest), delta.selected(deltas, MAX_DELTAS_PER_SOURCE)
     )
 
 
 @query
 def run_output(spark, sf):
     current, deltas, manifest = _run(spark, sf)
-    chosen = delta.selected(deltas)
+    chosen = delta.selected(deltas, MAX_DELTAS_PER_SOURCE)
     counters = delta.run_counters(delta.delta_summary(deltas, current, manifest), chosen)
     output = ins.run_output(chosen, counters)
     return output.select(
@@ -417,7 +420,7 @@ def insight_upsert(spark, sf):
     parsed = fx.ntz(fx.AS_OF)
     current, deltas, _ = _run(spark, sf)
     incoming = ins.delta_insights(
-        delta.selected(deltas),
+        delta.selected(deltas, MAX_DELTAS_PER_SOURCE),
         fx.source_metadata(spark, sf),
         fx.run_evidence(spark, sf),
         parsed,
@@ -450,21 +453,31 @@ def insight_upsert(spark, sf):
 
 @query
 def snapshot_manifest(spark, sf):
-    return (
-        fx.current_snapshot(spark, sf)
-        .groupBy("source_queue_id")
-        .agg(F.count("*").alias("record_count"))
-        .select(
-            "source_queue_id",
-            "record_count",
-            F.concat(
-                F.lit("project-snapshots/"),
-                t.sanitize_key("source_queue_id"),
-                F.lit("/"),
-                t.sanitize_key(t.iso_utc(fx.ntz(fx.OBSERVED_AT))),
-                F.lit(".json"),
-            ).alias("snapshot_key"),
-        )
+    """What a run's manifest says of each source, for sources that were all met before."""
+    current = fx.current_snapshot(spark, sf)
+    none = delta.compare(current, current, current)
+    counters = delta.run_counters(delta.delta_summary(none, current, current), none)
+    return counters.select("source_queue_id", "record_count", "delta_count", "persisted_count")
+
+
+@query
+def document_rejects(spark, sf):
+    """Documents of a run that gave no records, and why: the pages as they are, every third one
+    under a wrong name, every fifth of no table format."""
+    key = F.col("page_id")
+    name = F.when(key % 3 == 0, ".xlsx").when(key % 5 == 0, ".bin").otherwise(".html")
+    pages = fx.table(spark, sf, "pages").select(
+        fx.text("page_id").alias("source_queue_id"),
+        fx.text("page_id").alias("doc_id"),
+        F.concat(fx.text("page_id"), name).alias("path"),
+        F.lit(None).cast("string").alias("content_type"),
+        F.encode("html", "UTF-8").alias("content"),
+    )
+    documents = decode.decoded(pages).filter("row_seq is null")
+    counts = spark.createDataFrame([], "source_queue_id string, found bigint, kept bigint")
+    times = pages.select("source_queue_id", fx.ntz(fx.OBSERVED_AT).alias("observed_at"))
+    return rejected(document_facts(documents, counts, times)).select(
+        "doc_id", "byte_count", "content_md5", "error_type", joined("notes", "; ").alias("notes")
     )
 
 
@@ -536,7 +549,8 @@ def source_health(spark, sf):
 
 @query
 def health_ratio(spark, sf):
-    return report.health_ratio(report.source_health(_signals(spark, sf)))
+    """Of the sources that the report itself shows."""
+    return report.health_ratio(report.source_health(report.prefer_deltas(_signals(spark, sf))))
 
 
 @query
@@ -776,7 +790,8 @@ def probe_fingerprint(spark, sf):
     )
     return documents.select(
         "doc_id",
-        cat.probe_fingerprint("content").alias("probe"),
+        cat.probe_fingerprint("content").alias("whole"),
+        cat.probe_fingerprint("content", probe_bytes=PROBE_BYTES).alias("probe"),
         cat.probe_fingerprint("content", "n_chars", F.lit("bytes 0-99"), 100).alias("short_probe"),
     )
 
@@ -788,7 +803,7 @@ def raw_path(spark, sf):
     hint = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("GIS Report "), fx.text("page_id"), F.lit(".xlsx")))
     return pages.select(
         "page_id",
-        cat.raw_path(F.concat(F.lit("dominion/nova "), fx.text("page_id")), "url", time, hint).alias("path"),
+        cat.raw_path(F.concat(F.lit("valley power "), fx.text("page_id")), "url", time, hint).alias("path"),
     )
 
 

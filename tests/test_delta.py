@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import delta, insights
-from tidemark.operators.joins import join_lookup, size_within
+from tidemark.operators.joins import join_lookup
 from tidemark.operators.ranking import top_per_group
 from tidemark.vocabulary import TRACKED_FIELDS
 
@@ -92,7 +92,7 @@ def test_baseline_is_per_source_and_sampled(spark):
     rows = [("new", f"k{i:02d}", i % 5, "Active") for i in range(30)] + [("old", "k", 5, "Active")]
     current = snapshot(spark, rows)
     previous = snapshot(spark, [("old", "gone", 1, "Active")])
-    deltas = delta.compare(current, previous, manifest(spark, "old"))
+    deltas = delta.compare(current, previous, manifest(spark, "old"), 25)
     kinds = {(r.source_queue_id, r.delta_type): r["count"] for r in deltas.groupBy("source_queue_id", "delta_type").count().collect()}
     assert kinds == {("new", "BASELINE"): 25, ("old", "NEW"): 1, ("old", "REMOVED"): 1}
     # Zero ranks below everything, ties keep their first-seen order.
@@ -138,18 +138,16 @@ def test_history_matches_pairwise_diffs(spark):
     assert got == expected
 
 
-def test_salted_join_equals_broadcast_join(spark):
+def test_lookup_joins_keep_the_facts(spark):
     facts = spark.range(500).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source_queue_id"),
         "id",
         F.create_map(F.lit("k"), F.col("id").cast("string")).alias("m"),
     )
     lookup = spark.createDataFrame([("hot", 1), ("s0", 2), ("s3", 3)], "source_queue_id string, v int")
-    assert size_within(lookup) and not size_within(lookup, 10)
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        small = join_lookup(facts, lookup, ["source_queue_id"], how).drop("m")
-        large = join_lookup(facts, lookup, ["source_queue_id"], how, limit=0, salts=5).drop("m")
-        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())), how
+    found = facts.filter("source_queue_id in ('hot', 's0', 's3')").count()
+    sizes = {how: join_lookup(facts, lookup, ["source_queue_id"], how).count() for how in ("left", "inner", "left_semi", "left_anti")}
+    assert sizes == {"left": 500, "inner": found, "left_semi": found, "left_anti": 500 - found}
     with pytest.raises(ValueError):
         join_lookup(facts, lookup, ["source_queue_id"], "right")
 

@@ -1,5 +1,7 @@
 """Text functions against Python's own string behaviour."""
 
+import hashlib
+
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def test_status_words(spark):
 
 def test_sanitize(spark):
     values = ["a b%20c", "100% x", "--", "%C3%A9/x", "a:b", "x" * 200, "%zz%41", "a+b"]
-    expected = ["a-b-c", "100--x", "unknown", "x", "a:b", "x" * 160, "zzA", "a-b"]
+    expected = ["a-b-c", "100--x", "unknown", "x", "a:b", "x" * 143 + "-" + hashlib.sha256(b"x" * 200).hexdigest()[:16], "zzA", "a-b"]
     assert column(spark, values, t.sanitize_key("x")) == expected
     assert column(spark, ["a:b%20"], t.sanitize_path_part("x")) == ["a-b-20"]
 

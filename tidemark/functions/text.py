@@ -106,19 +106,26 @@ def unquote(value: Column | str) -> Column:
     return F.when(text.contains("%"), F.try_url_decode(escaped)).otherwise(text)
 
 
-def _sanitize(text: Column, forbidden: str) -> Column:
+def shortened(text: Column, limit: int) -> Column:
+    """Text of at most `limit` characters; what is cut is told apart by a hash at the end."""
+    digest = F.substring(F.sha2(text, 256), 1, 16)
+    cut = F.concat(F.substring(text, 1, limit - 17), F.lit("-"), digest)
+    return F.when(F.length(text) > limit, cut).otherwise(text)
+
+
+def _sanitize(text: Column, forbidden: str, limit: int) -> Column:
     dashed = F.trim(F.regexp_replace(text, forbidden, "-"), F.lit("-"))
-    return F.coalesce(non_empty(F.substring(dashed, 1, 160)), F.lit("unknown"))
+    return F.coalesce(non_empty(shortened(dashed, limit)), F.lit("unknown"))
 
 
-def sanitize_key(value: Column | str) -> Column:
+def sanitize_key(value: Column | str, limit: int = 160) -> Column:
     """Key part of records and snapshots: unquoted first, `:` allowed."""
-    return _sanitize(unquote(value), r"[^A-Za-z0-9\-_.=:]")
+    return _sanitize(unquote(value), r"[^A-Za-z0-9\-_.=:]", limit)
 
 
 def sanitize_path_part(value: Column | str) -> Column:
     """Part of a raw-document path: taken literally, no `:`."""
-    return _sanitize(as_column(value), r"[^A-Za-z0-9\-_.=]")
+    return _sanitize(as_column(value), r"[^A-Za-z0-9\-_.=]", 160)
 
 
 def safe_timestamp(value: Column | str) -> Column:
@@ -175,9 +182,9 @@ def iso_utc(value: Column | str) -> Column:
     )
 
 
-def looks_like_text(text: Column) -> Column:
-    """At least 85 % printable or space in the first 10 000 characters, and no NUL."""
-    sample = F.substring(text, 1, 10_000)
+def looks_like_text(text: Column, sample_chars: int | None = None) -> Column:
+    """At least 85 % printable or space, and no NUL; in the whole text, or its first characters."""
+    sample = text if sample_chars is None else F.substring(text, 1, sample_chars)
     odd = F.length(
         F.regexp_replace(sample, r"[^\p{C}]|[\t\n\x0B\f\r\x1c-\x1f\x85]", "")
     )

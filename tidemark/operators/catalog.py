@@ -15,7 +15,7 @@ from tidemark.functions.text import (
     unquote,
 )
 from tidemark.operators.ranking import first_per_group
-from tidemark.vocabulary import METADATA_KEYS, PROBE_BYTES
+from tidemark.vocabulary import METADATA_KEYS
 
 # Spellings of the catalog columns, in order of preference (fixed values).
 ID_SPELLINGS = ("QueueID", "queue_id", "id")
@@ -296,10 +296,14 @@ def probe_fingerprint(
     content: Column | str,
     length: Column | str | None = None,
     content_range: Column | str | None = None,
-    probe_bytes: int = PROBE_BYTES,
+    probe_bytes: int | None = None,
 ) -> Column:
-    """md5 of the first bytes with their count and the reported length and range."""
-    head = F.substring(as_column(content), 1, probe_bytes)
+    """md5 of what was read with its size and the reported length and range.
+
+    `probe_bytes` is for sources of which only the first bytes were fetched (PROBE_BYTES, as a rule):
+    a change behind them with an equal length goes unseen then. Landed content is hashed whole."""
+    whole = as_column(content)
+    head = whole if probe_bytes is None else F.substring(whole, 1, probe_bytes)
 
     def reported(value: Column | str | None, default: str) -> Column:
         if value is None:
@@ -412,6 +416,7 @@ def changed_update(changes: DataFrame, checked_at: Column, observed_at: Column)
         F.col("new_fingerprint").alias("last_remote_fingerprint"),
         F.lit("PENDING").alias("parser_status"),
         F.lit("").alias("last_error"),
+        F.lit("").alias("last_error_type"),
     )
 
 
@@ -422,6 +427,7 @@ def unchanged_update(changes: DataFrame, checked_at: Column) -> DataFrame:
         checked_at.alias("last_checked_at"),
         F.col("new_fingerprint").alias("last_remote_fingerprint"),
         F.lit("").alias("last_error"),
+        F.lit("").alias("last_error_type"),
     )
 
 
@@ -432,7 +438,7 @@ def error_update(
     return changes.filter(F.col("scan_status") == "error").select(
         "source_queue_id",
         checked_at.alias("last_checked_at"),
-        F.substring(message, 1, 1000).alias("last_error"),
+        message.alias("last_error"),
         error_type.alias("last_error_type"),
     )
 

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.joins import join_lookup, size_within
+from tidemark.operators.joins import join_lookup
 from tidemark.operators.ranking import top_per_group
 from tidemark.vocabulary import (
     BASELINE,
-    BASELINE_SAMPLE,
     DELTA_PRIORITY,
-    MAX_DELTAS_PER_SOURCE,
     NEW,
     REMOVED,
     TRACKED_FIELDS,
@@ -104,36 +102,48 @@ def split_by_history(current: DataFrame, manifest: DataFrame) -> tuple[DataFrame
     new is a property of the source, not of its rows.
     """
     known = manifest.select("source_queue_id").distinct()
-    small = size_within(known)
     return (
-        join_lookup(current, known, ["source_queue_id"], "left_semi", small=small),
-        join_lookup(current, known, ["source_queue_id"], "left_anti", small=small),
+        join_lookup(current, known, ["source_queue_id"], "left_semi"),
+        join_lookup(current, known, ["source_queue_id"], "left_anti"),
     )
 
 
-def _capacity_or(missing: int) -> Column:
+def capacity_or(missing: int) -> Column:
     """Capacity for ranking; zero ranks like no capacity at all."""
     return F.coalesce(F.nullif(F.col("capacity_mw"), F.lit(0)), F.lit(missing))
 
 
-def baseline_top(first_time: DataFrame, limit: int = BASELINE_SAMPLE) -> DataFrame:
-    """The largest projects of each first-time source."""
-    order = [_capacity_or(-1).desc(), F.col("first_seen"), F.col("project_key")]
+def _unranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("delta_rank", F.lit(None).cast("int"))
+
+
+def baseline_top(first_time: DataFrame, limit: int | None = None) -> DataFrame:
+    """The largest projects of each first-time source; without a limit all of them, unranked."""
+    if limit is None:
+        return _unranked(first_time)
+    order = [capacity_or(-1).desc(), F.col("first_seen"), F.col("project_key")]
     return top_per_group(first_time, ["source_queue_id"], order, limit, "delta_rank")
 
 
-def baseline_deltas(first_time: DataFrame, limit: int = BASELINE_SAMPLE) -> DataFrame:
+def baseline_deltas(first_time: DataFrame, limit: int | None = None) -> DataFrame:
     return baseline_top(first_time, limit).withColumns(
         {"delta_type": F.lit(BASELINE), "changed_fields": F.array().cast("array<string>")}
     )
 
 
-def select_deltas(deltas: DataFrame, limit: int = MAX_DELTAS_PER_SOURCE) -> DataFrame:
-    """Removed, new, updated; then by capacity and key; at most `limit` per source."""
+def delta_priority() -> Column:
+    """Removed, then new, then updated."""
     priority = F.create_map(*[F.lit(x) for pair in DELTA_PRIORITY.items() for x in pair])
+    return F.try_element_at(priority, F.col("delta_type"))
+
+
+def select_deltas(deltas: DataFrame, limit: int | None = None) -> DataFrame:
+    """By kind, capacity and key at most `limit` per source; without a limit all, unranked."""
+    if limit is None:
+        return _unranked(deltas)
     order = [
-        priority[F.col("delta_type")],
-        _capacity_or(0).desc(),
+        delta_priority(),
+        capacity_or(0).desc(),
         F.col("project_key"),
     ]
     return top_per_group(deltas, ["source_queue_id"], order, limit, "delta_rank")
@@ -153,22 +163,31 @@ def compare(
     current: DataFrame,
     previous: DataFrame,
     manifest: DataFrame,
-    baseline_limit: int = BASELINE_SAMPLE,
+    baseline_limit: int | None = None,
+    truncated: DataFrame | None = None,
 ) -> DataFrame:
-    """All deltas of a run: baseline samples of first-time sources and diffs of the others.
+    """All deltas of a run: baselines of first-time sources and diffs of the others.
 
     `previous` holds the latest snapshot of each source; pass it through
     `current_sources` first when some sources may be absent from `current`.
+    `truncated` names sources that a limit has cut: what they lack is not known to be removed.
     """
     seen, first_time = split_by_history(current, manifest)
     moved = diff_snapshots(seen, previous)
+    if truncated is not None:
+        cut = truncated.select("source_queue_id").distinct().withColumn("_cut", F.lit(True))
+        moved = (
+            moved.join(cut, "source_queue_id", "left")
+            .filter(F.col("_cut").isNull() | (F.col("delta_type") != REMOVED))
+            .drop("_cut")
+        )
     return baseline_deltas(first_time, baseline_limit).unionByName(
         moved.withColumn("delta_rank", F.lit(None).cast("int"))
     )
 
 
-def selected(deltas: DataFrame, limit: int = MAX_DELTAS_PER_SOURCE) -> DataFrame:
-    """Deltas to persist with their rank: samples as they are, diffs ranked and cut."""
+def selected(deltas: DataFrame, limit: int | None = None) -> DataFrame:
+    """Deltas to persist: all of them, or with a limit ranked and cut, baselines as they are."""
     is_sample = F.col("delta_type") == BASELINE
     moved = select_deltas(deltas.filter(~is_sample).drop("delta_rank"), limit)
     return deltas.filter(is_sample).unionByName(moved)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import sanitize_key
+from tidemark.operators.delta import capacity_or, delta_priority
 from tidemark.operators.joins import join_lookup
 from tidemark.operators.ranking import first_per_group, top_per_group
 from tidemark.operators.records import extraction
 from tidemark.vocabulary import (
+    BASELINE,
     OUTPUT_SAMPLE,
     PROJECT_DELTA,
     SOURCE_EXTRACTION,
@@ -30,7 +32,7 @@ EVIDENCE = (
 
 
 def insight_id(source: Column, key: Column) -> Column:
-    """Display id; long keys are cut at 160, so rows are told apart by (source, key)."""
+    """Display id; one of over 160 characters ends in a hash of the whole."""
     return sanitize_key(F.concat_ws("-", source, key))
 
 
@@ -42,10 +44,13 @@ def enrich(deltas: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def delta_insights(
-    deltas: DataFrame, catalog: DataFrame, evidence: DataFrame, parsed_at: Column
+    deltas: DataFrame, catalog: DataFrame, evidence: DataFrame, parsed_at: Column | None = None
 ) -> DataFrame:
-    """One PROJECT_DELTA insight per selected delta."""
+    """One PROJECT_DELTA insight per selected delta. The time of parsing is the evidence's own,
+    unless it is given. The evidence has one row per source."""
     names = [c for c in EVIDENCE if c in evidence.columns]
+    if parsed_at is None:
+        names, parsed_at = [*names, "parsed_at"], F.col("parsed_at")
     rows = join_lookup(
         enrich(deltas, catalog), evidence.select("source_queue_id", *names), ["source_queue_id"]
     )
@@ -135,8 +140,16 @@ def upsert_insights(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def run_output(deltas: DataFrame, counters: DataFrame, sample: int = OUTPUT_SAMPLE) -> DataFrame:
-    """One row per source: its counters and the first `sample` selected deltas in rank order."""
-    order = [F.col("delta_rank"), F.col("project_key")]
+    """One row per source: its counters and the first `sample` selected deltas in rank order.
+
+    Deltas without a rank come in the order in which they would be ranked."""
+    order = [
+        F.col("delta_rank").asc_nulls_last(),
+        delta_priority().asc_nulls_first(),
+        capacity_or(-1).desc(),
+        F.when(F.col("delta_type") == BASELINE, F.col("first_seen")).asc_nulls_first(),
+        F.col("project_key"),
+    ]
     shown = top_per_group(deltas, ["source_queue_id"], order, sample, "sample_rank")
     fields = [c for c in deltas.columns if c not in ("source_queue_id", "delta_rank")]
     samples = shown.groupBy("source_queue_id").agg(

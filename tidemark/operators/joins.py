@@ -1,50 +1,18 @@
-"""Joins to small lookup tables, with the size checked before broadcasting."""
+"""Joins to tables that have one row per key."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import AtomicType, VariantType
+from pyspark.sql import DataFrame
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 
-
-def _hashable(kind) -> bool:
-    return isinstance(kind, AtomicType) and not isinstance(kind, VariantType)
-
-
-def size_within(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the rows of a table, written as JSON, stay within `limit` bytes."""
-    size = F.length(F.to_json(F.struct("*")))
-    return (table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) <= limit
-
-
-def join_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    limit: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-    small: bool | None = None,
-) -> DataFrame:
+def join_lookup(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join many rows to a lookup table that has one row per key.
 
-    Within `limit` the lookup is broadcast. Beyond it, the facts are spread over
-    `salts` parts per key and the lookup is repeated once per part, so a key
-    that holds a large share of the facts is not joined by one task. `small`
-    is the outcome of `size_within` where the caller has it already.
+    How is left to Spark: it broadcasts the lookup when its measured size allows, and otherwise
+    splits a key that holds a large share of the facts, which it can as they are the preserved side.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"the facts must be the preserved side, not {how}")
-    keys = list(on)
-    if size_within(lookup, limit) if small is None else small:
-        return facts.join(F.broadcast(lookup), keys, how)
-    # Maps and variants cannot be hashed; any plain columns spread the rows.
-    plain = [f.name for f in facts.schema if _hashable(f.dataType)]
-    others = [F.col(f"`{c}`") for c in plain if c not in keys]
-    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(lookup, list(on), how)

@@ -124,18 +124,14 @@ class ColumnLookup:
             )
         )
 
-    def source_row(self, limit: int = 80) -> Column:
-        """MAP of the non-blank cells: keys to 80 and values to 500 characters."""
-        short = [h[:80] for h in self.headers]
-        names = F.array(*[F.lit(h) for h in self.headers])
-        if len(short) > limit or len(set(short)) < len(short):
+    def source_row(self) -> Column:
+        """MAP of the non-blank cells, whole."""
+        if len(set(self.headers)) < len(self.headers):
+            names = F.array(*[F.lit(h) for h in self.headers])
             pairs = F.arrays_zip(names.alias("header"), F.col("_cells").alias("value"))
-            return compact_row(F.filter(pairs, lambda e: e["value"] != ""), limit)
+            return compact_row(F.filter(pairs, lambda e: e["value"] != ""))
         return F.map_filter(
-            F.map_from_arrays(
-                F.array(*[F.lit(h) for h in short]),
-                F.transform("_cells", lambda c: F.substring(c, 1, 500)),
-            ),
+            F.map_from_arrays(F.array(*[F.lit(h) for h in self.headers]), F.col("_cells")),
             lambda _, value: value != "",
         )
 
@@ -181,24 +177,17 @@ class EntryLookup:
         )
         return _best_capacity(candidates)
 
-    def source_row(self, limit: int = 80) -> Column:
-        return compact_row(F.col("entries"), limit)
+    def source_row(self) -> Column:
+        return compact_row(F.col("entries"))
 
 
-def compact_row(entries: Column, limit: int = 80) -> Column:
-    """MAP of at most `limit` entries, keys to 80 and values to 500 characters."""
-    short = F.transform(
-        entries,
-        lambda e: F.struct(
-            F.substring(e["header"], 1, 80).alias("key"),
-            F.substring(e["value"], 1, 500).alias("value"),
-        ),
-    )
-    keys = F.transform(entries, lambda e: F.substring(e["header"], 1, 80))
-    # Long headers can share their first 80 characters: first place, last value.
+def compact_row(entries: Column) -> Column:
+    """MAP of the entries, whole; of repeated headers the first place and the last value count."""
+    keys = F.transform(entries, lambda e: e["header"])
+    pairs = F.transform(entries, lambda e: F.struct(e["header"].alias("key"), e["value"].alias("value")))
     merged = F.transform(
         F.array_distinct(keys),
-        lambda k: F.element_at(F.filter(short, lambda x: x["key"] == k), -1),
+        lambda k: F.element_at(F.filter(pairs, lambda x: x["key"] == k), -1),
     )
-    distinct = F.when(F.size(F.array_distinct(keys)) == F.size(keys), short).otherwise(merged)
-    return F.map_from_entries(F.slice(distinct, 1, limit))
+    distinct = F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(merged)
+    return F.map_from_entries(distinct)

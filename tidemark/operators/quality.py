@@ -163,7 +163,7 @@ def validate_leads(bodies: DataFrame, created_at: Column, origin: str) -> DataFr
 
     def field(name: str) -> Column:
         text = F.coalesce(member_text(F.col("_value"), name), F.lit(""))
-        return F.substring(strip(text), 1, 2000)
+        return strip(text)
 
     fields = {name: field(name) for name in ("company", "role", "territories", "use_case", "name")}
     fields["email"] = F.lower(field("email"))

@@ -17,7 +17,6 @@ from tidemark.vocabulary import (
     COUNTY,
     DEVELOPER,
     FUEL,
-    MAX_PROJECT_RECORDS,
     MISSING_CAPACITY,
     MISSING_NODE,
     NEEDS_REVIEW,
@@ -82,11 +81,13 @@ def key_basis(project_id: Column, project_name: Column, node: Column) -> Column:
 
 
 def with_project_key(rows: DataFrame, basis: str = "basis") -> DataFrame:
-    """Adds project_key: the basis as a safe key of at most 120 characters."""
+    """Adds project_key: the basis as a safe key of at most 120 characters.
+
+    A longer one ends in a hash of the whole, so different projects stay apart."""
     digest = F.concat(F.lit("project-"), F.substring(F.sha2(F.col(basis), 256), 1, 16))
-    return rows.withColumn("_safe", sanitize_key(basis)).withColumn(
+    return rows.withColumn("_safe", sanitize_key(basis, 120)).withColumn(
         "project_key",
-        F.when(F.col("_safe") == "unknown", digest).otherwise(F.substring("_safe", 1, 120)),
+        F.when(F.col("_safe") == "unknown", digest).otherwise(F.col("_safe")),
     ).drop("_safe")
 
 
@@ -273,15 +274,17 @@ def dedupe_records(records: DataFrame) -> DataFrame:
     )
 
 
-def limit_records(records: DataFrame, limit: int = MAX_PROJECT_RECORDS) -> DataFrame:
-    """The first `limit` records of each source by first appearance."""
+def limit_records(records: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` records of each source by first appearance.
+
+    A source that is cut must not report what is missing as removed: see `delta.compare`."""
     order = [F.col("first_seen"), F.col("project_key")]
     return top_per_group(records, ["source_queue_id"], order, limit)
 
 
 def build_records(
-    raw_records: DataFrame, ignore_location: bool = False, limit: int | None = MAX_PROJECT_RECORDS
+    raw_records: DataFrame, ignore_location: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """Deduplicated, fingerprinted and limited records, ready for a snapshot."""
+    """Deduplicated and fingerprinted records, ready for a snapshot; limited only if told so."""
     ready = with_fingerprints(dedupe_records(raw_records), ignore_location)
     return ready if limit is None else limit_records(ready, limit)

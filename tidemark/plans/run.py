@@ -6,25 +6,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators import catalog, delta, insights
-from tidemark.operators.records import build_records
-from tidemark.plans.ingest import document_records
+from tidemark.operators import catalog, delta, insights, matrix
+from tidemark.operators.ranking import first_per_group
+from tidemark.operators.records import build_records, limit_records, records_from_entries
 from tidemark.sinks.reports import write_run_output
 from tidemark.sinks.store import DeltaStore
-from tidemark.vocabulary import (
-    BASELINE_SAMPLE,
-    MAX_DELTAS_PER_SOURCE,
-    MAX_PROJECT_RECORDS,
-    MAX_SOURCE_BYTES,
-)
+from tidemark.sources import decode
+
+NO_FORMAT = "No table format for this document"
+NO_RECORDS = "No project records found"
 
 
 @dataclass(frozen=True)
 class Limits:
-    records: int | None = MAX_PROJECT_RECORDS
-    deltas: int = MAX_DELTAS_PER_SOURCE
-    baseline: int = BASELINE_SAMPLE
-    document_bytes: int = MAX_SOURCE_BYTES
+    """No limit unless one is given. A limit that cuts leaves a note and marks the source as
+    truncated, and a truncated source reports nothing as removed."""
+
+    records: int | None = None
+    deltas: int | None = None
+    baseline: int | None = None
+    document_bytes: int | None = None
 
 
 def catalog_metadata(store: DeltaStore) -> DataFrame:
@@ -42,74 +43,200 @@ def catalog_metadata(store: DeltaStore) -> DataFrame:
     )
 
 
+def document_facts(
+    documents: DataFrame, counts: DataFrame, observed: DataFrame, limits: Limits = Limits()
+) -> DataFrame:
+    """One row per document: what became of it.
+
+    `documents` are the document rows of `decode.decoded`, `counts` has found and kept records of
+    each source, `observed` the time of each source. `error` says why a document gave no records.
+    """
+    found, kept = F.coalesce("found", F.lit(0)), F.coalesce("kept", F.lit(0))
+    failed = F.col("error").isNotNull()
+    why = (
+        F.when(failed, F.col("error"))
+        .when(F.col("format").isNull(), NO_FORMAT)
+        .when(found == 0, NO_RECORDS)
+    )
+    cut_bytes = (
+        F.lit(False) if limits.document_bytes is None else F.col("byte_count") > limits.document_bytes
+    )
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    notes = F.array_compact(
+        F.array(
+            F.when(failed, say(decode.SKIPPED_NOTE, F.col("error"))).otherwise(decode.format_note(F.col("format"))),
+            F.when(cut_bytes, say("Document truncated from ", F.col("byte_count").cast("string"), f" to {limits.document_bytes} bytes")),
+            F.when(found > kept, say("Project rows truncated from ", found.cast("string"), " to ", kept.cast("string"), " records")),
+        )
+    )
+    return (
+        documents.join(counts, "source_queue_id", "left")
+        .join(observed, "source_queue_id", "left")
+        .select(
+            "source_queue_id",
+            "doc_id",
+            "path",
+            "observed_at",
+            "content_md5",
+            "byte_count",
+            "format",
+            notes.alias("notes"),
+            (cut_bytes | (found > kept)).alias("truncated"),
+            F.when(failed, F.substring_index("error", ":", 1))
+            .when(why.isNotNull(), "NoRecords")
+            .alias("error_type"),
+            why.alias("error"),
+        )
+    )
+
+
+def rejected(facts: DataFrame) -> DataFrame:
+    """Documents that gave no records."""
+    return facts.filter(F.col("error").isNotNull())
+
+
 def ingest(
     store: DeltaStore,
     documents: DataFrame,
     run_id: str,
     observed_at: Column,
     limits: Limits = Limits(),
+    parsed_at: Column | None = None,
 ) -> DataFrame:
     """Process one document per source; gives the run's manifest rows.
 
-    Run ids sort by time. Each stage is written before the next one reads it
-    back, so a lost executor never recomputes the decoding, and the manifest is
-    written last. Sources whose document gives no records are left untouched.
+    Run ids sort by time. Documents are read and decoded in one pass; every later step works on
+    stored tables, so a lost executor never recomputes the decoding, and the manifest is written
+    last. Two documents of one source are an error before anything is written. A document that
+    cannot be read, or gives no records, goes to the rejects and fails its source; the source
+    keeps its snapshot and its fingerprint, so the next scan finds it changed again.
     """
-    bounded = documents.withColumn("content", F.substring("content", 1, limits.document_bytes))
-    records = build_records(document_records(bounded), limit=limits.records)
-    store.write("records", records, run_id)
+    parsed_at = observed_at if parsed_at is None else parsed_at
+    times = documents.select(
+        "source_queue_id", observed_at.alias("observed_at"), parsed_at.alias("parsed_at")
+    )
+    twice = times.groupBy("source_queue_id").count().filter("count > 1").head()
+    if twice is not None:
+        raise ValueError(f"{twice['count']} documents of {twice['source_queue_id']} in one run")
+
+    store.write("decoded", decode.decoded(documents, limits.document_bytes), run_id)
+    decoded = store.of_run("decoded", run_id)
+    rows = decoded.filter("row_seq is not null").drop("error", "snapshot_id")
+    ready = build_records(records_from_entries(matrix.keyed_rows(rows, block_rows=None)))
+    store.write(
+        "records", ready if limits.records is None else limit_records(ready, limits.records), run_id
+    )
     current = store.of_run("records", run_id).drop("snapshot_id")
+    kept = current.groupBy("source_queue_id").agg(F.count("*").alias("kept"))
+    found = kept.withColumn("found", F.col("kept"))
+    if limits.records is not None:
+        found = kept.join(
+            ready.groupBy("source_queue_id").agg(F.count("*").alias("found")), "source_queue_id"
+        )
+    facts = document_facts(decoded.filter("row_seq is null"), found, times, limits)
+    store.write("rejects", rejected(facts), run_id)
+    good = facts.filter(F.col("error").isNull()).drop("error", "error_type", "doc_id")
 
     manifest = store.manifest_before(run_id)
-    previous = delta.current_sources(store.latest_before(run_id), current)
+    previous = delta.current_sources(store.latest_before(run_id, good), current)
+    cutting = limits.records is not None or limits.document_bytes is not None
+    truncated = good.filter("truncated") if cutting else None
     store.write(
-        "deltas", delta.compare(current, previous, manifest, limits.baseline), run_id
+        "deltas", delta.compare(current, previous, manifest, limits.baseline, truncated), run_id
     )
     deltas = store.of_run("deltas", run_id).drop("snapshot_id")
 
-    evidence = documents.select(
-        "source_queue_id",
-        observed_at.alias("observed_at"),
-        F.col("path").alias("raw_s3_key"),
-        F.md5("content").alias("content_md5"),
-        F.concat(F.lit(f"{store.root}/outputs/"), F.lit(run_id)).alias("output_s3_key"),
-    ).join(current.select("source_queue_id").distinct(), "source_queue_id", "left_semi")
     metadata = catalog_metadata(store)
+    pending = store.latest_rows("state").select(
+        "source_queue_id",
+        F.coalesce(F.nullif("pending_fingerprint", F.lit("")), "last_remote_fingerprint").alias(
+            "remote_fingerprint"
+        ),
+    )
+    evidence = (
+        good.join(times.select("source_queue_id", "parsed_at"), "source_queue_id")
+        .join(metadata.select("source_queue_id", "catalog_source_url"), "source_queue_id", "left")
+        .join(pending, "source_queue_id", "left")
+        .withColumns(
+            {
+                "source_url": F.col("catalog_source_url"),
+                "raw_s3_bucket": F.nullif(F.regexp_extract("path", "^s3[an]?://([^/]+)/", 1), F.lit("")),
+                "raw_s3_key": F.col("path"),
+                "output_s3_key": F.lit(f"{store.root}/outputs/{run_id}"),
+            }
+        )
+    )
     chosen = delta.selected(deltas, limits.deltas)
     store.write(
         "insights",
-        insights.delta_insights(
-            chosen, metadata.drop("catalog_source_url"), evidence, F.current_timestamp()
-        ),
+        insights.delta_insights(chosen, metadata.drop("catalog_source_url"), evidence),
         run_id,
     )
-    kept = store.of_run("insights", run_id)
-    counters = delta.run_counters(delta.delta_summary(deltas, current, manifest), kept)
-    write_run_output(
-        insights.run_output(chosen, counters), f"{store.root}/outputs/{run_id}"
+    kept_insights = store.of_run("insights", run_id)
+    summary = delta.delta_summary(deltas, current, manifest)
+    counters = delta.run_counters(summary, kept_insights)
+    output = insights.run_output(chosen, counters).join(
+        good.select("source_queue_id", "notes", "truncated"), "source_queue_id", "left"
     )
+    newest = manifest.groupBy("source_queue_id").agg(F.max("snapshot_id").alias("previous_snapshot_id"))
+    counts = F.struct(*delta.SUMMARY_COLUMNS)
+    output = (
+        output.join(summary.select("source_queue_id", counts.alias("delta_summary")), "source_queue_id", "left")
+        .join(newest, "source_queue_id", "left")
+        .withColumn("current_snapshot_id", F.lit(run_id))
+    )
+    write_run_output(output, f"{store.root}/outputs/{run_id}")
     store.write("manifest", evidence.join(counters, "source_queue_id"), run_id)
     done = store.of_run("manifest", run_id)
     # Sorts after what a scan of the same run has written.
-    store.write("state", _parsed_state(store, done), f"{run_id}-parsed")
+    as_text = summary.select("source_queue_id", F.to_json(counts).alias("last_delta_summary"))
+    state = _parsed_state(store, done, as_text, store.of_run("rejects", run_id))
+    store.write("state", state, f"{run_id}-parsed")
     return done
 
 
-def _parsed_state(store: DeltaStore, done: DataFrame) -> DataFrame:
-    """State of the run's sources after parsing."""
-    updates = done.select(
-        "source_queue_id",
-        F.lit("SUCCEEDED").alias("parser_status"),
-        F.col("observed_at").alias("last_changed_at"),
-        F.col("content_md5").alias("last_content_md5"),
-        F.col("snapshot_id").alias("last_snapshot_id"),
-        F.col("record_count").alias("last_record_count"),
-        F.col("delta_count").alias("last_delta_count"),
-        F.lit("").alias("last_error"),
+def _parsed_state(
+    store: DeltaStore, done: DataFrame, summaries: DataFrame, rejects: DataFrame
+) -> DataFrame:
+    """State of the run's sources after parsing: the fingerprint that the scan has met becomes the
+    last one only where the parse succeeded."""
+    latest = store.latest_rows("state")
+    pending = latest.select(
+        "source_queue_id", F.nullif("pending_fingerprint", F.lit("")).alias("last_remote_fingerprint")
     )
-    old = store.latest_rows("state").join(
-        done.select("source_queue_id"), "source_queue_id", "left_semi"
+    updates = (
+        done.join(summaries, "source_queue_id", "left")
+        .join(pending, "source_queue_id", "left")
+        .select(
+            "source_queue_id",
+            F.lit("SUCCEEDED").alias("parser_status"),
+            F.col("observed_at").alias("last_changed_at"),
+            F.col("observed_at").alias("last_parsed_at"),
+            F.col("content_md5").alias("last_content_md5"),
+            F.col("snapshot_id").alias("last_snapshot_id"),
+            F.col("record_count").alias("last_record_count"),
+            F.col("delta_count").alias("last_delta_count"),
+            "last_remote_fingerprint",
+            F.lit("").alias("pending_fingerprint"),
+            F.col("raw_s3_key").alias("last_raw_key"),
+            F.col("format").alias("last_format"),
+            F.col("byte_count").alias("last_bytes"),
+            "last_delta_summary",
+            F.lit("").alias("last_error"),
+            F.lit("").alias("last_error_type"),
+        )
+    )
+    failures = rejects.select(
+        "source_queue_id",
+        F.lit("FAILED").alias("parser_status"),
+        F.col("observed_at").alias("last_parsed_at"),
+        F.col("path").alias("last_raw_key"),
+        F.col("byte_count").alias("last_bytes"),
+        F.col("error").alias("last_error"),
+        F.col("error_type").alias("last_error_type"),
     )
+    updates = updates.unionByName(failures, allowMissingColumns=True)
+    old = latest.join(updates.select("source_queue_id"), "source_queue_id", "left_semi")
     return catalog.upsert_state(old, updates)
 
 
@@ -123,8 +250,10 @@ def scan(
     changes = catalog.detect_changes(
         store.latest_rows("catalog"), store.latest_rows("state"), landed
     )
+    # What a changed source shows now is stored as pending: only a parse that succeeds settles it.
+    changed = catalog.changed_update(changes, checked_at, checked_at)
     updates = (
-        catalog.changed_update(changes, checked_at, checked_at)
+        changed.withColumnRenamed("last_remote_fingerprint", "pending_fingerprint")
         .unionByName(catalog.unchanged_update(changes, checked_at), allowMissingColumns=True)
         .unionByName(
             catalog.error_update(
@@ -141,9 +270,11 @@ def scan(
 
 
 def seed(store: DeltaStore, rows: DataFrame, run_id: str, now: Column) -> DataFrame:
-    """Add or update catalog rows; gives the rejected ones."""
+    """Add or update catalog rows; gives the rejected ones. Of a source named more than once the
+    greatest row counts, by URL, then its other values."""
     normal = catalog.normalize_catalog(rows)
-    incoming = catalog.accepted(normal)
+    best = F.struct("source_url", "active", F.to_json(F.sort_array(F.map_entries("extra"))))
+    incoming = first_per_group(catalog.accepted(normal), ["source_queue_id"], best)
     merged = catalog.upsert_catalog(store.latest_rows("catalog"), incoming, now)
     store.write("catalog", merged, run_id)
     return catalog.rejected(normal)

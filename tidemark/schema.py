@@ -21,9 +21,23 @@ SNAPSHOT = """
 # One row per source and snapshot; written last, so a row means the snapshot is complete.
 MANIFEST = """
     source_queue_id string, observed_at timestamp, raw_s3_key string, content_md5 string,
+    byte_count bigint, format string, notes array<string>, truncated boolean,
     record_count bigint, delta_count bigint, persisted_count bigint, snapshot_id string
 """
 
+# Rows of a run's documents as decoded, and one row for each document (no row_seq).
+DECODED = """
+    source_queue_id string, doc_id string, path string, content_md5 string, byte_count bigint,
+    format string, sheet string, row_seq bigint, ord bigint, row_number bigint,
+    cells array<string>, own_header array<string>, error string, snapshot_id string
+"""
+
+# Documents that gave no records, and why.
+REJECT = """
+    source_queue_id string, doc_id string, path string, observed_at timestamp, content_md5 string,
+    byte_count bigint, error string, error_type string, notes array<string>, snapshot_id string
+"""
+
 # All deltas of a run, before any cut.
 DELTA = SNAPSHOT.replace(
     "snapshot_id string",
@@ -53,7 +67,9 @@ STATE = """
     source_queue_id string, last_checked_at timestamp, last_changed_at timestamp,
     last_remote_fingerprint string, last_hash string, etag string, last_content_md5 string,
     parser_status string, last_error string, last_error_type string, last_snapshot_id string,
-    last_record_count bigint, last_delta_count bigint, snapshot_id string
+    last_record_count bigint, last_delta_count bigint, pending_fingerprint string,
+    last_parsed_at timestamp, last_raw_key string, last_format string, last_bytes bigint,
+    last_delta_summary string, snapshot_id string
 """
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"

@@ -7,6 +7,8 @@ manifest, written last, tells which runs are complete.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -22,6 +24,8 @@ SCHEMAS = {
     "insights": schema.INSIGHT,
     "catalog": schema.CATALOG,
     "state": schema.STATE,
+    "decoded": schema.DECODED,
+    "rejects": schema.REJECT,
 }
 
 
@@ -43,28 +47,24 @@ class DeltaStore:
             return self.spark.createDataFrame([], SCHEMAS[table])
 
     def write(self, table: str, rows: DataFrame, run_id: str) -> None:
-        """Replace the run's partition of a table.
+        """Replace the run's partition of a table, also by nothing.
 
         The rebalance evens out file sizes by source; a source with very many
         rows is split over several files.
         """
         target = StructType.fromDDL(SCHEMAS[table])
-        labelled = rows.withColumn("snapshot_id", F.lit(run_id))
-        cast = labelled.select(
+        cast = rows.select(
             *[
-                (F.col(f.name) if f.name in labelled.columns else F.lit(None))
+                (F.col(f.name) if f.name in rows.columns else F.lit(None))
                 .cast(f.dataType)
                 .alias(f.name)
                 for f in target
+                if f.name != "snapshot_id"
             ]
         )
-        (
-            cast.hint("rebalance", F.col("source_queue_id"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("snapshot_id")
-            .parquet(f"{self.root}/{table}")
-        )
+        # Written to the partition's own folder: a dynamic overwrite leaves it alone without rows.
+        folder = f"{self.root}/{table}/snapshot_id={quote(run_id, safe='')}"
+        cast.hint("rebalance", F.col("source_queue_id")).write.mode("overwrite").parquet(folder)
 
     def of_run(self, table: str, run_id: str) -> DataFrame:
         return self.read(table).filter(F.col("snapshot_id") == run_id)
@@ -73,13 +73,15 @@ class DeltaStore:
         """Complete snapshots older than a run; ids sort by time."""
         return self.read("manifest").filter(F.col("snapshot_id") < run_id)
 
-    def latest_before(self, run_id: str) -> DataFrame:
-        """Records of each source's newest snapshot older than a run.
+    def latest_before(self, run_id: str, sources: DataFrame | None = None) -> DataFrame:
+        """Records of each source's newest snapshot older than a run, or of some sources only.
 
         Fails when the manifest promises other records than there are, rather
         than report everything as new or removed.
         """
         manifest = self.manifest_before(run_id)
+        if sources is not None:
+            manifest = manifest.join(sources.select("source_queue_id").distinct(), "source_queue_id", "left_semi")
         newest = latest_versions(manifest)
         records = latest_records(self.read("records"), manifest)
         promised = manifest.join(newest, ["source_queue_id", "snapshot_id"]).select(

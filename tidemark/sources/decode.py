@@ -75,6 +75,23 @@ KEYED_SCHEMA = {
     "entries": ENTRY_TYPE,
     "error": "string",
 }
+# Rows of all documents, each with what is known of its document; a document's last row has no
+# row_seq and stands for the document itself.
+DECODED_SCHEMA = {
+    "source_queue_id": "string",
+    "doc_id": "string",
+    "path": "string",
+    "content_md5": "string",
+    "byte_count": "bigint",
+    "format": "string",
+    "sheet": "string",
+    "row_seq": "bigint",
+    "ord": "bigint",
+    "row_number": "bigint",
+    "cells": "array<string>",
+    "own_header": "array<string>",
+    "error": "string",
+}
 TEXT_SCHEMA = {
     "source_queue_id": "string",
     "doc_id": "string",
@@ -99,6 +116,7 @@ _ARROW_TYPES = {
 _ROWS_PER_BATCH = 4096
 # Sheets of one document are spaced this far apart in `ord`.
 SHEET_SPAN = 1 << 32
+#: Characters that the dialect of a CSV is guessed from: the guess takes more than linear time.
 CSV_SAMPLE_CHARS = 8192
 MIN_PDF_CHARS = 50
 SHORT_PDF = "Could not extract enough text from PDF with the built-in reader"
@@ -418,11 +436,12 @@ def html_visible_text(documents: DataFrame) -> DataFrame:
     return raw.withColumn("text", normalize_lines("text"))
 
 
-def pdf_text(documents: DataFrame) -> DataFrame:
-    """Best effort: string literals of the plain or inflated streams; too little is an error."""
+def pdf_text(documents: DataFrame, min_chars: int = MIN_PDF_CHARS) -> DataFrame:
+    """Best effort: string literals of the plain or inflated streams; fewer than `min_chars`
+    characters are an error."""
     raw = _per_document(documents, [F.col("content")], _pdf_text, TEXT_SCHEMA)
     tidy = raw.withColumn("text", normalize_lines("text"))
-    short = F.col("error").isNull() & (F.length("text") < MIN_PDF_CHARS)
+    short = F.col("error").isNull() & (F.length("text") < min_chars)
     return tidy.withColumns(
         {
             "error": F.when(
@@ -433,6 +452,41 @@ def pdf_text(documents: DataFrame) -> DataFrame:
     )
 
 
+def _rows_and_end(
+    path: str, md5: str, size: int, kind: str | None, data: bytes | None, text: str | None
+) -> Iterator[tuple]:
+    if kind is not None:
+        yield from _table_rows(kind, data, text)
+    yield (None,) * 6
+
+
+def decoded(documents: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """All documents in one pass over their content: their rows, and one row for each document.
+
+    `content_md5` and `byte_count` are those of the whole content, also where `max_bytes` cuts it.
+    A document that cannot be read has its one row, with `error`; one of no table format has no
+    `format`.
+    """
+    kind = table_format("path", "content_type")
+    whole = F.col("content")
+    taken = whole if max_bytes is None else F.substring(whole, 1, max_bytes)
+    inputs = [
+        F.col("path"),
+        F.md5(whole),
+        F.octet_length(whole).cast("bigint"),
+        kind,
+        F.when(kind.isin("xlsx", "xml"), taken),
+        F.when(kind.isin("csv", "html"), decode_text(taken)),
+    ]
+    return _per_document(documents, inputs, _rows_and_end, DECODED_SCHEMA, carried=4)
+
+
+def format_note(kind: Column) -> Column:
+    """What was done with a document of a table format."""
+    notes = {"xlsx": XLSX_NOTE, "xml": XML_NOTE, "html": HTML_NOTE, "csv": CSV_NOTE}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in notes.items() for x in pair]), kind)
+
+
 def table_rows(documents: DataFrame) -> DataFrame:
     """Rows of all table documents, whatever their format, in one pass over the corpus.
 

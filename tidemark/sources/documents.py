@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import content_type
-from tidemark.vocabulary import MAX_SOURCE_BYTES
 
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -26,9 +25,10 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> D
     )
 
 
-def describe(documents: DataFrame, max_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
-    """Documents with byte count, md5 and type; content past `max_bytes` is not taken."""
-    taken = F.substring("content", 1, max_bytes)
+def describe(documents: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Documents with byte count, md5 and type; content past a given `max_bytes` is not taken."""
+    whole = F.col("content")
+    taken = whole if max_bytes is None else F.substring(whole, 1, max_bytes)
     return documents.withColumns(
         {
             "byte_count": F.octet_length("content").cast("bigint"),
@@ -38,7 +38,7 @@ def describe(documents: DataFrame, max_bytes: int = MAX_SOURCE_BYTES) -> DataFra
                 "path",
                 F.lit(None).cast("string"),
             ),
-            "truncated": F.octet_length("content") > max_bytes,
+            "truncated": F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes,
             "content": taken,
         }
     )
