@@ -834,6 +834,19 @@ SELECT o_orderkey, CASE WHEN e = 0 OR t = 1 THEN 'xlsx' WHEN e = 1 OR t = 3 THEN
   CASE WHEN e = 0 OR t = 1 THEN 'xlsx' WHEN e IN (2, 3) OR t = 2 THEN 'html' WHEN e = 5 THEN 'pdf'
     ELSE 'plain' END AS text_format
 FROM a""",
+    "html_visible_text": r"""
+WITH shown AS (
+  SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '<s>', 'gs'),
+    '<!--.*?-->', '<s>', 'gs') AS x FROM pages),
+broken AS (
+  SELECT page_id, regexp_replace(regexp_replace(x, '<(br|p|div|tr|li|table)([ /][^>]*)?>|</(p|div|tr|li)>', chr(10), 'g'),
+    '<[^>]*>', ' ', 'g') AS x FROM shown),
+said AS (
+  SELECT page_id, replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS x
+  FROM broken)
+SELECT CAST(page_id AS VARCHAR) AS doc_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)),
+  lambda l: trim(regexp_replace(l, '[ \t]+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text, NULL AS error
+FROM said""",
     "whitespace_lines": r"""
 WITH a AS (
   SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS lines

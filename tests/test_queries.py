@@ -32,4 +32,4 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(ORACLES) == {"html_visible_text", "document_text"}
+    assert set(QUERIES) - set(ORACLES) == {"document_text"}
