@@ -28,20 +28,20 @@ WITH RECURSIVE sizes AS (
 ), quotas AS (
   SELECT *, round(target - whole * source_size)::BIGINT AS quota FROM epochs
 ), seeded AS (
-  SELECT *, md5(coalesce(doc_id::VARCHAR, '')) AS at FROM sizes
+  SELECT *, md5(coalesce(doc_id::VARCHAR, '')) AS place FROM sizes
 ), ties AS (
-  SELECT source, at, sum(size)::BIGINT AS words FROM seeded WHERE size > 0 GROUP BY source, at
+  SELECT source, place, sum(size)::BIGINT AS words FROM seeded WHERE size > 0 GROUP BY source, place
 ), running AS (
-  SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY at
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY place
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM ties
 ), cuts AS (
-  SELECT r.source, r.at AS cut_at, quota - before AS cut_left, words AS cut_sum
+  SELECT r.source, r.place AS cut_at, quota - before AS cut_left, words AS cut_sum
   FROM running r JOIN quotas q ON r.source IS NOT DISTINCT FROM q.source
   WHERE quota > 0 AND before < quota AND quota <= before + words
 ), shares AS (
   SELECT d.doc_id, d.source, d.size, q.source_size, q.weight, q.target, q.whole AS epochs,
-         CASE WHEN d.at < c.cut_at THEN d.size
-              WHEN d.at = c.cut_at THEN floor(c.cut_left * d.size / c.cut_sum)
+         CASE WHEN d.place < c.cut_at THEN d.size
+              WHEN d.place = c.cut_at THEN floor(c.cut_left * d.size / c.cut_sum)
               ELSE 0 END::BIGINT AS extra
   FROM seeded d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source
   LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source
@@ -96,8 +96,8 @@ _REACH = """
 OP2 = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
   WHERE list_cosine_similarity(x.e, y.e) >= 0.95
@@ -114,7 +114,7 @@ WITH RECURSIVE words AS (
 ), sets AS (
   SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[]
     WHEN len(w) = 1 THEN [w[1]]
-    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
   FROM words
 ), items AS (
   SELECT doc_id, unnest(s) AS x FROM sets
