@@ -43,6 +43,8 @@ SAMPLE = 4096
 CENTERS = 256
 #: What float rounding can add to the bounds.
 SLACK = 1e-6
+#: Partitions of the tile stage at most; beyond it a task works on several tiles in turn.
+MOST_TASKS = 100_000
 _STRIP = 512
 _EXACT = 65_536
 
@@ -200,6 +202,9 @@ def tile_links(classes: DataFrame, threshold: float, chunk: int = CHUNK) -> Data
             "embedding",
         )
     )
+    # A tile is little data and much work, so partitions are counted by tiles, not by bytes.
+    tiles = sizes.agg(F.sum(F.col("homes") * (F.col("homes") + 1) / 2 + F.col("homes") * F.col("guests"))).first()[0]
+    copies = copies.repartition(int(min(2 * (tiles or 1), MOST_TASKS)), "cell", "l", "r")
     return copies.groupBy("cell", "l", "r").applyInPandas(_tile(threshold), TILES)
 
 
