@@ -942,6 +942,14 @@ SELECT k AS response_id,
     CASE WHEN cut THEN 'Source text was truncated before LLM extraction' END,
     CASE WHEN fallback THEN 'Text extraction required fallback handling' END) AS reasons
 FROM a""",
+    "extraction_insights": f"""WITH {RESPONSES}
+SELECT 'q-' || k AS queue_id, {OBSERVED} AS observed_at, 'SOURCE_EXTRACTION' AS insight_type, {AS_OF} AS parsed_at,
+  'https://grid.test/' || k AS source_url, 'raw/' || k AS raw_s3_key, CAST(NULL AS VARCHAR) AS content_md5,
+  'model-1' AS model_id, capacity_mw,
+  CASE WHEN capacity_mw IS NULL OR substation_or_node IS NULL OR developer_name IS NULL OR k % 8 = 0
+    OR (k % 8 <> 0 AND k % 9 = 0) THEN 'NEEDS_REVIEW' ELSE 'AUTO_REVIEWED' END AS review_status,
+  status, substation_or_node AS node
+FROM valid WHERE error IS NULL""",
     "lead_validate": """
 WITH a AS (
   SELECT *, c_custkey % 20 IN (0, 8) AS bad FROM customer)

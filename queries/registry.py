@@ -999,6 +999,35 @@ def extraction_score(spark, sf):
     )
 
 
+@query
+def extraction_insights(spark, sf):
+    """Insights of the responses that hold an extraction, with the evidence of their document."""
+    valid = quality.validate_extractions(fx.responses(spark, sf)).filter("error IS NULL")
+    key = fx.text("response_id")
+    evidence = quality.score_extractions(valid).withColumns(
+        {
+            "source_queue_id": F.concat(F.lit("q-"), key),
+            "observed_at": fx.ntz(fx.OBSERVED_AT),
+            "source_url": F.concat(F.lit("https://grid.test/"), key),
+            "raw_s3_key": F.concat(F.lit("raw/"), key),
+        }
+    )
+    return ins.extraction_insights(evidence, "model-1", fx.ntz(fx.AS_OF)).select(
+        "queue_id",
+        "observed_at",
+        "insight_type",
+        "parsed_at",
+        "source_url",
+        "raw_s3_key",
+        "content_md5",
+        "model_id",
+        "capacity_mw",
+        "review_status",
+        F.col("extraction.status").alias("status"),
+        F.col("extraction.substation_or_node").alias("node"),
+    )
+
+
 @query
 def lead_validate(spark, sf):
     return quality.validate_leads(
