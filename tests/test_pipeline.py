@@ -1,6 +1,7 @@
 """Runs over a store, in batch and as a stream."""
 
 import datetime as dt
+import json
 import os
 import shutil
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import run
+from tidemark.plans.leads import take_leads
 from tidemark.plans.reporting import build_report
 from tidemark.sinks.store import DeltaStore, MissingSnapshot
 from tidemark.sources.documents import describe, read_documents
@@ -243,3 +245,17 @@ def test_content_is_decoded_once(spark, tmp_path):
     store = DeltaStore(spark, str(tmp_path))
     run.ingest(store, documents, "001", at("2026-05-21 09:00:00"))
     assert looks.value == 2
+
+
+def test_leads_are_stored_or_rejected(spark, tmp_path):
+    store = DeltaStore(spark, str(tmp_path))
+    good = {"email": "A@b.example", "company": "c", "role": "r", "territories": "t", "use_case": "u", "name": "n" * 3000}
+    bodies = spark.createDataFrame([(json.dumps(good),), ("[1]",), ("{",), ("{}",)], "body string")
+    rejects = take_leads(store, bodies, "001", at("2026-05-21 09:00:00"), "web")
+    errors = {r.error for r in rejects.collect()}
+    assert len(errors) == 3 and "Request body must be valid JSON" in errors
+    lead = store.read("leads").first()
+    assert (lead.email, len(lead.name), lead.status) == ("a@b.example", 3000, "NEW")
+    # The same run again stores the same rows.
+    take_leads(store, bodies, "001", at("2026-05-21 09:00:00"), "web")
+    assert store.read("leads").count() == 1

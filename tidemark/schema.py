@@ -72,4 +72,11 @@ STATE = """
     last_delta_summary string, snapshot_id string
 """
 
+# Leads, and what was sent in place of one with the first rule it breaks.
+LEAD = """
+    lead_id string, created_at timestamp, email string, name string, company string, role string,
+    priority_territories string, use_case string, status string, source string, error string,
+    snapshot_id string
+"""
+
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"

@@ -26,6 +26,8 @@ SCHEMAS = {
     "state": schema.STATE,
     "decoded": schema.DECODED,
     "rejects": schema.REJECT,
+    "leads": schema.LEAD,
+    "lead_rejects": schema.LEAD,
 }
 
 
@@ -64,7 +66,8 @@ class DeltaStore:
         )
         # Written to the partition's own folder: a dynamic overwrite leaves it alone without rows.
         folder = f"{self.root}/{table}/snapshot_id={quote(run_id, safe='')}"
-        cast.hint("rebalance", F.col("source_queue_id")).write.mode("overwrite").parquet(folder)
+        by = [F.col(c) for c in ("source_queue_id",) if c in cast.columns]
+        cast.hint("rebalance", *by).write.mode("overwrite").parquet(folder)
 
     def of_run(self, table: str, run_id: str) -> DataFrame:
         return self.read(table).filter(F.col("snapshot_id") == run_id)
