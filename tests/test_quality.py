@@ -72,5 +72,5 @@ def test_leads(spark):
         "A valid work email is required",
         "Use case is required",
     ]
-    assert (leads[0].email, leads[0].status, len(leads[0].use_case)) == ("buyer@example.com", "NEW", 2000)
+    assert (leads[0].email, leads[0].status, len(leads[0].use_case)) == ("buyer@example.com", "NEW", 3000)
     assert len(leads[0].lead_id) == 36 and leads[0].lead_id != leads[1].lead_id
