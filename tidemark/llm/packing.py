@@ -16,9 +16,12 @@ Null text counts as empty: the end mark alone. Repeated rows are packed each for
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -32,54 +35,92 @@ QUADRATIC = 1.0 / 512
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 
-#: Pieces of text that a task remembers the ids of.
-REMEMBERED = 400_000
-#: Longer pieces are not worth remembering.
+#: Words that a task remembers the ids of.
+REMEMBERED = 1_000_000
+#: Longer words are not worth remembering.
 LONGEST = 48
+#: Words that are encoded in one call.
+TOGETHER = 2000
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 class Encoder:
-    """Ids of texts by the `tokenizers` library, which sees each distinct piece once per task.
+    """Ids of texts by the `tokenizers` library, which sees each distinct word once per task.
 
     A byte-level vocabulary never merges across a single space between two non-spaces, so a text
-    is cut there and the pieces, with that space, are looked up."""
+    is cut there, and words, with the space before them, are looked up. New words are encoded
+    together and told apart by the lengths of their ids in bytes."""
 
     def __init__(self, path: str):
+        # A task has one core; the library's own threads would only spin beside it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.long: list[str] = []
-
-    def _look_up(self, pieces: set[str]) -> dict[str, bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        if not new:
-            return self.known
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(code.ids, "<u4").tobytes()
-        self.long += [p for p in new if len(p) > LONGEST]
-        return self.known
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, code in vocabulary.items():
+            self.bytes_of[code] = len(token)
+        #: Ids by word; None for what can't be cut off by spaces: nothing, or spaces at an end.
+        self.known: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(code.ids, "<u4").tobytes() for code in codes]
+
+    def _learn(self, words: set[str]) -> None:
+        """Of a word of letters with punctuation after it, both are encoded for themselves: the
+        vocabulary's pattern cuts there."""
+        cores = {word: word.rstrip(punctuation) for word in words if word[-1] in punctuation}
+        cores = {word: core for word, core in cores.items() if core.isalpha()}
+        self._learn_whole(sorted((words - cores.keys()) | set(cores.values()).difference(self.known)))
+        for word, core in cores.items():
+            tail = word[len(core) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._each([tail])[0]
+            self.known[word] = self.known[core] + self.tails[tail]
+
+    def _learn_whole(self, words: list[str]) -> None:
+        for start in range(0, len(words), TOGETHER):
+            part = words[start : start + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            upto = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(word.encode()) + 1 for word in part])
+            last = np.searchsorted(upto, ends) + 1
+            if last[-1] != len(ids) or (upto[last - 1] != ends).any():
+                self.known.update(zip(part, self._each([" " + word for word in part]), strict=True))
+                continue
+            before = 0
+            for word, at in zip(part, last.tolist(), strict=True):
+                self.known[word] = ids[before:at].tobytes()
+                before = at
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, without end mark."""
-        cut = []
-        for text in texts:
-            words = _SAFE.split(text) if _DOUBLE.search(text) else text.split(" ")
-            cut.append([words[0], *[" " + w for w in words[1:]]] if text else [])
-        known = self._look_up({p for pieces in cut for p in pieces})
-        for pieces in cut:
-            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
-        for piece in self.long:
-            known.pop(piece, None)
-        self.long = []
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.tails.clear()
+        cut = [text.split(" ") for text in texts]
+        firsts = self._each([words[0] for words in cut])
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        odd = {word for word in new if not word or word[0].isspace() or word[-1].isspace()}
+        self.known.update(dict.fromkeys(odd))
+        self._learn(new - odd)
+        for text, words, first in zip(texts, cut, firsts, strict=True):
+            try:
+                if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
+                    raise TypeError
+                ids = first + b"".join(map(self.known.__getitem__, words[1:]))
+            except TypeError:  # an odd word: cut only where it is safe
+                pieces = _SAFE.split(text)
+                ids = b"".join(self._each([pieces[0], *[" " + piece for piece in pieces[1:]]]))
+            yield np.frombuffer(ids, "<u4")
+        for word in new:
+            if len(word) > LONGEST:
+                del self.known[word]
 
 
 def room(total: int, sequence: int = SEQUENCE) -> list[int]:
