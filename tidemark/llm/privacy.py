@@ -198,25 +198,28 @@ def revealing_terms(
         .agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_joint"))
         .where(F.col("n_contexts") >= min_contexts)
     )
-    pairs = written(pairs, "privacy-pairs")
-    counts = term_counts(documents, pairs.select("term").distinct())
     values = (
-        found.where("n_values > 0")
-        .select(F.explode("near").alias("n"))
-        .select("n.value", "n.context")
-        .groupBy("value", "context")
+        near.groupBy("value", "context")
         .agg(F.lit(1).alias("one"))
         .groupBy("value")
         .agg(F.count("*").alias("n_value"))
     )
+    nearby = near.groupBy("term").agg(F.count("*").alias("n_near"))
     n_all = F.lit(found.agg(F.sum("n_values")).first()[0] or 0)
-    share = F.least(F.col("n_joint") / F.col("n_term"), F.lit(1.0))
     prior = F.col("n_value") / F.greatest(n_all, F.col("n_value") + 1)
-    disclosure = F.log2(share / prior) / -F.log2(prior)
+
+    def disclosure(occurrences: str) -> Column:
+        share = F.least(F.col("n_joint") / F.col(occurrences), F.lit(1.0))
+        return F.log2(share / prior) / -F.log2(prior)
+
+    # A term stands in all texts at least as often as near any value: what falls short by that
+    # count does so by the full one, and words used everywhere need not be counted.
+    pairs = pairs.join(values, "value").join(nearby, "term").where(disclosure("n_near") >= threshold)
+    pairs = written(pairs, "privacy-pairs")
+    counts = term_counts(documents, pairs.select("term").distinct())
     return written(
         pairs.join(counts, "term")
-        .join(values, "value")
-        .withColumn("disclosure", disclosure)
+        .withColumn("disclosure", disclosure("n_term"))
         .where(F.col("disclosure") >= threshold)
         .select("value", "term", "disclosure"),
         "privacy-terms",
