@@ -8,7 +8,8 @@ consecutive UTF-8 bytes of the whole text, in lower case, as square roots on the
 Training takes a bounded sample: `PER_LANGUAGE` labelled documents of each language, the first in the
 order of a hash of their id, so the model costs the same over any amount of text. Each machine is one
 task over at most `PER_SIDE` documents a side. What reaches the driver is the model: one weight
-vector per family and per pair of languages in a family.
+vector per family and per pair of languages in a family, and the number of labelled rows of each
+language.
 
 Text null or without a letter is `und` with score 0. Languages outside the table of families are a
 family each. With one language only, everything with a letter is that language, score 1; without
@@ -81,18 +82,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(crc_bucket(doc_id), F.lit(4)) == 2
 
 
-def training_sample(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, place, text): labelled documents outside the held-out quarter, a bounded number of
-    each language. A threshold on the hash thins a frequent language before anything is sent."""
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+def labelled(documents: DataFrame) -> DataFrame:
+    """What may be learned from: labelled rows outside the held-out quarter."""
+    return documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+
+
+def training_sample(
+    documents: DataFrame, rows_of: dict[str, int], per_language: int = PER_LANGUAGE
+) -> DataFrame:
+    """(lang, place, text): a bounded number of labelled documents of each language.
+
+    A threshold on a hash, by the number of rows of the language, thins out on the scan; only about
+    twice the wanted number of documents is sent and ranked."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    wanted = F.lit(2.0 * per_language + 100) / F.col("rows") * (1 << 30)
+    share = {lang: int((1 << 30) * min(1.0, (2 * per_language + 100) / n)) for lang, n in rows_of.items()}
+    below = F.lit(False)
+    for most in sorted(set(share.values())):
+        below |= F.col("lang").isin([x for x, m in share.items() if m == most]) & (draw <= most)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     return (
-        usable.select("lang", "text", draw.alias("draw"))
-        .join(sizes, "lang")
-        .where(F.col("draw") <= wanted)
+        labelled(documents)
+        .where(below)
+        .select("lang", "text", draw.alias("draw"))
         .withColumn("place", rank)
         .where(F.col("place") <= per_language)
         .select("lang", "place", "text")
@@ -186,10 +197,11 @@ def _pairs(languages: list[str]) -> list[tuple[str, str]]:
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, per_side: int = PER_SIDE) -> Model:
     """Train every machine as a task of its own, on a bounded sample."""
     spark = documents.sparkSession
-    sample = training_sample(documents.select("doc_id", "text", "lang"), per_language)
+    narrow = documents.select("doc_id", "text", "lang")
+    counts = labelled(narrow).groupBy("lang").agg(F.count("*")).collect()
+    languages = sorted(r[0] for r in counts)
+    sample = training_sample(narrow, {r[0]: r[1] for r in counts}, per_language)
     rows = sample.mapInArrow(_featured, _SAMPLE)
-    labelled = documents.where(F.col("lang").isNotNull() & ~held_out())
-    languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     members: dict[str, list[str]] = {}
     for lang in languages:
         members.setdefault(family_of(lang), []).append(lang)
