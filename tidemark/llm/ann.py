@@ -35,6 +35,8 @@ SHARD = 4096
 QUERIES_IN_BLOCK = 512
 #: Links per node in upper layers; layer 0 has twice as many.
 LINKS = 16
+#: Partitions of the building stage at most; beyond it a task builds several graphs in turn.
+MOST_TASKS = 20_000
 EF_BUILD = 80
 EF_SEARCH = 128
 
@@ -191,6 +193,8 @@ def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     dealt = nodes.withColumn("dim", F.size("embedding")).withColumn(
         "shard", F.pmod(F.xxhash64("first_id"), F.lit(shards)).cast("int")
     )
+    # A shard is little data and much work, so partitions are counted by shards, not by bytes.
+    dealt = dealt.repartition(min(4 * shards, MOST_TASKS), "dim", "shard")
     return written(dealt.groupBy("dim", "shard").applyInPandas(_build, GRAPH), "ann-graphs")
 
 
