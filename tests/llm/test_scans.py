@@ -103,6 +103,17 @@ def test_revealing_terms_are_found_and_masked(docs, prose):
     assert all(masked[200 + i] == prose(700 + i, 60) for i in range(20))
 
 
+@pytest.mark.parametrize("values", ["jz@corp.example.com, +12125550143", "+12125550143, 4111111111111111, jz@corp.example.com"])
+def test_a_name_beside_several_values_counts_once(docs, prose, values):
+    """Contact blocks: one occurrence of the name stands beside two and three values at once."""
+    rows = [(i, f"{prose(i, 30)} Zebediah {values} {prose(i + 99, 30)}", "en", "s", 0) for i in range(6)]
+    rows += [(100 + i, f"{prose(300 + i, 30)} other{i}@corp.example.com {prose(400 + i, 30)}", "en", "s", 0) for i in range(40)]
+    frame = docs(rows)
+    assert {r.doc_id for r in privacy.find_private(frame).collect() if "term" in r.spans} == set(range(6))
+    masked = {r.doc_id: r.text for r in privacy.masked(frame).collect()}
+    assert all("Zebediah" not in masked[i] and "[TERM]" in masked[i] for i in range(6))
+
+
 def test_masks_overlap(docs):
     text = "ä call +4111 1111 1111 1111 now a@b.cd"
     got = privacy.masked(docs([(1, text, "en", "s", 0)])).first().text

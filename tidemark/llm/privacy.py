@@ -204,7 +204,9 @@ def revealing_terms(
         .groupBy("value")
         .agg(F.count("*").alias("n_value"))
     )
-    nearby = near.groupBy("term").agg(F.count("*").alias("n_near"))
+    # An occurrence beside several values is one occurrence.
+    once = F.array_distinct(F.transform("near", lambda n: F.struct(n["term"].alias("term"), n["start"].alias("start"))))
+    nearby = found.select(F.explode(once).alias("n")).groupBy("n.term").agg(F.count("*").alias("n_near"))
     n_all = F.lit(found.agg(F.sum("n_values")).first()[0] or 0)
     prior = F.col("n_value") / F.greatest(n_all, F.col("n_value") + 1)
 
