@@ -1,6 +1,7 @@
 """Secrets and personal data against plain patterns."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -114,6 +115,64 @@ def test_a_name_beside_several_values_counts_once(docs, prose, values):
     assert all("Zebediah" not in masked[i] and "[TERM]" in masked[i] for i in range(6))
 
 
+def plain_terms(texts, least, threshold):
+    """The formula as it stands, over different texts: terms above the threshold."""
+    texts = sorted(set(texts))
+    values, terms = [], []
+    for text in texts:
+        spans = plain_private(text)
+        values.append({text[a:b] for a, _, _, b in spans})
+        words = re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+        terms.append({m[0] for m in words if not any(a < m.end() and m.start() < b for a, _, _, b in spans)})
+    out = set()
+    for value in set().union(*values):
+        with_value = {i for i, v in enumerate(values) if value in v}
+        prior = len(with_value) / max(len(texts), len(with_value) + 1)
+        for term in set().union(*terms):
+            with_term = {i for i, t in enumerate(terms) if term in t}
+            both = len(with_term & with_value)
+            if both >= least and math.log2(both / len(with_term) / prior) / -math.log2(prior) >= threshold:
+                out.add(term)
+    return out
+
+
+def term_spans(text, terms):
+    base = plain_private(text)
+    return {
+        (m.start(), m.end())
+        for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+        if m[0] in terms and not any(a < m.end() and m.start() < b for a, _, _, b in base)
+    }
+
+
+def test_terms_against_brute_force(docs, prose):
+    """One to three adjacent values, copies, and texts without values, all occurrences."""
+    rng = random.Random(8)
+    blocks = ["{n} a{k}@corp.example.com", "{n} a{k}@corp.example.com, +1212555010{k}", "{n}, +1212555010{k}, 4111111111111111, a{k}@corp.example.com",
+              "{n} and no address", "a{k}@corp.example.com without"]
+    texts = [f"{prose(i, 25, 400)} {rng.choice(blocks).format(n=f'Näme{i % 7}', k=i % 7)} {prose(i + 500, 25, 400)} Näme{i % 7 if i % 3 else 1}." for i in range(90)]
+    texts += [prose(900 + i, 40, 400) for i in range(60)] + texts[:20]
+    for least, threshold in ((privacy.MIN_CONTEXTS, privacy.THRESHOLD), (1, 0.5)):
+        want = plain_terms(texts, least, threshold)
+        assert want
+        rows = privacy.find_private(docs([(i, t, "en", "s", 0) for i, t in enumerate(texts)]), least, threshold).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            got = {tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term:")}
+            assert got == term_spans(texts[r.doc_id], want)
+
+
+def test_terms_are_masked_wherever_they_stand(docs, prose):
+    """As a title far from the address, behind a long rule, and in texts that leave the address out."""
+    rows = [(i, f"Zebediah {prose(i, 30)} {'-' * 400} jz@corp.example.com {prose(i + 99, 30)} Zebediah", "en", "s", 0) for i in range(6)]
+    rows += [(50, f"{prose(60, 30)} Zebediah {prose(61, 30)}", "en", "s", 0)]
+    rows += [(100 + i, prose(300 + i, 60), "en", "s", 0) for i in range(60)]
+    frame = docs(rows)
+    masked = {r.doc_id: r.text for r in privacy.masked(frame).collect()}
+    assert not any("Zebediah" in text for text in masked.values())
+    assert masked[50] == rows[6][1].replace("Zebediah", "[TERM]") and masked[100] == rows[7][1]
+
+
 def test_masks_overlap(docs):
     text = "ä call +4111 1111 1111 1111 now a@b.cd"
     got = privacy.masked(docs([(1, text, "en", "s", 0)])).first().text
