@@ -173,6 +173,16 @@ def test_terms_are_masked_wherever_they_stand(docs, prose):
     assert masked[50] == rows[6][1].replace("Zebediah", "[TERM]") and masked[100] == rows[7][1]
 
 
+@pytest.mark.parametrize("texts", [2, 12])
+def test_fixed_contact_blocks_count_by_text(docs, prose, texts):
+    """The same words around the address in different texts are as many pieces of evidence."""
+    block = "Best regards Zebediah chief officer of Corp Ltd jz@corp.example.com Main Street Corp Ltd Old Town"
+    rows = [(i, f"{prose(i, 30)} {block} {prose(i + 99, 30)}", "en", "s", 0) for i in range(texts)]
+    rows += [(100 + i, prose(300 + i, 60), "en", "s", 0) for i in range(60)]
+    masked = {r.doc_id: r.text for r in privacy.masked(docs(rows)).collect()}
+    assert not any("Zebediah" in masked[i] for i in range(texts))
+
+
 def test_masks_overlap(docs):
     text = "ä call +4111 1111 1111 1111 now a@b.cd"
     got = privacy.masked(docs([(1, text, "en", "s", 0)])).first().text
