@@ -1,5 +1,6 @@
 import random
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -51,6 +52,57 @@ def test_rules(text, labels):
     assert licenses.scan_text(text.encode())["labels"] == labels
 
 
+def examples(tree):
+    """Shortest texts of a pattern, one for every way through its alternatives."""
+    texts = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            ways = [chr(value)]
+        elif name == "IN":
+            ways = [chr(value[0][1])]
+        elif name == "BRANCH":
+            ways = [x for branch in value[1] for x in examples(branch)]
+        elif name == "SUBPATTERN":
+            ways = examples(value[-1])
+        elif name == "MAX_REPEAT":
+            ways = [x * value[0] for x in examples(value[2])] if value[0] else [""]
+        else:
+            assert name == "ASSERT_NOT"
+            ways = [""]
+        texts = [a + b for a in texts for b in ways]
+    return texts
+
+
+def test_gates_lose_no_rule(monkeypatch):
+    """Every rule by itself, in all forms of its name, as without gates and keywords."""
+    got = {}
+    for rule in licenses.rules():
+        for text in examples(re._parser.parse(rule.pattern.pattern))[:12]:
+            assert rule.pattern.search(text)
+            got[text] = licenses.scan_text(text.encode())
+    free = tuple(replace(rule, keywords=("",)) for rule in licenses.rules())
+    monkeypatch.setattr(licenses, "rules", lambda: free)
+    for text, row in got.items():
+        found = licenses.detections(text)
+        labels = {rule.label for _, _, rule in found} | set(row["base_labels"].split(",")) - {""}
+        assert labels and row["labels"] == ",".join(sorted(labels)), text
+
+
+@pytest.mark.parametrize(
+    "text, label, score",
+    [
+        ("Released under MIT.", "mit", 0.9),
+        ("distributed under the terms of the X11", "mit", 0.9),
+        ("made available under Expat", "mit", 0.9),
+        ("released under MIT-0", "mit-0", 0.9),
+    ],
+)
+def test_plain_mit_statements(text, label, score):
+    row = licenses.scan_text(text.encode())
+    assert label in row["labels"].split(",") and row["score"] == score
+
+
 def test_hundreds_of_rules_and_containment():
     assert len(licenses.rules()) > 200
     found = licenses.detections("licensed under the gnu general public license version 3")

@@ -1,9 +1,9 @@
 """License scan by ordered signature rules.
 
 A text is lower-cased (A-Z) and cut into words; rules are regular expressions over the words joined
-by single spaces, so line breaks and punctuation never matter. A rule runs only where its keyword
-stands in the words, and words are only made where one of a few gate strings stands in the text; no
-base phrase can stand in a text without one. Detections are resolved by priority: one that lies inside another of at least its own priority is dropped (of two equal ones
+by single spaces, so line breaks and punctuation never matter. A rule runs only where one of its
+keywords stands in the words, and words are only made where a keyword of any rule stands in the
+text; no base phrase can stand in a text without one. Detections are resolved by priority: one that lies inside another of at least its own priority is dropped (of two equal ones
 the earlier rule stays). The base phrases are exact word sequences, counted apart; their labels
 always stay.
 
@@ -31,9 +31,9 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: License, gate keyword, and its name as a pattern over normalised words.
+#: License, gate keywords (one of them stands in every match), and its name as a pattern over normalised words.
 NAMES = """
-mit | mit | (?:the )?(?:mit|expat|x11)(?: x11)?(?: license)?
+mit | mit,expat,x11 | (?:the )?(?:mit|expat|x11)(?: x11)?(?: license)?
 mit-0 | mit | mit no attribution(?: license)?|mit 0
 apache-1.1 | apache | (?:the )?apache(?: software)? license (?:version |v )?1 1
 apache-2 | apache | (?:the )?apache(?: software)? license (?:version |v )?2(?: 0)?|apache 2(?: 0)?
@@ -43,7 +43,7 @@ gpl-3 | gpl | (?:gnu )?gpl ?v?(?:ersion )?3(?: 0)?
 gpl-2 | general | (?:the )?(?:gnu )?general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )2
 gpl-3 | general | (?:the )?(?:gnu )?general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )3
 gpl | general | (?:the )?(?:gnu )?general public license
-lgpl-2 | lesser | (?:the )?(?:gnu )?(?:lesser|library) general public license (?:version |v )2(?: 0)?
+lgpl-2 | lesser,library | (?:the )?(?:gnu )?(?:lesser|library) general public license (?:version |v )2(?: 0)?
 lgpl-2.1 | lesser | (?:the )?(?:gnu )?lesser general public license (?:version |v )2 1
 lgpl-3 | lesser | (?:the )?(?:gnu )?lesser general public license (?:version |v )3
 lgpl | lgpl | (?:gnu )?lgpl(?: ?v?[23](?: [01])?)?
@@ -54,14 +54,14 @@ bsd-2-clause | bsd | (?:the )?(?:simplified|freebsd|2 clause) bsd(?: license)?|b
 bsd-3-clause | bsd | (?:the )?(?:new|modified|revised|3 clause) bsd(?: license)?|bsd 3 clause(?: license)?
 bsd-4-clause | bsd | (?:the )?(?:original|old|4 clause) bsd(?: license)?|bsd 4 clause(?: license)?
 bsd | bsd | (?:the )?bsd(?: style)? licen[sc]e
-0bsd | 0bsd | 0bsd|zero clause bsd
+0bsd | 0bsd,zero | 0bsd|zero clause bsd
 isc | isc | (?:the )?isc licen[sc]e
 mpl-1.1 | mozilla | (?:the )?mozilla public license (?:version |v )?1 1
 mpl-2 | mozilla | (?:the )?mozilla public license(?: (?:version |v )?2(?: 0)?)?
 mpl-2 | mpl | mpl ?v?2(?: 0)?
 epl-1 | eclipse | (?:the )?eclipse public license (?:version |v )?1(?: 0)?
 epl-2 | eclipse | (?:the )?eclipse public license(?: (?:version |v )?2(?: 0)?)?
-cddl-1 | cddl | cddl(?: 1 [01])?|common development and distribution license
+cddl-1 | cddl,distribution | cddl(?: 1 [01])?|common development and distribution license
 cpl-1 | common | (?:the )?common public license(?: (?:version |v )?1(?: 0)?)?
 eupl-1.2 | european | (?:the )?european union public licen[sc]e(?: (?:version |v )?1 [12])?
 artistic-1 | artistic | (?:the )?artistic license (?:version |v )?1(?: 0)?
@@ -94,7 +94,7 @@ openssl | openssl | (?:the )?openssl licen[sc]e
 ncsa | illinois | university of illinois ncsa open source license
 upl-1 | universal | (?:the )?universal permissive license(?: (?:version |v )?1(?: 0)?)?
 afl-3 | academic | (?:the )?academic free license(?: (?:version |v )?3(?: 0)?)?
-osl-3 | osl | open software license(?: (?:version |v )?3(?: 0)?)?|osl 3 0
+osl-3 | osl,software | open software license(?: (?:version |v )?3(?: 0)?)?|osl 3 0
 ms-pl | microsoft | (?:the )?microsoft public license
 blueoak-1 | blue | (?:the )?blue oak model license(?: 1 0 0)?
 sspl-1 | server | (?:the )?server side public license(?: (?:version |v )?1)?
@@ -113,18 +113,10 @@ STATEMENTS = (
     (r"", r"", 10, 0.5),
 )
 
-#: Gate strings: a text without any of them, and without "cc" before "by", is not looked at further.
-GATES = (
-    b"licen", b"gpl", b"apache", b"bsd", b"spdx", b"mozilla", b"mpl", b"cddl", b"wtfpl",
-    b"creative", b"ofl", b"osl", b"cc0", b"reserved", b"domain",
-)
-_CC_BY = re.compile(rb"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
     priority: int
     confidence: float
@@ -145,7 +137,7 @@ def rules() -> tuple[Rule, ...]:
             found.append(
                 Rule(
                     label,
-                    keyword,
+                    tuple(keyword.split(",")),
                     re.compile(rf"(?<![^ ]){before}(?:{pattern}){after}(?![^ ])"),
                     priority,
                     confidence,
@@ -154,6 +146,12 @@ def rules() -> tuple[Rule, ...]:
     return tuple(found)
 
 
+@lru_cache(maxsize=1)
+def gates() -> tuple[bytes, ...]:
+    """The keywords of all rules: a text without any of them is not looked at further."""
+    return tuple(dict.fromkeys(keyword.encode() for rule in rules() for keyword in rule.keywords))
+
+
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BASE = tuple(
     (re.compile(rf"(?<![^ ]){phrase}(?![^ ])"), label) for phrase, label in PHRASES.items()
@@ -172,7 +170,7 @@ def detections(words: str) -> list[tuple[int, int, Rule]]:
     """Surviving detections (start, end, rule), offsets in the joined words."""
     every = []
     for order, rule in enumerate(rules()):
-        if rule.keyword in words:
+        if any(keyword in words for keyword in rule.keywords):
             every += [(-rule.priority, m.start() - m.end(), order, m.start(), m.end(), rule)
                       for m in rule.pattern.finditer(words)]
     kept: list[tuple[int, int, Rule]] = []
@@ -195,7 +193,7 @@ def scan_text(raw: bytes | None) -> dict:
         "score": 0.0,
     }
     low = raw.lower()
-    if not any(gate in low for gate in GATES) and not _CC_BY.search(low):
+    if not any(gate in low for gate in gates()):
         return row
     words = b" ".join(_WORDS.findall(low)).decode("utf-8", "replace")
     base, starts = set(), []
