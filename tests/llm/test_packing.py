@@ -11,15 +11,14 @@ from tidemark.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.tokenizer_path())
 
 
 TEXTS = [
     "plain words here", " leading", "trailing ", "two  spaces", "tab\tand\nnew\n\nlines", "it's o'clock, don't", "",
     "é ü ß ñ 日本語 текст", "1234 5 67", "a \n b", "a\n b", "a \nb", "   ", "x" * 300, "end nbsp  em", "a\x1cb \x85c",
     "word " * 500, "### $$$ *** %%%", "<|endoftext|> in a text<|endoftext|>", "\r\n a",
+    "a <|endoftext|> b", "a  <|endoftext|>  b", "x<|endoftext|> <|endoftext|>y.", "endoftext|> <|", "ªº ǅ ʰa Ⅷ x² ½b",
 ]
 
 

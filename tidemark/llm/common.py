@@ -15,14 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Local sessions without one get a folder of their own;
-    a cluster without one is an error, since a machine's own disk is not shared."""
+    """The folder of spark.checkpoint.dir. A local session without one uses a folder of its own,
+    named after the application; a cluster without one is an error, since a machine's own disk is
+    not shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = f"file://{tempfile.gettempdir()}/tidemark-{context.applicationId}"
     return folder.rstrip("/")
 
 

@@ -45,12 +45,21 @@ TOGETHER = 2000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies spell printable bytes by themselves, others from U+0100 on in order;
+    a line feed is left alone, as it parts words here."""
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + place) for place, b in enumerate(odd) if b != 10}
+
+
 class Encoder:
     """Ids of texts by the `tokenizers` library, which sees each distinct word once per task.
 
     A byte-level vocabulary never merges across a single space between two non-spaces, so a text
-    is cut there, and words, with the space before them, are looked up. New words are encoded
-    together and told apart by the lengths of their ids in bytes."""
+    is cut there, and words, with the space before them, are looked up. New words of letters go to
+    the vocabulary's model itself, as its pattern would not cut them; other new words are encoded
+    together and told apart by the lengths of their ids in bytes. Markers that the vocabulary knows
+    as special tokens are recognised in a text, as the library does by itself."""
 
     def __init__(self, path: str):
         # A task has one core; the library's own threads would only spin beside it.
@@ -58,11 +67,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, code in vocabulary.items():
             self.bytes_of[code] = len(token)
+        #: Ids as bytes, and each byte as the letter that stands for it in the vocabulary.
+        self.code = [code.to_bytes(4, "little") for code in range(len(self.bytes_of))]
+        self.letter = _byte_letters()
         #: Ids by word; None for what can't be cut off by spaces: nothing, or spaces at an end.
         self.known: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
@@ -76,13 +88,23 @@ class Encoder:
         vocabulary's pattern cuts there."""
         cores = {word: word.rstrip(punctuation) for word in words if word[-1] in punctuation}
         cores = {word: core for word, core in cores.items() if core.isalpha()}
-        self._learn_whole(sorted((words - cores.keys()) | set(cores.values()).difference(self.known)))
+        single = (words - cores.keys()) | set(cores.values()).difference(self.known)
+        letters = [word for word in single if word.isalpha()]
+        if letters:
+            self._learn_letters(letters)
+        self._learn_whole(sorted(single.difference(letters)))
         for word, core in cores.items():
             tail = word[len(core) :]
             if tail not in self.tails:
                 self.tails[tail] = self._each([tail])[0]
             self.known[word] = self.known[core] + self.tails[tail]
 
+    def _learn_letters(self, words: list[str]) -> None:
+        code, tokens = self.code, self.model.tokenize
+        spelled = "\n".join([" " + word for word in words]).encode("utf-8", "surrogatepass")
+        for word, letters in zip(words, spelled.decode("latin-1").translate(self.letter).split("\n"), strict=True):
+            self.known[word] = b"".join([code[token.id] for token in tokens(letters)])
+
     def _learn_whole(self, words: list[str]) -> None:
         for start in range(0, len(words), TOGETHER):
             part = words[start : start + TOGETHER]
@@ -106,7 +128,7 @@ class Encoder:
         cut = [text.split(" ") for text in texts]
         firsts = self._each([words[0] for words in cut])
         new = set(chain.from_iterable(cut)).difference(self.known)
-        odd = {word for word in new if not word or word[0].isspace() or word[-1].isspace()}
+        odd = {word for word in new if not word or word.strip() is not word}
         self.known.update(dict.fromkeys(odd))
         self._learn(new - odd)
         for text, words, first in zip(texts, cut, firsts, strict=True):
