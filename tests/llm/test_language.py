@@ -65,6 +65,8 @@ def test_odd_rows(docs, prose, rows):
     assert kept.columns == frame.columns
     gone = {r.doc_id for r in frame.collect()} - {r.doc_id for r in kept.collect()}
     assert gone == {1, 2, 3, 7}
+    told = {r.doc_id: r.lang_pred for r in out}
+    assert {r.doc_id: r.lang for r in kept.collect() if r.doc_id is None or r.doc_id < 8} == {d: told[d] for d in (None, 4, 5, 6)}
 
 
 def test_nothing_to_learn(docs):

@@ -116,9 +116,28 @@ def test_odd_rows(docs, prose):
     assert {r.n_shingles for r in out if r.doc_id in (1, 2, 3)} == {0}
     assert minmax.link(docs([])).collect() == []
     kept = minmax.representatives(frame)
-    assert kept.columns == frame.columns and kept.count() == 9
-    same = docs([(1, "a b c", "en", "s", 0), (2, "a b c", "en", "s", 0), (2, "a b c", "en", "s", 0), (None, "a b c", "en", "s", 0)])
-    assert sorted(str(r.doc_id) for r in minmax.representatives(same).collect()) == ["1", "None"]
+    assert kept.columns == frame.columns and kept.count() == 8  # of the repeated row, one
+
+
+def test_one_representative_of_each_group(docs, prose):
+    """Whatever doc_id says: a shared one does not take other texts away, a missing one keeps no copy."""
+    a, b, c, d = (prose(x, 60) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d)]
+    out = minmax.representatives(docs([(*r, "en", "s") for r in rows], clash=True)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("1", a), ("2", b), ("3", c), ("None", d)])
+    near = [f"{a} {a} more{i}" for i in range(4)]
+    rows = [(7, near[0]), (7, near[1]), (None, near[2]), (5, near[3]), (5, b), (6, ""), (6, ""), (8, None)]
+    out = minmax.representatives(docs([(*r, "en", "s") for r in rows])).collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.text) == sorted([(5, near[3]), (5, b)])
+    assert sorted(r.doc_id for r in out if not r.text) == [6, 6, 8]
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_representatives_against_brute_force(docs, prose, chunk):
+    texts = copies(prose)
+    label = {d: c for d, (_, c) in brute(texts, 5).items()}
+    out = minmax.representatives(docs([(d, t, "en", "s", 0) for d, t in texts.items()]), chunk=chunk).collect()
+    assert sorted(r.doc_id for r in out) == sorted({c for d, c in label.items()})
 
 
 def test_components(spark):

@@ -250,11 +250,13 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def with_language(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents whose text has a language, columns as they came: those that are `und` go."""
+    """The documents whose text has a language, with the predicted one in `lang`, other columns as
+    they came: those that are `und` go."""
     model = model or train(documents)
 
-    def keep(texts: pd.Series) -> pd.Series:
+    def tell(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: model.predict(t)[0])
 
-    predicted = F.pandas_udf(keep, "string")
-    return documents.where(predicted(F.col("text")) != UNKNOWN)
+    # Not taken into the filter, where it would run a second time.
+    predicted = F.pandas_udf(tell, "string").asNondeterministic()
+    return documents.withColumn("lang", predicted(F.col("text"))).where(F.col("lang") != UNKNOWN)

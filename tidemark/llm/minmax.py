@@ -119,9 +119,9 @@ def bands(signed: np.ndarray) -> np.ndarray:
     return _stirred(keys + np.arange(BANDS, dtype=_U64) * _PLACES[63]).view(np.int64)
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
+SIGNED = "doc_id bigint, mark bigint, n_shingles bigint, digest binary, bands array<bigint>"
 _ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
 )
 
 
@@ -130,7 +130,7 @@ def _sign(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         cut = Shingles(words)
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for raw in batch.column(1).to_pylist():
+            for raw in batch.column(2).to_pylist():
                 found = cut.of(raw)
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
@@ -138,7 +138,7 @@ def _sign(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             at = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int64), *keys])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
                 schema=_ARROW,
             )
 
@@ -300,21 +300,17 @@ def mixed_links(placed: DataFrame, texts: DataFrame, words: int, percent: int, c
     return full.mapInArrow(_cross(words, percent), _LINKS).distinct()
 
 
-def link(documents: DataFrame, words: int = 2, percent: int = SIMILAR, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    raw = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    signed = written(raw.mapInArrow(_sign(words), SIGNED), "minmax-signed")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+def _marked(documents: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): the mark tells texts of one doc_id apart."""
+    return documents.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
 
+
+def _joined(
+    reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int, chunk: int
+) -> DataFrame:
+    """(rep, component) of all representatives with a link. Rows are (rep, n_shingles, bands);
+    `texts_of` gives (rep, text) for a table of rep."""
     # Which keys are shared by several representatives, and who shares them.
-    first = classes.select(F.col("digest").alias("class_digest"), "rep")
-    reps = (
-        full.join(first, (full.digest == F.col("class_digest")) & (full.doc_id == F.col("rep")))
-        .dropDuplicates(["rep", "digest"])
-        .select("rep", "n_shingles", "bands")
-    )
-    reps = written(reps, "minmax-reps")
     keyed = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     hubs = (
         keyed.groupBy("key")
@@ -323,10 +319,7 @@ def link(documents: DataFrame, words: int = 2, percent: int = SIMILAR, chunk: in
         .select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
     )
     members = written(keyed.join(hubs, "key"), "minmax-members")
-    sharing = members.select("rep").distinct()
-    texts = written(
-        raw.join(sharing, raw.doc_id == sharing.rep).select("rep", "text").distinct(), "minmax-texts"
-    )
+    texts = written(texts_of(members.select("rep").distinct()).distinct(), "minmax-texts")
 
     star = members.where("rep != hub").where(_sizes_allow("n", "hub_n", percent))
     tried = star.groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
@@ -350,8 +343,26 @@ def link(documents: DataFrame, words: int = 2, percent: int = SIMILAR, chunk: in
 
     placed = _with_component(members, joined)
     links = links.union(written(mixed_links(placed, texts, words, percent, chunk), "minmax-last"))
-    joined = components(links).select(F.col("node").alias("rep"), "component")
+    return components(links).select(F.col("node").alias("rep"), "component")
+
+
+def link(documents: DataFrame, words: int = 2, percent: int = SIMILAR, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    raw = _marked(documents)
+    signed = written(raw.mapInArrow(_sign(words), SIGNED), "minmax-signed")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    first = classes.select(F.col("digest").alias("class_digest"), "rep")
+    reps = (
+        full.join(first, (full.digest == F.col("class_digest")) & (full.doc_id == F.col("rep")))
+        .dropDuplicates(["rep", "digest"])
+        .select("rep", "n_shingles", "bands")
+    )
+
+    def texts_of(sharing: DataFrame) -> DataFrame:
+        return raw.join(sharing, raw.doc_id == sharing.rep).select("rep", "text")
 
+    joined = _joined(written(reps, "minmax-reps"), texts_of, words, percent, chunk)
     placed = first.join(joined, "rep", "left").select("class_digest", F.coalesce("component", "rep").alias("component"))
     linkable = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest"))
     out = signed.select("doc_id", "n_shingles", linkable.alias("class_digest")).join(placed, "class_digest", "left")
@@ -363,8 +374,61 @@ def link(documents: DataFrame, words: int = 2, percent: int = SIMILAR, chunk: in
     )
 
 
-def representatives(documents: DataFrame, words: int = 5, percent: int = SIMILAR) -> DataFrame:
-    """The documents without their near copies, columns as they came: of each group the one with
-    the smallest id stays."""
-    dropped = link(documents, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_copy"))
-    return documents.join(dropped, documents.doc_id == F.col("_copy"), "left_anti")
+def _same(left: DataFrame, right: DataFrame, mark: str) -> Column:
+    """Rows of one doc_id (null like a value) and one text."""
+    return left.doc_id.eqNullSafe(right.of_doc) & (left[mark] == right.of_mark)
+
+
+def representatives(
+    documents: DataFrame, words: int = 5, percent: int = SIMILAR, chunk: int = CHUNK
+) -> DataFrame:
+    """The documents without their near copies, columns as they came.
+
+    Of each group one row stays, of the smallest id (null last; the smallest hash of the text, if an
+    id has several texts). Texts are told apart whatever their doc_id: a doc_id with several texts
+    loses only those that have a copy, rows without doc_id have copies like others. Of rows with one
+    doc_id and one text, one stays; which of their other columns stay is open. Texts without words
+    all stay. Columns of any name may be there."""
+    raw = _marked(documents)
+    signed = written(raw.mapInArrow(_sign(words), SIGNED), "minmax-signed")
+    full = signed.where("n_shingles > 0")
+    first = full.groupBy("digest").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "mark")).alias("first")
+    )
+    # Classes are numbered; stored, so that the numbers stay.
+    classes = written(
+        first.select(
+            F.col("digest").alias("class_digest"), "first", F.col("first.doc_id").alias("of_doc"),
+            F.col("first.mark").alias("of_mark"), F.monotonically_increasing_id().alias("rep"),
+        ),
+        "minmax-classes",
+    )
+    reps = (
+        full.join(classes, (full.digest == classes.class_digest) & _same(full, classes, "mark"))
+        .dropDuplicates(["rep"])
+        .select("rep", "n_shingles", "bands")
+    )
+
+    def texts_of(sharing: DataFrame) -> DataFrame:
+        wanted = classes.join(sharing, "rep").select("rep", "of_doc", "of_mark")
+        return raw.join(wanted, _same(raw, wanted, "mark")).select("rep", "text")
+
+    joined = _joined(written(reps, "minmax-reps"), texts_of, words, percent, chunk)
+    groups = classes.join(joined, "rep", "left").groupBy(F.coalesce("component", "rep").alias("component"))
+    winners = groups.agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("of_doc"), F.col("first.mark").alias("of_mark"), F.lit(True).alias("wins")
+    )
+    counts = full.groupBy("doc_id", "mark").agg(F.count("*").alias("rows"))
+    decided = counts.join(winners, _same(counts, winners, "mark"), "left").select(
+        F.col("doc_id").alias("of_doc"), F.col("mark").alias("of_mark"), "rows", F.coalesce("wins", F.lit(False)).alias("wins")
+    )
+    decided = written(decided.where("rows > 1 or not wins"), "minmax-decided")
+
+    mark = "mark"
+    while mark in documents.columns:
+        mark += "_"
+    own = documents.withColumn(mark, F.xxhash64("text"))
+    single = own.join(decided, _same(own, decided, mark), "left_anti")
+    repeated = decided.where("wins")
+    several = own.join(repeated, _same(own, repeated, mark), "left_semi").dropDuplicates(["doc_id", mark])
+    return single.union(several).drop(mark)
