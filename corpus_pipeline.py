@@ -17,7 +17,8 @@ from tidemark.llm.common import written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go."""
+    """Documents whose text has a language, which becomes their lang; null texts and texts without a
+    letter go."""
     return language.with_language(docs)
 
 
