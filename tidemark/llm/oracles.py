@@ -131,3 +131,74 @@ SELECT z.doc_id, z.n::BIGINT AS n_shingles, least(z.doc_id, coalesce(low, z.doc_
        least(z.doc_id, coalesce(low, z.doc_id)) = z.doc_id AS kept
 FROM sizes z LEFT JOIN lowest l ON z.doc_id = l.a
 """
+
+# Turn by turn, for each state (E nothing yet, S, U, A) the cheapest letters so far, the least of ties;
+# `hops` are empty turns put in before one, `acts` its edits. Keys are costs and letters as one text.
+OP13 = r"""
+WITH RECURSIVE original AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') AS conv,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::BIGINT),
+    lambda a, b: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)),
+    4294967295::BIGINT), 4294967295) % 20 AS code
+  FROM original
+), turns AS (
+  SELECT conv, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM coded JOIN (VALUES (1), (2)) AS copies(n) ON n <= CASE WHEN code = 3 THEN 2 ELSE 1 END WHERE code <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM turns
+), marked AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS seen,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+         lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS odd
+  FROM placed
+), counts AS (
+  SELECT conv, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+         count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE seen AND NOT blank) AS duplicate,
+         count(*) FILTER (WHERE cut AND NOT seen AND NOT blank) AS truncated, count(*) FILTER (WHERE odd) AS illegal
+  FROM marked GROUP BY conv
+), rows AS (
+  SELECT conv, i, role, text, left(role, 1) AS c, blank OR seen AS gone,
+         CASE WHEN cut THEN 3 ELSE 0 END AS extra FROM marked
+), hops(p, letters, cost, p2, put) AS (
+  VALUES ('E', '', 0, 'E', ''), ('S', '', 0, 'S', ''), ('U', '', 0, 'U', ''), ('A', '', 0, 'A', ''),
+         ('E', 'I', 3, 'U', 'user:' || chr(10)), ('S', 'I', 3, 'U', 'user:' || chr(10)),
+         ('A', 'I', 3, 'U', 'user:' || chr(10)), ('U', 'I', 3, 'A', 'assistant:' || chr(10))
+), acts(p2, letter, price, c, q, role2) AS (
+  VALUES ('E', 'D', 4, NULL, 'E', ''), ('S', 'D', 4, NULL, 'S', ''), ('U', 'D', 4, NULL, 'U', ''), ('A', 'D', 4, NULL, 'A', ''),
+         ('E', 'K', 0, 's', 'S', ''), ('E', 'K', 0, 'u', 'U', ''), ('S', 'K', 0, 'u', 'U', ''), ('A', 'K', 0, 'u', 'U', ''),
+         ('U', 'K', 0, 'a', 'A', ''), ('E', 'R', 3, NULL, 'U', 'user'), ('S', 'R', 3, NULL, 'U', 'user'),
+         ('A', 'R', 3, NULL, 'U', 'user'), ('U', 'R', 3, NULL, 'A', 'assistant')
+), moves AS (
+  SELECT p, letters || letter AS letters, cost + price AS cost, letter, c, q, put, role2 FROM hops JOIN acts USING (p2)
+), best(conv, i, state, k, repaired) AS (
+  SELECT DISTINCT conv, 0::BIGINT, 'E', '000000000', '' FROM rows
+  UNION ALL
+  SELECT conv, i, state, min(k), arg_min(repaired, k) FROM (
+    SELECT b.conv, r.i, m.q AS state,
+           lpad((substr(k, 1, 9)::INTEGER + cost + CASE WHEN letter = 'D' THEN 0 ELSE extra END)::VARCHAR, 9, '0')
+             || substr(k, 10) || letters AS k,
+           repaired || put || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN r.role || ':' || text || chr(10)
+                                          ELSE role2 || ':' || text || chr(10) END AS repaired
+    FROM best b JOIN rows r ON r.conv = b.conv AND r.i = b.i + 1 JOIN moves m ON m.p = b.state
+    WHERE (letter = 'D' OR NOT gone) AND (m.c IS NULL OR m.c = r.c)
+  ) GROUP BY conv, i, state
+), ends AS (
+  SELECT b.conv, lpad((substr(k, 1, 9)::INTEGER + cost)::VARCHAR, 9, '0') || substr(k, 10) || letters AS k, repaired || put AS repaired
+  FROM best b JOIN (SELECT conv, max(i) AS last FROM rows GROUP BY conv) l ON b.conv = l.conv AND b.i = l.last
+  JOIN (VALUES ('E', '', 0, ''), ('A', '', 0, ''), ('U', 'I', 3, 'assistant:' || chr(10)),
+               ('S', 'II', 6, 'user:' || chr(10) || 'assistant:' || chr(10))) AS fin(state, letters, cost, put) ON b.state = fin.state
+), chosen AS (
+  SELECT conv, min(k) AS k, arg_min(repaired, k) AS repaired FROM ends GROUP BY conv
+), every AS (
+  SELECT DISTINCT conv, conv_id FROM original
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(substr(k, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(k, 10), '') AS audit,
+       sha256(coalesce(left(repaired, greatest(length(repaired) - 1, 0)), '')) AS repaired_sha256
+FROM every LEFT JOIN counts USING (conv) LEFT JOIN chosen USING (conv)
+"""

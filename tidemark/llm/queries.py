@@ -20,6 +20,9 @@ from tidemark.llm import (
     packing,
     privacy,
     secrets,
+    toxicity,
+    turns,
+    whitening,
 )
 from tidemark.llm.common import table
 
@@ -68,6 +71,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxic_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.repair(conversations, turns.damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_private_terms,
         op9_secret_ledger,
         op10_language_id,
+        op11_whitened,
+        op12_toxic_machine,
+        op13_turn_repair,
     )
 }
 
@@ -89,4 +108,5 @@ ORACLES: dict[str, str] = {
     "op3_minmax_links": oracles.OP3,
     "op4_source_mix": oracles.OP4,
     "op5_preference_chat": oracles.OP5,
+    "op13_turn_repair": oracles.OP13,
 }
