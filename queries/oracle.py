@@ -681,6 +681,22 @@ earlier AS (
 steps AS ({moved('later', 'earlier', 'source_queue_id, project_key, snapshot_seq', ['snapshot_seq'])})
 SELECT source_queue_id, project_key, snapshot_seq, delta_type, changed_fields, capacity_mw, status
 FROM steps""",
+    "diff_by_fingerprint": f"""WITH {DIFF}
+SELECT delta_type, changed_fields, {SHOWN}, record_fingerprint FROM moved""",
+    "version_steps": f"""WITH {HISTORY},
+spans AS (SELECT source_queue_id, min(snapshot_seq) AS f, max(snapshot_seq) AS l FROM versions GROUP BY 1),
+placed AS (
+  SELECT h.source_queue_id, h.project_key, h.snapshot_seq, f, l, h.record_fingerprint AS fp, b.record_fingerprint AS before_fp,
+    b.project_key IS NOT NULL AS has_before, a.project_key IS NOT NULL AS has_after
+  FROM history h JOIN spans s USING (source_queue_id)
+  LEFT JOIN history b ON h.source_queue_id = b.source_queue_id AND h.project_key = b.project_key AND b.snapshot_seq = h.snapshot_seq - 1
+  LEFT JOIN history a ON h.source_queue_id = a.source_queue_id AND h.project_key = a.project_key AND a.snapshot_seq = h.snapshot_seq + 1)
+SELECT source_queue_id, project_key, snapshot_seq, snapshot_seq AS at_seq,
+  CASE WHEN snapshot_seq = f THEN 'BASELINE' WHEN has_before THEN 'UPDATED' ELSE 'NEW' END AS delta_type
+FROM placed WHERE snapshot_seq = f OR NOT has_before OR fp <> before_fp
+UNION ALL
+SELECT source_queue_id, project_key, snapshot_seq + 1, snapshot_seq, 'REMOVED' FROM placed
+WHERE snapshot_seq < l AND NOT has_after""",
     "recent_insights": f"""WITH {INSIGHTS}
 SELECT queue_id, observed_at, nullif(delta_type, '') AS delta_type FROM sig
 WHERE observed_at >= {AS_OF} - INTERVAL 24 HOURS""",

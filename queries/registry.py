@@ -14,7 +14,7 @@ from queries import fixtures as fx
 from tidemark.functions import text as t
 from tidemark.functions.variants import json_object
 from tidemark.operators import catalog as cat
-from tidemark.operators import delta, insights as ins, matrix as mx, quality, records as rec, report
+from tidemark.operators import chains, delta, insights as ins, matrix as mx, quality, records as rec, report
 from tidemark.operators.lookup import ColumnLookup
 from tidemark.plans.ingest import document_records
 from tidemark.plans.run import document_facts, rejected
@@ -492,7 +492,7 @@ def latest_snapshot(spark, sf):
 
 @query
 def snapshot_history_deltas(spark, sf):
-    return delta.history_deltas(
+    return chains.history_deltas(
         fx.snapshot_history(spark, sf), fx.history_manifest(spark, sf)
     ).select(
         "source_queue_id",
@@ -505,6 +505,23 @@ def snapshot_history_deltas(spark, sf):
     )
 
 
+@query
+def diff_by_fingerprint(spark, sf):
+    """The diff of stored snapshots: keys and fingerprints first, then the records that differ."""
+    rows = kept(chains.as_versions(fx.current_snapshot(spark, sf), fx.previous_snapshot(spark, sf)))
+    changes = kept(chains.steps(rows, chains.two_versions(fx.previous_manifest(spark, sf))))
+    return chains.with_payload(changes, rows).select(
+        "delta_type", joined("changed_fields").alias("changed_fields"), *DELTA_FIELDS
+    )
+
+
+@query
+def version_steps(spark, sf):
+    """Changes of all stored versions by fingerprint alone, baselines too, and who tells of them."""
+    rows = fx.snapshot_history(spark, sf)
+    return chains.steps(rows, fx.history_manifest(spark, sf), baseline=True)
+
+
 # --- reports --------------------------------------------------------------------
 def _signals(spark, sf) -> DataFrame:
     return report.signals(fx.insights(spark, sf))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import delta, insights
+from tidemark.operators import chains, delta, insights
 from tidemark.operators.joins import join_lookup
 from tidemark.operators.ranking import top_per_group
 from tidemark.vocabulary import TRACKED_FIELDS
@@ -131,7 +131,7 @@ def test_history_matches_pairwise_diffs(spark):
         records = part if records is None else records.unionByName(part)
     steps = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)], "source_queue_id string, snapshot_seq bigint")
     shown = ["source_queue_id", "project_key", "delta_type", "changed_fields"]
-    got = {(r.snapshot_seq, *map(str, r[:4])) for r in delta.history_deltas(records, steps).select(*shown, "snapshot_seq").collect()}
+    got = {(r.snapshot_seq, *map(str, r[:4])) for r in chains.history_deltas(records, steps).select(*shown, "snapshot_seq").collect()}
     expected = {(2, *map(str, r)) for r in delta.diff_snapshots(parts[1], parts[0]).select(*shown).collect()}
     third = [p.filter("source_queue_id = 'a'") for p in parts]
     expected |= {(3, *map(str, r)) for r in delta.diff_snapshots(third[2], third[1]).select(*shown).collect()}

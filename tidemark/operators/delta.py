@@ -165,15 +165,18 @@ def compare(
     manifest: DataFrame,
     baseline_limit: int | None = None,
     truncated: DataFrame | None = None,
+    moved: DataFrame | None = None,
 ) -> DataFrame:
     """All deltas of a run: baselines of first-time sources and diffs of the others.
 
     `previous` holds the latest snapshot of each source; pass it through
-    `current_sources` first when some sources may be absent from `current`.
+    `current_sources` first when some sources may be absent from `current`. `moved` are its deltas,
+    if they have been found already.
     `truncated` names sources that a limit has cut: what they lack is not known to be removed.
     """
     seen, first_time = split_by_history(current, manifest)
-    moved = diff_snapshots(seen, previous)
+    if moved is None:
+        moved = diff_snapshots(seen, previous)
     if truncated is not None:
         cut = truncated.select("source_queue_id").distinct().withColumn("_cut", F.lit(True))
         moved = (
@@ -236,24 +239,3 @@ def run_counters(summary: DataFrame, persisted: DataFrame) -> DataFrame:
         ).alias("delta_count"),
         F.coalesce("persisted_count", F.lit(0)).cast("bigint").alias("persisted_count"),
     )
-
-
-# --- history ------------------------------------------------------------------
-def history_deltas(records: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Deltas between all consecutive snapshots of every source, in one job.
-
-    `records` carries snapshot_seq, numbered 1, 2, ... within each source;
-    `manifest` has one row per (source, snapshot_seq). A source's first snapshot
-    gives no deltas here: it is its baseline.
-    """
-    keys = [*KEYS, "snapshot_seq"]
-    fields = [c for c in records.columns if c not in keys]
-    steps = manifest.select("source_queue_id", "snapshot_seq").distinct()
-    current = records.filter(F.col("snapshot_seq") > 1)
-    # Move each record to the snapshot after its own, where there is one.
-    moved = records.withColumn("snapshot_seq", F.col("snapshot_seq") + 1)
-    previous = join_lookup(moved, steps, ["source_queue_id", "snapshot_seq"], "left_semi")
-    joined = _packed(current, "cur", keys).join(
-        _packed(previous, "prev", keys), keys, "full_outer"
-    )
-    return _as_deltas(joined, keys, fields)

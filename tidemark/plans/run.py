@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators import catalog, delta, insights, matrix
+from tidemark.operators import catalog, chains, delta, insights, matrix
 from tidemark.operators.ranking import first_per_group
 from tidemark.operators.records import build_records, limit_records, records_from_entries
 from tidemark.sinks.reports import write_run_output
@@ -139,10 +139,15 @@ def ingest(
 
     manifest = store.manifest_before(run_id)
     previous = delta.current_sources(store.latest_before(run_id, good), current)
+    # Keys and fingerprints first; whole records only of projects that differ.
+    both = chains.as_versions(current, previous)
+    known = good.join(manifest.select("source_queue_id"), "source_queue_id", "left_semi")
+    store.write("steps", chains.steps(both, chains.two_versions(known)), run_id)
+    moved = chains.with_payload(store.of_run("steps", run_id).drop("snapshot_id"), both).drop(chains.SEQ)
     cutting = limits.records is not None or limits.document_bytes is not None
     truncated = good.filter("truncated") if cutting else None
     store.write(
-        "deltas", delta.compare(current, previous, manifest, limits.baseline, truncated), run_id
+        "deltas", delta.compare(current, previous, manifest, limits.baseline, truncated, moved), run_id
     )
     deltas = store.of_run("deltas", run_id).drop("snapshot_id")
 

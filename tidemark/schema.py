@@ -25,6 +25,20 @@ MANIFEST = """
     record_count bigint, delta_count bigint, persisted_count bigint, snapshot_id string
 """
 
+# What has changed from each version of a source to its next one, by fingerprint; `at_seq` is the
+# version whose row tells about the project. Version 0 of a run is the snapshot before it.
+STEP = """
+    source_queue_id string, project_key string, snapshot_seq bigint, delta_type string,
+    at_seq bigint, snapshot_id string
+"""
+
+# Documents as they landed, before any of their content is decoded; `version` is null where the
+# content is that of the document before.
+LANDED = """
+    source_queue_id string, path string, observed_at timestamp, byte_count bigint,
+    content_md5 string, version string, snapshot_id string
+"""
+
 # Rows of a run's documents as decoded, and one row for each document (no row_seq).
 DECODED = """
     source_queue_id string, doc_id string, path string, content_md5 string, byte_count bigint,

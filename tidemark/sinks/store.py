@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from tidemark import schema
 from tidemark.operators.catalog import latest_by_source
+from tidemark.operators.joins import join_lookup
 from tidemark.sources.snapshots import latest_records, latest_versions
 
 SCHEMAS = {
@@ -26,11 +27,23 @@ SCHEMAS = {
     "state": schema.STATE,
     "decoded": schema.DECODED,
     "rejects": schema.REJECT,
+    "steps": schema.STEP,
+    "landed": schema.LANDED,
     "leads": schema.LEAD,
     "lead_rejects": schema.LEAD,
 }
 
 
+def _as_stored(table: str, rows: DataFrame) -> DataFrame:
+    """The columns of a stored table, null where the rows have none."""
+    return rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in StructType.fromDDL(SCHEMAS[table])
+        ]
+    )
+
+
 class MissingSnapshot(RuntimeError):
     """The manifest names records that are not there."""
 
@@ -54,21 +67,28 @@ class DeltaStore:
         The rebalance evens out file sizes by source; a source with very many
         rows is split over several files.
         """
-        target = StructType.fromDDL(SCHEMAS[table])
-        cast = rows.select(
-            *[
-                (F.col(f.name) if f.name in rows.columns else F.lit(None))
-                .cast(f.dataType)
-                .alias(f.name)
-                for f in target
-                if f.name != "snapshot_id"
-            ]
-        )
+        cast = _as_stored(table, rows).drop("snapshot_id")
         # Written to the partition's own folder: a dynamic overwrite leaves it alone without rows.
         folder = f"{self.root}/{table}/snapshot_id={quote(run_id, safe='')}"
         by = [F.col(c) for c in ("source_queue_id",) if c in cast.columns]
         cast.hint("rebalance", *by).write.mode("overwrite").parquet(folder)
 
+    def write_versions(self, table: str, rows: DataFrame) -> None:
+        """Replace the partitions that the rows name in snapshot_id, in one job for all of them."""
+        by = [F.col(c) for c in ("snapshot_id", "source_queue_id") if c in rows.columns]
+        (
+            _as_stored(table, rows)
+            .hint("rebalance", *by)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("snapshot_id")
+            .parquet(f"{self.root}/{table}")
+        )
+
+    def of_versions(self, table: str, versions: DataFrame) -> DataFrame:
+        """Rows of the (source, snapshot_id) pairs that are named."""
+        return join_lookup(self.read(table), versions, ["source_queue_id", "snapshot_id"], "left_semi")
+
     def of_run(self, table: str, run_id: str) -> DataFrame:
         return self.read(table).filter(F.col("snapshot_id") == run_id)
 
