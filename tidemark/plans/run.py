@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators import catalog, chains, delta, insights, matrix
+from tidemark.operators.joins import join_lookup
 from tidemark.operators.ranking import first_per_group
 from tidemark.operators.records import build_records, limit_records, records_from_entries
 from tidemark.sinks.reports import write_run_output
@@ -123,10 +124,11 @@ def ingest(
     decoded = store.of_run("decoded", run_id)
     rows = decoded.filter("row_seq is not null").drop("error", "snapshot_id")
     ready = build_records(records_from_entries(matrix.keyed_rows(rows, block_rows=None)))
-    store.write(
-        "records", ready if limits.records is None else limit_records(ready, limits.records), run_id
-    )
-    current = store.of_run("records", run_id).drop("snapshot_id")
+    cut = ready if limits.records is None else limit_records(ready, limits.records)
+    manifest = store.manifest_before(run_id)
+    newest = manifest.groupBy("source_queue_id").agg(F.max("snapshot_id").alias("previous_id"))
+    store.write("records", join_lookup(cut, newest, ["source_queue_id"]), run_id)
+    current = store.of_run("records", run_id).drop("snapshot_id", "previous_id")
     kept = current.groupBy("source_queue_id").agg(F.count("*").alias("kept"))
     found = kept.withColumn("found", F.col("kept"))
     if limits.records is not None:
@@ -137,7 +139,6 @@ def ingest(
     store.write("rejects", rejected(facts), run_id)
     good = facts.filter(F.col("error").isNull()).drop("error", "error_type", "doc_id")
 
-    manifest = store.manifest_before(run_id)
     previous = delta.current_sources(store.latest_before(run_id, good), current)
     # Keys and fingerprints first; whole records only of projects that differ.
     both = chains.as_versions(current, previous)
@@ -152,55 +153,70 @@ def ingest(
     deltas = store.of_run("deltas", run_id).drop("snapshot_id")
 
     metadata = catalog_metadata(store)
-    pending = store.latest_rows("state").select(
-        "source_queue_id",
-        F.coalesce(F.nullif("pending_fingerprint", F.lit("")), "last_remote_fingerprint").alias(
-            "remote_fingerprint"
-        ),
+    evidence = evidence_of(
+        good.join(times.select("source_queue_id", "parsed_at"), "source_queue_id"),
+        metadata, pending_fingerprints(store), f"{store.root}/outputs/{run_id}",
+    )
+    chosen = delta.selected(deltas, limits.deltas)
+    store.write(
+        "insights",
+        insights.delta_insights(chosen, metadata.drop("catalog_source_url"), evidence),
+        run_id,
     )
-    evidence = (
-        good.join(times.select("source_queue_id", "parsed_at"), "source_queue_id")
-        .join(metadata.select("source_queue_id", "catalog_source_url"), "source_queue_id", "left")
+    summary = delta.delta_summary(deltas, current, manifest)
+    counters = delta.run_counters(summary, chosen)
+    before = newest.withColumnRenamed("previous_id", "previous_snapshot_id")
+    output = output_rows(chosen, counters, summary, good, before)
+    write_run_output(output.withColumn("current_snapshot_id", F.lit(run_id)), f"{store.root}/outputs/{run_id}")
+    store.write("manifest", evidence.join(counters, "source_queue_id"), run_id)
+    done = store.of_run("manifest", run_id)
+    # Sorts after what a scan of the same run has written.
+    state = parsed_state(store, done, summary_text(summary), store.of_run("rejects", run_id))
+    store.write("state", state, f"{run_id}-parsed")
+    return done
+
+
+def pending_fingerprints(store: DeltaStore) -> DataFrame:
+    """The fingerprint that the last scan of each source has met."""
+    pending = F.coalesce(F.nullif("pending_fingerprint", F.lit("")), "last_remote_fingerprint")
+    return store.latest_rows("state").select("source_queue_id", pending.alias("remote_fingerprint"))
+
+
+def evidence_of(good: DataFrame, metadata: DataFrame, pending: DataFrame, output: str) -> DataFrame:
+    """What is known of the document behind each source of a run."""
+    return (
+        good.join(metadata.select("source_queue_id", "catalog_source_url"), "source_queue_id", "left")
         .join(pending, "source_queue_id", "left")
         .withColumns(
             {
                 "source_url": F.col("catalog_source_url"),
                 "raw_s3_bucket": F.nullif(F.regexp_extract("path", "^s3[an]?://([^/]+)/", 1), F.lit("")),
                 "raw_s3_key": F.col("path"),
-                "output_s3_key": F.lit(f"{store.root}/outputs/{run_id}"),
+                "output_s3_key": F.lit(output),
             }
         )
     )
-    chosen = delta.selected(deltas, limits.deltas)
-    store.write(
-        "insights",
-        insights.delta_insights(chosen, metadata.drop("catalog_source_url"), evidence),
-        run_id,
-    )
-    kept_insights = store.of_run("insights", run_id)
-    summary = delta.delta_summary(deltas, current, manifest)
-    counters = delta.run_counters(summary, kept_insights)
-    output = insights.run_output(chosen, counters).join(
-        good.select("source_queue_id", "notes", "truncated"), "source_queue_id", "left"
-    )
-    newest = manifest.groupBy("source_queue_id").agg(F.max("snapshot_id").alias("previous_snapshot_id"))
+
+
+def output_rows(
+    chosen: DataFrame, counters: DataFrame, summary: DataFrame, good: DataFrame, newest: DataFrame
+) -> DataFrame:
+    """The run's output of each source. `newest` has its previous_snapshot_id."""
     counts = F.struct(*delta.SUMMARY_COLUMNS)
-    output = (
-        output.join(summary.select("source_queue_id", counts.alias("delta_summary")), "source_queue_id", "left")
+    return (
+        insights.run_output(chosen, counters)
+        .join(good.select("source_queue_id", "notes", "truncated"), "source_queue_id", "left")
+        .join(summary.select("source_queue_id", counts.alias("delta_summary")), "source_queue_id", "left")
         .join(newest, "source_queue_id", "left")
-        .withColumn("current_snapshot_id", F.lit(run_id))
     )
-    write_run_output(output, f"{store.root}/outputs/{run_id}")
-    store.write("manifest", evidence.join(counters, "source_queue_id"), run_id)
-    done = store.of_run("manifest", run_id)
-    # Sorts after what a scan of the same run has written.
-    as_text = summary.select("source_queue_id", F.to_json(counts).alias("last_delta_summary"))
-    state = _parsed_state(store, done, as_text, store.of_run("rejects", run_id))
-    store.write("state", state, f"{run_id}-parsed")
-    return done
 
 
-def _parsed_state(
+def summary_text(summary: DataFrame) -> DataFrame:
+    counts = F.to_json(F.struct(*delta.SUMMARY_COLUMNS))
+    return summary.select("source_queue_id", counts.alias("last_delta_summary"))
+
+
+def parsed_state(
     store: DeltaStore, done: DataFrame, summaries: DataFrame, rejects: DataFrame
 ) -> DataFrame:
     """State of the run's sources after parsing: the fingerprint that the scan has met becomes the
@@ -231,7 +247,14 @@ def _parsed_state(
             F.lit("").alias("last_error_type"),
         )
     )
-    failures = rejects.select(
+    updates = updates.unionByName(failure_update(rejects), allowMissingColumns=True)
+    old = latest.join(updates.select("source_queue_id"), "source_queue_id", "left_semi")
+    return catalog.upsert_state(old, updates)
+
+
+def failure_update(rejects: DataFrame) -> DataFrame:
+    """What a reject sets in the state of its source."""
+    return rejects.select(
         "source_queue_id",
         F.lit("FAILED").alias("parser_status"),
         F.col("observed_at").alias("last_parsed_at"),
@@ -240,9 +263,6 @@ def _parsed_state(
         F.col("error").alias("last_error"),
         F.col("error_type").alias("last_error_type"),
     )
-    updates = updates.unionByName(failures, allowMissingColumns=True)
-    old = latest.join(updates.select("source_queue_id"), "source_queue_id", "left_semi")
-    return catalog.upsert_state(old, updates)
 
 
 def scan(

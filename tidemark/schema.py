@@ -7,7 +7,7 @@ _EXTRACTION = (
     "substation_or_node: string, status: string, developer_name: string>"
 )
 
-# One row per project and snapshot.
+# One row per project and snapshot; `previous_id` is the snapshot of its source before that one.
 SNAPSHOT = """
     source_queue_id string, project_key string, ord bigint, interconnection_queue_id string,
     project_name string, capacity_mw bigint, capacity_source_field string,
@@ -15,7 +15,7 @@ SNAPSHOT = """
     zone string, fuel_type string, extraction_confidence decimal(3,2), review_status string,
     review_reasons array<string>, source_location string, source_row_number bigint,
     source_header_row_number bigint, source_row map<string,string>, first_seen bigint,
-    record_fingerprint string, snapshot_id string
+    record_fingerprint string, previous_id string, snapshot_id string
 """
 
 # One row per source and snapshot; written last, so a row means the snapshot is complete.
@@ -32,11 +32,17 @@ STEP = """
     at_seq bigint, snapshot_id string
 """
 
-# Documents as they landed, before any of their content is decoded; `version` is null where the
-# content is that of the document before.
+# Documents as they landed, before any of their content is decoded.
 LANDED = """
     source_queue_id string, path string, observed_at timestamp, byte_count bigint,
-    content_md5 string, version string, snapshot_id string
+    content_md5 string, snapshot_id string
+"""
+
+# Versions of a backlog that gave records, numbered within their source.
+VERSION = """
+    source_queue_id string, observed_at timestamp, path string, content_md5 string,
+    byte_count bigint, format string, notes array<string>, truncated boolean,
+    snapshot_seq bigint, snapshot_id string
 """
 
 # Rows of a run's documents as decoded, and one row for each document (no row_seq).
@@ -54,7 +60,7 @@ REJECT = """
 
 # All deltas of a run, before any cut.
 DELTA = SNAPSHOT.replace(
-    "snapshot_id string",
+    "previous_id string, snapshot_id string",
     "delta_type string, changed_fields array<string>, delta_rank int, snapshot_id string",
 )
 
@@ -69,7 +75,22 @@ INSIGHT = f"""
     developer_name string, county string, state string, zone string, fuel_type string,
     extraction_confidence decimal(3,2), review_status string, review_reasons array<string>,
     record_fingerprint string, source_location string, source_row_number bigint,
-    source_row map<string,string>, extraction {_EXTRACTION}, snapshot_id string
+    source_row map<string,string>, extraction {_EXTRACTION}, deleted boolean, snapshot_id string
+"""
+
+# What the keyed stream has found; `version` is the snapshot in which it did.
+CHANGE = """
+    source_queue_id string, project_key string, version string, delta_type string,
+    changed_fields array<string>, capacity_mw bigint, status string, snapshot_id string
+"""
+
+# Sources that have sent nothing for longer than agreed.
+SILENT = "source_queue_id string, last_observed_at timestamp, silent_at timestamp, snapshot_id string"
+
+# Tries of a document's content that have failed: waiting for the next one, dead, or settled.
+ATTEMPT = """
+    source_queue_id string, content_md5 string, path string, attempts bigint, status string,
+    error string, first_at timestamp, last_at timestamp, next_at timestamp, snapshot_id string
 """
 
 CATALOG = """

@@ -29,6 +29,12 @@ SCHEMAS = {
     "rejects": schema.REJECT,
     "steps": schema.STEP,
     "landed": schema.LANDED,
+    "versions": schema.VERSION,
+    "staged": schema.SNAPSHOT,
+    "changes": schema.CHANGE,
+    "silent": schema.SILENT,
+    "attempts": schema.ATTEMPT,
+    "dead_letters": schema.ATTEMPT,
     "leads": schema.LEAD,
     "lead_rejects": schema.LEAD,
 }
@@ -120,7 +126,7 @@ class DeltaStore:
                 f"{first['source_queue_id']}: {first['record_count']} records in the manifest, "
                 f"{first['found'] or 0} found"
             )
-        return records.drop("snapshot_id")
+        return records.drop("snapshot_id", "previous_id")
 
     def latest_rows(self, table: str) -> DataFrame:
         """Newest row of each source in a table kept by source (catalog, state)."""

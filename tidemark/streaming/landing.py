@@ -1,17 +1,16 @@
 """Incremental ingest: documents that land in a folder become runs.
 
-The file source hands over each landed file once. A batch is split into rounds
-so that every round holds at most one document per source, oldest first, and
-each round is an ordinary run; that keeps removals right, which need the whole
-snapshot of a source.
+The file source hands over each landed file once. A batch may hold any number of documents of a
+source: they are versions of it, and one job compares each with the one before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.run import Limits, ingest
+from tidemark.plans.backlog import ingest_backlog
+from tidemark.plans.run import Limits
 from tidemark.schema import BINARY_FILE
 from tidemark.sinks.store import DeltaStore
 
@@ -29,39 +28,11 @@ def landed_documents(files: DataFrame) -> DataFrame:
     ).filter(F.col("source_queue_id") != "")
 
 
-def in_rounds(documents: DataFrame) -> DataFrame:
-    """Numbers the documents of each source by path, which holds their time; reads no content."""
-    order = Window.partitionBy("source_queue_id").orderBy("path")
-    return documents.select("source_queue_id", "path", F.row_number().over(order).alias("round"))
-
-
-def changed_documents(documents: DataFrame, store: DeltaStore, run_id: str) -> DataFrame:
-    """Documents whose content differs from the newest snapshot of their source."""
-    known = (
-        store.manifest_before(run_id)
-        .groupBy("source_queue_id")
-        .agg(F.max_by("content_md5", "snapshot_id").alias("known_md5"))
-    )
-    return (
-        documents.join(known, "source_queue_id", "left")
-        .filter(~F.md5("content").eqNullSafe(F.col("known_md5")))
-        .drop("known_md5")
-    )
-
-
 def process_batch(
     store: DeltaStore, files: DataFrame, batch_id: int, limits: Limits = Limits()
 ) -> None:
-    """One micro-batch. Run ids come from the batch, so a replay repeats the same runs."""
-    documents = landed_documents(files)
-    rounds = in_rounds(documents)
-    last = rounds.agg(F.max("round")).first()[0] or 0
-    for number in range(1, last + 1):
-        run_id = f"{batch_id:012d}-{number:06d}"
-        wanted = rounds.filter(F.col("round") == number).select("path")
-        turn = documents.join(wanted, "path", "left_semi")
-        changed = changed_documents(turn, store, run_id)
-        ingest(store, changed, run_id, F.col("modificationTime"), limits)
+    """One micro-batch. Version ids come from the batch, so a replay repeats the same versions."""
+    ingest_backlog(store, landed_documents(files), f"{batch_id:012d}", F.col("modificationTime"), limits)
 
 
 def start(
