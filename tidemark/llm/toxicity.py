@@ -99,7 +99,10 @@ def training_sample(documents: DataFrame, labels: DataFrame, per_class: int = PE
     below = F.lit(False)
     for toxic, n in counts.items():
         below |= (F.col("toxic") == toxic) & (F.col("draw") <= int(DRAWS * min(1.0, (2 * per_class + 200) / n)))
-    drawn = marked.where(below)
+    drawn = written(marked.where(below), "toxic-drawn")
+    # So few that they go to the texts, rather than all texts to them; the size is checked.
+    if drawn.count() <= 8 * per_class + 1000:
+        drawn = F.broadcast(drawn)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = drawn.join(texts, "doc_id").withColumn("mark", F.xxhash64("text"))
     first = rows.groupBy("toxic", "mark").agg(F.min(F.struct("draw", "doc_id", "text")).alias("f"))
