@@ -113,30 +113,39 @@ def extraction_insights(extractions: DataFrame, model_id: str, parsed_at: Column
     )
 
 
+IDENTITY = ["_source", "_project", "observed_at"]
+
+
+def with_identity(rows: DataFrame) -> DataFrame:
+    """Insights with `_source` and `_project`: identity is (source, project, observed_at), and for
+    extractions the project is empty."""
+    for name in ("source_queue_id", "project_key"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    return rows.withColumns(
+        {
+            "_source": F.coalesce("source_queue_id", "queue_id"),
+            "_project": F.coalesce("project_key", F.lit("")),
+        }
+    )
+
+
+def newest_insights(rows: DataFrame, version: Column) -> DataFrame:
+    """Of the rows of one identity the newest version's; rows have their identity."""
+    # The parse time breaks ties inside one version, so the outcome never depends on row order.
+    tie = F.col("parsed_at") if "parsed_at" in rows.columns else F.lit(0)
+    best = F.struct(version, tie, "queue_id")
+    return first_per_group(rows, IDENTITY, best).drop("_source", "_project")
+
+
 def upsert_insights(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Existing and incoming insights; an incoming row replaces one with the same identity.
-
-    Identity is (source, project, observed_at); for extractions the project is empty.
-    """
-    keys = ["_source", "_project", "observed_at"]
-
-    def tagged(rows: DataFrame, version: int) -> DataFrame:
-        for name in ("source_queue_id", "project_key"):
-            if name not in rows.columns:
-                rows = rows.withColumn(name, F.lit(None).cast("string"))
-        return rows.withColumns(
-            {
-                "_source": F.coalesce("source_queue_id", "queue_id"),
-                "_project": F.coalesce("project_key", F.lit("")),
-                "_version": F.lit(version),
-            }
-        )
-
-    both = tagged(existing, 0).unionByName(tagged(incoming, 1), allowMissingColumns=True)
-    # The parse time breaks ties inside one side, so the outcome never depends on row order.
-    tie = F.col("parsed_at") if "parsed_at" in both.columns else F.lit(0)
-    best = F.struct("_version", tie, "queue_id")
-    return first_per_group(both, keys, best).drop("_source", "_project", "_version")
+    """Existing and incoming insights; an incoming row replaces one with the same identity."""
+    old, new = (
+        with_identity(rows).withColumn("_version", F.lit(version))
+        for version, rows in enumerate((existing, incoming))
+    )
+    both = old.unionByName(new, allowMissingColumns=True)
+    return newest_insights(both, F.col("_version")).drop("_version")
 
 
 def run_output(deltas: DataFrame, counters: DataFrame, sample: int = OUTPUT_SAMPLE) -> DataFrame:

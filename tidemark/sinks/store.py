@@ -131,3 +131,9 @@ class DeltaStore:
     def latest_rows(self, table: str) -> DataFrame:
         """Newest row of each source in a table kept by source (catalog, state)."""
         return latest_by_source(self.read(table), "snapshot_id").drop("snapshot_id")
+
+    def insights(self) -> DataFrame:
+        """Insights of all runs, one row for each (source, project, observed_at)."""
+        from tidemark.sinks.merged import MergedInsights
+
+        return MergedInsights(self).read()
