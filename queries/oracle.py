@@ -286,6 +286,9 @@ counters AS (
     coalesce(persisted_count, 0) AS persisted_count
   FROM counts LEFT JOIN kept USING (source_queue_id))"""
 
+# The same without limits.
+DIFF_ALL = DIFF.replace("WHERE delta_rank <= 25)", ")").replace("WHERE delta_rank <= 750)", ")")
+
 META = """
 meta AS (
   SELECT 'src-' || n_nationkey AS source_queue_id, 'Utility ' || n_name AS utility_name,
@@ -348,6 +351,13 @@ pref AS (
     OR NOT EXISTS (SELECT 1 FROM sig WHERE insight_type = 'PROJECT_DELTA'))"""
 
 
+RECENT = INSIGHTS.rsplit("pref AS", 1)[0] + f"""recent AS (
+  SELECT * FROM sig WHERE observed_at >= {AS_OF} - INTERVAL 1470 MINUTES),
+pref AS (
+  SELECT * FROM recent WHERE insight_type = 'PROJECT_DELTA'
+    OR NOT EXISTS (SELECT 1 FROM recent WHERE insight_type = 'PROJECT_DELTA'))"""
+
+
 def health(rows: str) -> str:
     return f"""
 health AS (
@@ -633,18 +643,18 @@ SELECT * FROM (
   SELECT source_queue_id, project_key, capacity_mw, row_number() OVER (PARTITION BY source_queue_id
     ORDER BY coalesce(nullif(capacity_mw, 0), -1) DESC, first_seen, project_key) AS delta_rank
   FROM cur) WHERE delta_rank <= 25""",
-    "delta_summary": f"WITH {DIFF} SELECT * FROM counts",
+    "delta_summary": f"WITH {DIFF_ALL} SELECT * FROM counts",
     "delta_select": f"""WITH {DIFF}
 SELECT source_queue_id, project_key, delta_type, capacity_mw, delta_rank FROM chosen""",
-    "run_counters": f"WITH {DIFF} SELECT * FROM counters",
+    "run_counters": f"WITH {DIFF_ALL} SELECT * FROM counters",
     "run_output": f"""WITH {DIFF}, samples AS (
   SELECT source_queue_id, string_agg(delta_type || ':' || project_key, ',' ORDER BY delta_rank) AS sample
   FROM chosen WHERE delta_rank <= 50 GROUP BY 1)
 SELECT * FROM counters LEFT JOIN samples USING (source_queue_id)""",
-    "delta_enrich": f"""WITH {DIFF}, {META}
+    "delta_enrich": f"""WITH {DIFF_ALL}, {META}
 SELECT source_queue_id, project_key, delta_type, utility_name, market, region, source_kind
 FROM deltas LEFT JOIN meta USING (source_queue_id)""",
-    "insight_upsert": f"""WITH {DIFF}, {META}, incoming AS (
+    "insight_upsert": f"""WITH {DIFF_ALL}, {META}, incoming AS (
   SELECT source_queue_id, project_key, delta_type, capacity_mw, status, changed_fields,
     {AS_OF} AS parsed_at FROM chosen),
 merged AS (
@@ -715,6 +725,42 @@ SELECT count(*) AS total_signals,
   count(*) FILTER (status = 'Withdrawn') AS withdrawn_signals,
   count(*) FILTER (status = 'Completed') AS completed_signals
 FROM pref""",
+    "summary_of_states": f"""WITH {INSIGHTS}
+SELECT count(*) AS total_signals,
+  count(*) FILTER (insight_type = 'PROJECT_DELTA') AS project_delta_signals,
+  count(*) FILTER (delta_type = 'BASELINE') AS baseline_signals,
+  count(*) FILTER (delta_type = 'NEW') AS new_signals,
+  count(*) FILTER (delta_type = 'UPDATED') AS updated_signals,
+  count(*) FILTER (delta_type = 'REMOVED') AS removed_signals,
+  count(*) FILTER (review_status = 'NEEDS_REVIEW') AS needs_review,
+  CAST(coalesce(sum(capacity_mw), 0) AS BIGINT) AS total_capacity_mw,
+  count(*) FILTER (status = 'Active') AS active_signals,
+  count(*) FILTER (status = 'Withdrawn') AS withdrawn_signals,
+  count(*) FILTER (status = 'Completed') AS completed_signals
+FROM pref""",
+    "recent_summary_of_states": f"""WITH {RECENT}
+SELECT count(*) AS total_signals,
+  count(*) FILTER (insight_type = 'PROJECT_DELTA') AS project_delta_signals,
+  count(*) FILTER (delta_type = 'BASELINE') AS baseline_signals,
+  count(*) FILTER (delta_type = 'NEW') AS new_signals,
+  count(*) FILTER (delta_type = 'UPDATED') AS updated_signals,
+  count(*) FILTER (delta_type = 'REMOVED') AS removed_signals,
+  count(*) FILTER (review_status = 'NEEDS_REVIEW') AS needs_review,
+  CAST(coalesce(sum(capacity_mw), 0) AS BIGINT) AS total_capacity_mw,
+  count(*) FILTER (status = 'Active') AS active_signals,
+  count(*) FILTER (status = 'Withdrawn') AS withdrawn_signals,
+  count(*) FILTER (status = 'Completed') AS completed_signals
+FROM pref""",
+    "health_of_states": f"WITH {INSIGHTS}, {health('pref')} SELECT * FROM health",
+    "attempt_ledger": """WITH r AS (
+  SELECT c_custkey AS k, 'src-' || c_nationkey AS source_queue_id, md5(c_custkey::VARCHAR) AS content_md5,
+    'raw/' || c_custkey AS path, c_nationkey % 5 = 0 AS healed, c_custkey % 3 AS tried, c_custkey % 4 = 0 AS fails FROM customer)
+SELECT source_queue_id, content_md5, path, (tried + 1)::BIGINT AS attempts, CASE WHEN tried + 1 >= 3 THEN 'DEAD' ELSE 'WAITING' END AS status,
+  'NoRecords' AS error, CASE WHEN tried + 1 < 3 THEN 3600 * 2 ** tried END::BIGINT AS wait_seconds
+FROM r WHERE fails
+UNION ALL
+SELECT source_queue_id, content_md5, path, tried::BIGINT, 'SETTLED', 'BadZip', NULL
+FROM r WHERE tried > 0 AND NOT fails AND healed""",
     "source_health": f"WITH {INSIGHTS}, {health('pref')} SELECT * FROM health",
     "health_ratio": f"""WITH {INSIGHTS}, {health('pref')}
 SELECT count(*) FILTER (parser_status = 'HEALTHY') AS healthy_sources, count(*) AS all_sources
@@ -872,7 +918,7 @@ SELECT doc_id, array_to_string(list_filter(list_transform(lines, lambda x:
     '^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+$', '', 'g')),
   lambda x: x <> ''), chr(10)) AS text FROM a""",
     "decode_text": r"""SELECT doc_id, CASE WHEN doc_id % 4 = 1
-  THEN '“' || regexp_replace(text, '[^\x00-\x7F]', '', 'g') ELSE text END AS text FROM documents""",
+  THEN '“' || text ELSE text END AS text FROM documents""",
     "html_tables": matrix_of(
         1, "html-table", 2, "", LINE, "Queue Number|Project Name|POI|Capacity (MW)|Status"
     ),

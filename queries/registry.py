@@ -15,7 +15,9 @@ from tidemark.functions import text as t
 from tidemark.functions.variants import json_object
 from tidemark.operators import catalog as cat
 from tidemark.operators import chains, delta, insights as ins, matrix as mx, quality, records as rec, report
+from tidemark.operators import report_states as states
 from tidemark.operators.lookup import ColumnLookup
+from tidemark.plans import retries
 from tidemark.plans.ingest import document_records
 from tidemark.plans.run import document_facts, rejected
 from tidemark.sources import decode
@@ -282,11 +284,11 @@ def record_limit(spark, sf):
 DELTA_FIELDS = [*RECORD_FIELDS, "record_fingerprint"]
 
 
-def _run(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _run(spark, sf, sample: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Current records, all deltas of the run, and the manifest before it."""
     current = kept(fx.current_snapshot(spark, sf))
     manifest = fx.previous_manifest(spark, sf)
-    deltas = delta.compare(current, fx.previous_snapshot(spark, sf), manifest, BASELINE_SAMPLE)
+    deltas = delta.compare(current, fx.previous_snapshot(spark, sf), manifest, sample)
     return current, kept(deltas), manifest
 
 
@@ -362,7 +364,7 @@ def delta_summary(spark, sf):
 
 @query
 def delta_select(spark, sf):
-    _, deltas, _ = _run(spark, sf)
+    _, deltas, _ = _run(spark, sf, BASELINE_SAMPLE)
     return delta.selected(deltas, MAX_DELTAS_PER_SOURCE).select(
         "source_queue_id",
         "project_key",
@@ -376,13 +378,13 @@ def delta_select(spark, sf):
 def run_counters(spark, sf):
     current, deltas, manifest = _run(spark, sf)
     return delta.run_counters(
-        delta.delta_summary(deltas, current, manifest), delta.selected(deltas, MAX_DELTAS_PER_SOURCE)
+        delta.delta_summary(deltas, current, manifest), delta.selected(deltas)
     )
 
 
 @query
 def run_output(spark, sf):
-    current, deltas, manifest = _run(spark, sf)
+    current, deltas, manifest = _run(spark, sf, BASELINE_SAMPLE)
     chosen = delta.selected(deltas, MAX_DELTAS_PER_SOURCE)
     counters = delta.run_counters(delta.delta_summary(deltas, current, manifest), chosen)
     output = ins.run_output(chosen, counters)
@@ -420,7 +422,7 @@ def insight_upsert(spark, sf):
     parsed = fx.ntz(fx.AS_OF)
     current, deltas, _ = _run(spark, sf)
     incoming = ins.delta_insights(
-        delta.selected(deltas, MAX_DELTAS_PER_SOURCE),
+        delta.selected(deltas),
         fx.source_metadata(spark, sf),
         fx.run_evidence(spark, sf),
         parsed,
@@ -564,6 +566,53 @@ def source_health(spark, sf):
     )
 
 
+@query
+def summary_of_states(spark, sf):
+    """The report's summary from hourly states of all signals."""
+    return states.merged_summary(kept(states.signal_states(_signals(spark, sf))))
+
+
+@query
+def health_of_states(spark, sf):
+    return states.merged_health(kept(states.signal_states(_signals(spark, sf))))
+
+
+@query
+def recent_summary_of_states(spark, sf):
+    """The summary of the last 24 hours and 30 minutes: whole hours from states, the cut hour from
+    its signals."""
+    signals = kept(_signals(spark, sf))
+    since = fx.ntz(fx.AS_OF) - F.expr("interval 1470 minutes")
+    return states.merged_summary(states.states_since(kept(states.signal_states(signals)), signals, since))
+
+
+@query
+def attempt_ledger(spark, sf):
+    """Entries after a run: customers' documents that failed before (by key, once or twice), some that
+    fail now, and every fifth source healed."""
+    key = F.col("c_custkey")
+    rows = fx.table(spark, sf, "customer").select(
+        "c_custkey",
+        F.concat(F.lit("src-"), fx.text("c_nationkey")).alias("source_queue_id"),
+        F.md5(fx.text("c_custkey").cast("binary")).alias("content_md5"),
+        F.concat(F.lit("raw/"), fx.text("c_custkey")).alias("path"),
+        F.col("c_nationkey"),
+    )
+    first = fx.ntz(fx.OBSERVED_AT).cast("timestamp")
+    old = rows.filter(key % 3 > 0).select(
+        "source_queue_id", "content_md5", "path", (key % 3).cast("bigint").alias("attempts"), F.lit("WAITING").alias("status"),
+        F.lit("BadZip").alias("error"), first.alias("first_at"), first.alias("last_at"), first.alias("next_at"),
+    )
+    failed = rows.filter(key % 4 == 0).withColumn("error", F.lit("NoRecords"))
+    healed = rows.filter(F.col("c_nationkey") % 5 == 0)
+    now = fx.ntz(fx.AS_OF).cast("timestamp")
+    entries = retries.next_entries(old, failed, healed, now)
+    return entries.select(
+        "source_queue_id", "content_md5", "path", "attempts", "status", "error",
+        (F.unix_seconds("next_at") - F.unix_seconds("last_at")).alias("wait_seconds"),
+    )
+
+
 @query
 def health_ratio(spark, sf):
     """Of the sources that the report itself shows."""
@@ -872,12 +921,11 @@ def whitespace_lines(spark, sf):
 
 @query
 def decode_text(spark, sf):
-    """Documents as UTF-8 with and without mark, and their ASCII part with a cp1252 quote."""
+    """Documents as UTF-8 with and without mark, and in cp1252 after a quote of its own."""
     key = F.col("doc_id")
-    ascii_text = F.regexp_replace("text", r"[^\x00-\x7F]", "")
     content = (
         F.when(key % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
-        .when(key % 4 == 1, F.concat(F.unhex(F.lit("93")), F.encode(ascii_text, "UTF-8")))
+        .when(key % 4 == 1, F.concat(F.unhex(F.lit("93")), F.encode("text", "ISO-8859-1")))
         .otherwise(F.encode("text", "UTF-8"))
     )
     documents = fx.table(spark, sf, "documents").select("doc_id", content.alias("content"))
