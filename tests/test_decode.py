@@ -78,12 +78,35 @@ def test_html_nested_and_unclosed_tables(spark):
     got = cells(decode.html_tables(documents(spark, ("a.html", html))))
     assert [(n, c) for _, n, c in got] == [
         (1, ["A b", " c "]),
-        (2, ["in"]),
+        (2, ["x"]),
         (3, ["in"]),
-        (4, ["kept"]),
+        (4, ["lost"]),
+        (5, ["kept"]),
     ]
 
 
+def test_html_odd_markup(spark):
+    html = (
+        "<TABLE class='a>b'><tr><td title=\"x > y\">1 &lt; 2</td><td>3<!-- <td>no</td> --></td><script>'<td>no</td>'</script></tr>"
+        "<tr><td>a<table><tr><td>b</td></tr></table>c</td><td>d</td></tr></table> <table><td>no row</td><tr><td>last"
+    )
+    got = cells(decode.html_tables(documents(spark, ("a.html", html))))
+    assert [[x.strip() for x in c] for _, _, c in got] == [["1 < 2", "3"], ["a c", "d"], ["b"], ["last"]]
+    text = decode.html_visible_text(documents(spark, ("a.html", "a < b <i>c</i><style>x</style><!-- y --> &eacute;<div unfinished"))).first()
+    assert text.text == "a < b c é"
+
+
+def test_cell_references():
+    assert [decode._column_number(x) for x in ("A1", "Z9", "AA1", "ab12", "XFD1", "", "7")] == [0, 25, 26, 27, 16383, 0, 0]
+
+
+def test_pdf_escapes_and_bombs(spark):
+    body = rb"(one \\n two) (\101x\)) (tab\there)" + b" (padding of some more words to be long enough)"
+    row = decode.pdf_text(documents(spark, ("a.pdf", b"stream\n" + body + b"\nendstream"))).first()
+    assert row.text.startswith("one \\n two \\101x) tab")
+    assert list(decode._pdf_layers(b"stream\n" + zlib.compress(b"x" * 10)[:-6] + b"\nendstream"))[1:] == []
+
+
 def test_visible_text(spark):
     html = "<p>One  <b>two</b></p><script>no()</script><div>three<br/>four</div><noscript>x</noscript>&amp; five "
     row = decode.html_visible_text(documents(spark, ("a.html", html))).first()

@@ -12,16 +12,13 @@ from __future__ import annotations
 
 import csv
 import fnmatch
+import html
 import io
 import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import suppress
-from functools import reduce
-from html.parser import HTMLParser
-from itertools import accumulate, chain
-from operator import itemgetter
+from itertools import chain
 from typing import IO
 from xml.etree import ElementTree
 
@@ -200,9 +197,9 @@ def _local(tag: str) -> str:
 
 
 def _column_number(reference: str) -> int:
-    """Letters of a cell reference, read in base 26 with A as 1; no letters count as A."""
-    digits = (int(letter, 36) - 9 for letter in reference if letter.isalpha())
-    return max(reduce(lambda number, digit: 26 * number + digit, digits, 0), 1) - 1
+    """Column of a cell reference such as AB12, from 0: its letters are digits to the base 26."""
+    letters = re.match("[A-Za-z]*", reference)[0].upper() or "A"
+    return sum((ord(letter) - 64) * 26**power for power, letter in enumerate(reversed(letters))) - 1
 
 
 def _elements(part: IO[bytes], name: str) -> Iterator[ElementTree.Element]:
@@ -282,100 +279,91 @@ def _xml_rows(data: bytes) -> Iterator[tuple]:
         yield index, f"{_local(record.tag)}[{index}]", index, entries
 
 
-def _marks(markup: str) -> Iterator[tuple[str, str]]:
-    """An HTML document as (what, tag or words), read piece by piece."""
-    found: list[tuple[str, str]] = []
-    parser = HTMLParser()
-    parser.handle_starttag = lambda tag, _: found.append(("open", tag))
-    parser.handle_endtag = lambda tag: found.append(("close", tag))
-    parser.handle_data = lambda words: found.append(("words", words))
-    # Fed in one go, as pieces would split words; no close(): an unfinished tag at the end is not text.
-    parser.feed(markup)
-    yield from found
+# What is not shown (fixed values), and tags, also one that the end of the text cuts off.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript)\b.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\Z)"""
+_TAG = re.compile(rf"<[!?/]?[a-z]{_ATTRIBUTES}|<[!?/]?[a-z][^>]*+(?:>|\Z)", re.IGNORECASE)
+_TABLE_TAG = re.compile(rf"<(/?)(table|tr|td|th)\b{_ATTRIBUTES}", re.IGNORECASE)
+# Elements whose tags break a line of visible text (fixed values).
+_BREAK = re.compile(rf"<(?:/?(?:p|div|tr|li)|br|table)\b{_ATTRIBUTES}", re.IGNORECASE)
+
+
+def _cell_texts(markup: str) -> Iterator[tuple[int, int, str]]:
+    """(row, cell, text) for every cell of every table, rows numbered as they begin.
+
+    Each open table has a row and a cell it is at. A cell ends with its tag, or where the next cell,
+    row or the end of its table comes; the same holds for rows. Inner tables have rows of their own,
+    and what stands in them belongs to no cell of an outer one."""
+    shown = _HIDDEN.sub(" ", markup)
+    tables: list[tuple[int, int]] = []  # (row, cell) of each open table; 0 for none, less if it has ended
+    rows, at = 0, 0
+    for tag in chain(_TABLE_TAG.finditer(shown), [None]):
+        if tables and tables[-1][1] > 0:
+            between = shown[at : tag.start() if tag else len(shown)]
+            words = " ".join(html.unescape(piece) for piece in _TAG.split(between) if piece)
+            yield *tables[-1], words
+        if tag is None:
+            return
+        at, name, ends = tag.end(), tag[2].lower(), bool(tag[1])
+        if name == "table":
+            tables = tables[:-1] if ends else [*tables, (0, 0)]
+        elif tables:
+            row, cell = tables.pop()
+            if name == "tr":
+                rows += not ends
+                tables.append((0 if ends else rows, 0))
+            elif ends or not row:
+                tables.append((row, -abs(cell)))
+            else:
+                tables.append((row, abs(cell) + 1))
+                yield row, abs(cell) + 1, ""
 
 
 def _html_rows(text: str) -> Iterator[tuple]:
-    """A row is what its cells say up to the next row's tag; it counts once for each of its end
-    tags that comes after a cell with text. Tables in a table are part of its rows."""
-
-    def rows() -> Iterator[list[str]]:
-        tables, ends = 0, 0
-        cells: list[str] = []
-        said: list[str] | None = None
-        for mark in _marks(text):
-            match mark:
-                case "words", words if said is not None:
-                    said.append(words)
-                case "open", "table":
-                    tables += 1
-                case "close", "table" if tables:
-                    tables -= 1
-                case ("open", "tr") if tables:
-                    yield from [cells] * ends
-                    cells, ends = [], 0
-                case ("close", "tr") if tables:
-                    ends += "".join(cells).strip() != ""
-                case ("open", "td" | "th") if tables:
-                    said = []
-                case ("close", "td" | "th") if tables and said is not None:
-                    cells.append(" ".join(said))
-                    said = None
-        yield from [cells] * ends
-
-    return _place([("html-table", enumerate(rows(), 1))])
-
-
-# Elements whose tags break a line of visible text, and those whose content is not shown (fixed values).
-_BREAKS = {("open", tag) for tag in ("br", "p", "div", "tr", "li", "table")} | {
-    ("close", tag) for tag in ("p", "div", "tr", "li")
-}
-_HIDDEN = ("script", "style", "noscript")
+    """Rows of all tables with any text, in the order in which they begin."""
+    rows: dict[int, dict[int, list[str]]] = {}
+    for row, cell, words in _cell_texts(text):
+        pieces = rows.setdefault(row, {}).setdefault(cell, [])
+        if words:
+            pieces.append(words)
+    lists = ([" ".join(pieces) for pieces in cells.values()] for _, cells in sorted(rows.items()))
+    return _place([("html-table", enumerate((c for c in lists if "".join(c).strip()), 1))])
 
 
 def _html_text(text: str) -> Iterator[tuple]:
-    marks = list(_marks(text))
-    moves = ({"open": 1, "close": -1}.get(what, 0) if tag in _HIDDEN else 0 for what, tag in marks)
-    # How many hidden elements are open before each mark; stray end tags count for nothing.
-    hidden = accumulate(moves, lambda depth, move: max(depth + move, 0), initial=0)
-    pieces = (
-        "\n" if mark in _BREAKS else "" if depth or mark[0] != "words" else mark[1].strip()
-        for mark, depth in zip(marks, hidden)
-    )
-    yield (" ".join(filter(None, pieces)),)
+    """What is left without hidden elements and tags; some of them break the line."""
+    yield (html.unescape(_TAG.sub(" ", _BREAK.sub("\n", _HIDDEN.sub(" ", text)))),)
 
 
-# PDF syntax and escapes (fixed values; escapes are replaced in this order).
+# PDF syntax and escapes (fixed values).
 _PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.DOTALL)
 _PDF_LITERAL = re.compile(rb"\((?:\\.|[^\\)])*\)")
-_PDF_ESCAPES = (
-    (rb"\n", b"\n"),
-    (rb"\r", b"\r"),
-    (rb"\t", b"\t"),
-    (rb"\b", b"\b"),
-    (rb"\f", b"\f"),
-    (rb"\\", b"\\"),
-    (rb"\(", b"("),
-    (rb"\)", b")"),
-)
+_PDF_ESCAPE = re.compile(rb"\\([nrtbf()\\])")
+_PDF_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(": b"(", b")": b")", b"\\": b"\\"}
+#: A stream that inflates to more is an error of its document.
+MAX_INFLATED = 1 << 28
 
 
 def _pdf_layers(data: bytes) -> Iterator[bytes]:
     """The streams of a document as they stand, each followed by what it inflates to, if it does."""
-    for stream in map(itemgetter(1), _PDF_STREAM.finditer(data)):
-        packed = stream.strip(b"\r\n")
+    for stream in _PDF_STREAM.finditer(data):
+        packed = stream[1].strip(b"\r\n")
         yield packed
-        with suppress(zlib.error):
-            yield zlib.decompress(packed)
+        unpacker = zlib.decompressobj()
+        try:
+            plain = unpacker.decompress(packed, MAX_INFLATED)
+        except zlib.error:
+            continue
+        if unpacker.unconsumed_tail:
+            raise ValueError(f"A PDF stream inflates to more than {MAX_INFLATED} bytes")
+        if unpacker.eof:
+            yield plain
 
 
 def _said_in(layer: bytes) -> list[str]:
-    """The string literals of a layer that are not blank."""
-    found = _PDF_LITERAL.findall(layer)
-    if not found:
-        return []
-    # One text for all literals, so that each escape is replaced in one go; a NUL parts them.
-    whole = reduce(lambda text, escape: text.replace(*escape), _PDF_ESCAPES, b"\0".join(x[1:-1].replace(b"\0", b" ") for x in found))
-    return [words for words in whole.decode("latin-1").split("\0") if words.strip()]
+    """The string literals of a layer that are not blank, each escape read where it is met."""
+    plain = (_PDF_ESCAPE.sub(lambda e: _PDF_ESCAPED[e[1]], x[0][1:-1]) for x in _PDF_LITERAL.finditer(layer))
+    return [words.decode("latin-1") for words in plain if words.strip()]
 
 
 def _pdf_text(data: bytes) -> Iterator[tuple]:
@@ -418,7 +406,7 @@ def csv_matrix(documents: DataFrame) -> DataFrame:
 
 
 def html_tables(documents: DataFrame) -> DataFrame:
-    """Rows of all tables of a document; nested tables belong to the outer one."""
+    """Rows of all tables of a document; inner tables have rows of their own."""
     return _per_document(documents, [decode_text("content")], _html_rows, MATRIX_SCHEMA)
 
 
