@@ -114,3 +114,15 @@ def test_recall_over_shards(spark):
         assert [(-s, i) for _, i, s in mine] == sorted((-s, i) for _, i, s in mine)
         hits += len(set(best) & {i for _, i, _ in mine})
     assert hits / (90 * 5) > 0.95
+
+
+def test_links_of_doubles_are_not_rounded(spark):
+    """Cosines closer to the threshold than floats can tell."""
+    rows = []
+    for i, cosine in enumerate((0.95 + 3e-9, 0.95 - 3e-9)):
+        x = [0.0] * 8
+        y = [0.0] * 8
+        x[2 * i], y[2 * i], y[2 * i + 1] = 1.0, cosine, (1 - cosine * cosine) ** 0.5
+        rows += [(2 * i, x), (2 * i + 1, y)]
+    out = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in out} == {0: 1, 1: 1, 2: 0, 3: 0}

@@ -173,8 +173,10 @@ def tile_links(classes: DataFrame, threshold: float, chunk: int = CHUNK) -> Data
         centers = fit_centers(unit / np.linalg.norm(unit, axis=1, keepdims=True), count)
     else:
         centers = np.eye(1, len(classes.first()["embedding"])) if rows else np.eye(1)
-    schema = "class_id bigint, copies bigint, embedding array<float>, cells array<bigint>"
-    dealt = written(classes.select("class_id", "copies", F.col("embedding").cast("array<float>")).mapInPandas(_dealt(centers, threshold), schema), "tiles-dealt")
+    # Floats stay floats, which halves what is sent; anything else is compared as the double it is.
+    kind = "float" if classes.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    schema = f"class_id bigint, copies bigint, embedding array<{kind}>, cells array<bigint>"
+    dealt = written(classes.select("class_id", "copies", F.col("embedding").cast(f"array<{kind}>")).mapInPandas(_dealt(centers, threshold), schema), "tiles-dealt")
     lived = dealt.select("class_id", "copies", "embedding", F.posexplode("cells").alias("place", "cell"))
     lived = lived.withColumn("home", F.col("place") == 0)
     sizes = lived.groupBy("cell").agg(
