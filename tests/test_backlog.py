@@ -87,9 +87,9 @@ def test_backlog_equals_single_runs(spark, tmp_path):
 
 
 def test_many_versions_are_one_chain(spark, tmp_path):
-    """Two hundred versions of one source: one new project each, one removed every tenth time."""
+    """Sixty versions of one source: one new project each, one removed every tenth time."""
     texts, rows = [], {}
-    for n in range(200):
+    for n in range(60):
         rows[n] = (n + 1, "Active")
         if n % 10 == 9:
             del rows[n - 5]
@@ -97,6 +97,6 @@ def test_many_versions_are_one_chain(spark, tmp_path):
     documents = [("east", f"raw/east/{n:04d}.csv", "2026-05-01 09:00:00", body) for n, body in enumerate(texts)]
     store = DeltaStore(spark, str(tmp_path))
     done = ingest_backlog(store, frame(spark, documents).repartition(4), "0001", F.col("modificationTime"))
-    assert done.count() == 200
+    assert done.count() == 60
     got = {r.delta_type: r["count"] for r in store.read("deltas").groupBy("delta_type").count().collect()}
-    assert got == {"BASELINE": 1, "NEW": 199, "REMOVED": 20}
+    assert got == {"BASELINE": 1, "NEW": 59, "REMOVED": 6}
