@@ -3,9 +3,11 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.conftest import CLASHING
 from tests.llm.test_language import sentence
 from tests.llm.test_minmax import shingle_set
 from tidemark.llm import mixing, packing
@@ -98,3 +100,28 @@ def test_pack_and_run(stages):
     assert sum(r.length for r in stages["pack"]) == tokens
     assert sorted((r.doc_id, r.length) for r in stages["run"]) != []
     assert sum(r.length for r in stages["run"]) == tokens
+
+
+def test_odd_tables(spark, tmp_path):
+    """An empty table; repeated rows, shared and missing ids, a very long text and clashing columns."""
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+    texts = [sentence("en de fr es".split()[i % 4], i, 60) for i in range(40)]
+    rows = [(i, t, "en de fr es".split()[i % 4], f"s{i % 3}", 0) for i, t in enumerate(texts)]
+    rows += [rows[3]] * 3 + [(4, texts[7], "es", "s1", 0), (None, texts[8], "en", "s2", 0), (5, "word " * 60_000, "en", None, 0)]
+    rows += [(None, None, None, None, None), (90, "", "en", "s0", 0), (90, "", "en", "s0", 0)]
+    frame = spark.createDataFrame(rows, DOCS).select("*", *[F.lit("x").alias(c) for c in (*CLASHING, "mark", "of_doc", "wins")])
+    frame.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    docs = frame
+    kept = None
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path / "odd"))
+        assert docs.columns == frame.columns, name
+        docs.write.parquet(str(tmp_path / "odd" / name))
+        docs = spark.read.parquet(str(tmp_path / "odd" / name))
+        kept = docs
+    # Each different text with a letter once; of copies the smallest id: 4 has the text of 7 as well.
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*(set(range(40)) - {7}), 4, 5])
+    assert {r.text for r in kept.collect()} == {r[1] for r in rows if r[1]}
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in out} <= set(range(40)) and sum(r.length for r in out) > 60_000
