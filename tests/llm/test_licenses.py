@@ -60,12 +60,14 @@ def examples(tree):
         if name == "LITERAL":
             ways = [chr(value)]
         elif name == "IN":
-            ways = [chr(value[0][1])]
+            ways = ["z" if str(value[0][0]) == "NEGATE" else chr(value[0][1])]
+        elif name == "ANY":
+            ways = ["z"]
         elif name == "BRANCH":
             ways = [x for branch in value[1] for x in examples(branch)]
         elif name == "SUBPATTERN":
             ways = examples(value[-1])
-        elif name == "MAX_REPEAT":
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             ways = [x * value[0] for x in examples(value[2])] if value[0] else [""]
         else:
             assert name == "ASSERT_NOT"
@@ -81,8 +83,9 @@ def test_gates_lose_no_rule(monkeypatch):
         for text in examples(re._parser.parse(rule.pattern.pattern))[:12]:
             assert rule.pattern.search(text)
             got[text] = licenses.scan_text(text.encode())
-    free = tuple(replace(rule, keywords=("",)) for rule in licenses.rules())
-    monkeypatch.setattr(licenses, "rules", lambda: free)
+    free = tuple(replace(x, keywords=("",), core=re.compile("")) for x in licenses.signatures())
+    monkeypatch.setattr(licenses, "signatures", lambda: free)
+    monkeypatch.setattr(licenses, "all_keywords", lambda: ("",))
     for text, row in got.items():
         found = licenses.detections(text)
         labels = {rule.label for _, _, rule in found} | set(row["base_labels"].split(",")) - {""}
@@ -109,6 +112,70 @@ def test_hundreds_of_rules_and_containment():
     assert [(r.label, r.priority) for _, _, r in found] == [("gpl-3", 40)]
 
 
+def kept_by_pairs(hits):
+    """Every hit against every one kept before it."""
+    kept = []
+    for _, start, end, order, name in sorted(hits, key=lambda h: (-h[0], h[1] - h[2], *h[3:])):
+        if not any(a <= start and end <= b for a, b, _ in kept):
+            kept.append((start, end, name))
+    return sorted(kept, key=lambda h: h[:2])
+
+
+def test_containment_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        hits = set()
+        for _ in range(rng.randrange(40)):
+            start = rng.randrange(30)
+            hits.add((rng.choice([10, 40, 50]), start, start + rng.randrange(1, 9), rng.randrange(4), "x"))
+        levels = {}
+        for priority, *rest in hits:
+            levels.setdefault(priority, []).append(tuple(rest))
+        assert licenses.resolved(levels) == kept_by_pairs(hits)
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+         'documentation files (the "Software"), to deal in the Software without restriction', "mit"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+         "following conditions are met: 3. Neither the name of the copyright holder nor the names of its contributors may be "
+         "used to endorse or promote products derived from this software without specific prior written permission.",
+         "bsd,bsd-3-clause"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+         "following conditions are met:\n 1. Redistributions of source code must retain the above copyright notice, this list of "
+         "conditions and the following disclaimer.\n 2. Redistributions in binary form must reproduce the above copyright notice, "
+         "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+         "distribution.\n\nTHIS SOFTWARE IS PROVIDED", "bsd-2-clause"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+         "provided that the above copyright notice appear", "isc"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+         "THE SOFTWARE", "0bsd"),
+        ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+         "the License.", "apache-2"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+         "License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "classpath-exception-2,gpl-2"),
+        ("redistribution of income in binary terms is hereby discussed", ""),
+    ],
+)
+def test_bodies_and_expressions(text, labels):
+    row = licenses.scan_text(text.encode())
+    assert row["labels"] == labels and row["score"] == (1.0 if labels else 0.0)
+
+
+def test_one_phrase_many_times_is_linear():
+    import time
+
+    text = b"released under the mit license. " * 80_000
+    started = time.monotonic()
+    row = licenses.scan_text(text)
+    assert time.monotonic() - started < 20
+    assert (row["n_base"], row["first_word"], row["last_word"]) == (80_000, 1, 5 * 79_999 + 1)
+
+
 def test_odd_rows(docs, prose):
     out = {r.doc_id: r for r in licenses.scan_licenses(docs(odd_rows(prose), clash=True)).collect()}
     assert out[1].n_words == 0 and out[1].labels == "" and out[1].score == 0

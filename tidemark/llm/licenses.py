@@ -1,14 +1,18 @@
 """License scan by ordered signature rules.
 
 A text is lower-cased (A-Z) and cut into words; rules are regular expressions over the words joined
-by single spaces, so line breaks and punctuation never matter. A rule runs only where one of its
-keywords stands in the words, and words are only made where a keyword of any rule stands in the
-text; no base phrase can stand in a text without one. Detections are resolved by priority: one that lies inside another of at least its own priority is dropped (of two equal ones
-the earlier rule stays). The base phrases are exact word sequences, counted apart; their labels
-always stay.
+by single spaces, so line breaks and punctuation never matter. There are rules for statements (a
+license's name after words such as "released under", in an SPDX expression, or by itself), for the
+bodies and file headers of licenses, and for exceptions. A rule runs only where one of its
+keywords stands in the words, those of a name only where the name does, and words are only made
+where a keyword of any rule stands in the text; no base phrase can stand in a text without one.
+Detections are resolved by priority: one that lies inside another of at least its own priority is
+dropped (of two equal ones the earlier rule stays), in one sweep per priority. The base phrases are
+exact word sequences, counted apart; their labels always stay.
 
 Null text counts as empty: no words, no labels, score 0. Nothing is cut short in long texts. Every
-row of the input gives one row, so repeated rows give repeated results.
+row of the input gives one row, so repeated rows give repeated results; an empty table gives an
+empty result. Columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,17 +106,79 @@ busl-1.1 | business | (?:the )?business source license(?: (?:version |v )?1 1)?
 elastic-2 | elastic | (?:the )?elastic license(?: (?:version |v )?2(?: 0)?)?
 public-domain | domain | (?:the )?public domain
 proprietary | reserved | all rights reserved
+classpath-exception-2 | classpath | classpath exception(?: 2 0)?
+gcc-exception-3.1 | gcc | gcc (?:runtime library )?exception(?: 3 1)?
+llvm-exception | llvm | llvm exception
+autoconf-exception | autoconf | autoconf exception(?: [23] 0)?
+bison-exception-2.2 | bison | bison exception(?: 2 2)?
+font-exception-2 | font | font exception(?: 2 0)?
+linking-exception | linking | (?:static |dynamic )?linking exception
+"""
+
+#: License, gate keywords and a sentence of its body or file header, over normalised words.
+BODIES = """
+mit | hereby | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction
+mit-0 | hereby | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided
+x11 | advertising | except as contained in this notice the names? of .{1,80}? shall not be used in advertising
+ncsa | hereby | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction
+bsl-1 | hereby | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+isc | hereby | permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that
+0bsd | hereby | permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)
+postgresql | hereby | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+hpnd | hereby | permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted
+upl-1 | hereby | permission is hereby granted free of charge to any person obtaining a copy of this software associated documentation and or data
+bsd | redistribution | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+bsd-2-clause | redistribution | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (?:1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer (?:2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution(?! (?:3 )?(?:neither|all advertising))
+bsd-3-clause | endorse | neither the names? of .{1,160}? may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause | advertising | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+apache-2 | compliance | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+apache-2 | apache | apache license version 2 0 january 2004
+apache-1.1 | apache | this product includes software developed by the apache software foundation
+gpl-1 | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 1
+gpl-2 | redistribute | this (?:program|software|file) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2
+gpl-3 | redistribute | this (?:program|software|file) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 3
+lgpl-2.1 | redistribute | this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation (?:either )?version 2 1
+lgpl-2 | redistribute | this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation (?:either )?version 2
+lgpl-3 | redistribute | this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation (?:either )?version 3
+agpl-3 | redistribute | this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation (?:either )?version 3
+gpl-2 | june | gnu general public license version 2 june 1991
+gpl-3 | june | gnu general public license version 3 29 june 2007
+lgpl-2.1 | february | gnu lesser general public license version 2 1 february 1999
+lgpl-3 | june | gnu lesser general public license version 3 29 june 2007
+agpl-3 | november | gnu affero general public license version 3 19 november 2007
+gfdl | documentation | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+mpl-1.1 | mozilla | the contents of this file are subject to the mozilla public license version 1 1
+mpl-2 | mozilla | this source code form is subject to the terms of the mozilla public license v 2 0
+epl-1 | accompanying | this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0
+epl-2 | accompanying | this program and the accompanying materials are made available under the terms of the eclipse public license (?:v(?:ersion)? ?)?2 0
+cddl-1 | cddl,distribution | the contents of this file are subject to the terms of the common development and distribution license
+artistic-1 | intent | the intent of this document is to state the conditions under which a package may be copied
+artistic-2 | establishes | this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed
+zlib | liable | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+unlicense | unencumbered | this is free and unencumbered software released into the public domain
+wtfpl | fuck | you just do what the fuck you want to
+cc0-1 | waived | has waived all copyright and related or neighboring rights to
+ofl-1.1 | font | this font software is licensed under the sil open font license version 1 1
+python-2 | python | psf is making python available to licensee on an as is basis
+openssl | openssl | this product includes software developed by the openssl project
+blueoak-1 | contributors | this license gives everyone as much permission to work with this software as possible while protecting contributors from liability
+proprietary | confidential | this software is (?:the )?confidential and proprietary information of
 """
 
 #: How a license is stated: words before and after its name, priority, confidence.
 STATEMENTS = (
     (r"spdx license identifier ", r"", 50, 1.0),
+    (r"spdx license identifier (?:[^ ]+ ){1,24}?(?:or|and|with) ", r"", 50, 1.0),
     (r"(?:is |are )?(?:dual )?(?:licen[sc]ed|relicen[sc]ed) (?:to you )?(?:under|by|with)(?: the terms (?:and conditions )?of)? ", r"", 40, 0.95),
     (r"(?:is |are )?(?:released|distributed|published|available|provided|made available|redistributed|covered)(?: to the public)? (?:under|by|into)(?: the terms (?:and conditions )?of)? ", r"", 40, 0.9),
     (r"(?:under|subject to) the (?:terms|conditions|terms and conditions|provisions) of ", r"", 35, 0.85),
     (r"", r"", 10, 0.5),
 )
 
+#: Priority and confidence of a license's own sentences.
+BODY = (60, 1.0)
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -122,34 +188,56 @@ class Rule:
     confidence: float
 
 
+@dataclass(frozen=True)
+class Signature:
+    """A name or sentence, its gate keywords, and the rules that it is part of every match of."""
+
+    keywords: tuple[str, ...]
+    core: re.Pattern
+    rules: tuple[Rule, ...]
+
+
+def _lines(table: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
+    for line in table.strip().splitlines():
+        label, keywords, pattern = (part.strip() for part in line.split(" | ", 2))
+        yield label, tuple(keywords.split(",")), pattern
+
+
 @lru_cache(maxsize=1)
-def rules() -> tuple[Rule, ...]:
-    """All rules in order: every license by every way of stating it."""
+def signatures() -> tuple[Signature, ...]:
+    """All rules in order: license bodies, then every license by every way of stating it."""
     found = []
-    for line in NAMES.strip().splitlines():
-        label, keyword, name = (part.strip() for part in line.split(" | ", 2))
+    for label, keywords, sentence in _lines(BODIES):
+        core = re.compile(rf"(?<![^ ])(?:{sentence})(?![^ ])")
+        found.append(Signature(keywords, core, (Rule(label, keywords, core, *BODY),)))
+    for label, keywords, name in _lines(NAMES):
+        stated = []
         for before, after, priority, confidence in STATEMENTS:
             # A bare name counts only if it can't be an everyday word.
-            if not before and not re.search(r"licen|gpl|agpl|apache|cc |cc0|bsd|spdx|mpl|wtfpl|cddl|ofl|domain|reserved|creative", name):
+            if not before and not re.search(r"licen|gpl|agpl|apache|cc |cc0|bsd|spdx|mpl|wtfpl|cddl|ofl|domain|reserved|creative|exception", name):
                 continue
             bare_mit = not before and label in ("mit", "unlicense")
             pattern = r"(?:the )?(?:mit|expat|x11) licen[sc]e" if bare_mit and label == "mit" else name
-            found.append(
-                Rule(
-                    label,
-                    tuple(keyword.split(",")),
-                    re.compile(rf"(?<![^ ]){before}(?:{pattern}){after}(?![^ ])"),
-                    priority,
-                    confidence,
-                )
-            )
+            whole = re.compile(rf"(?<![^ ]){before}(?:{pattern}){after}(?![^ ])")
+            stated.append(Rule(label, keywords, whole, priority, confidence))
+        core = r"(?:mit|expat|x11)" if label == "mit" else f"(?:{name})"
+        found.append(Signature(keywords, re.compile(rf"(?<![^ ]){core}(?![^ ])"), tuple(stated)))
     return tuple(found)
 
 
+def rules() -> tuple[Rule, ...]:
+    return tuple(rule for signature in signatures() for rule in signature.rules)
+
+
 @lru_cache(maxsize=1)
 def gates() -> tuple[bytes, ...]:
     """The keywords of all rules: a text without any of them is not looked at further."""
-    return tuple(dict.fromkeys(keyword.encode() for rule in rules() for keyword in rule.keywords))
+    return tuple(keyword.encode() for keyword in all_keywords())
+
+
+@lru_cache(maxsize=1)
+def all_keywords() -> tuple[str, ...]:
+    return tuple(dict.fromkeys(keyword for signature in signatures() for keyword in signature.keywords))
 
 
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -168,16 +256,36 @@ def count_words(raw: bytes) -> int:
 
 def detections(words: str) -> list[tuple[int, int, Rule]]:
     """Surviving detections (start, end, rule), offsets in the joined words."""
-    every = []
-    for order, rule in enumerate(rules()):
-        if any(keyword in words for keyword in rule.keywords):
-            every += [(-rule.priority, m.start() - m.end(), order, m.start(), m.end(), rule)
-                      for m in rule.pattern.finditer(words)]
+    held = {keyword for keyword in all_keywords() if keyword in words}
+    levels: dict[int, list[tuple]] = {}
+    order = 0
+    for signature in signatures():
+        order += 1
+        if held.isdisjoint(signature.keywords) or not signature.core.search(words):
+            continue
+        for rank, rule in enumerate(signature.rules):
+            hits = levels.setdefault(rule.priority, [])
+            hits += [(m.start(), m.end(), order, rank, rule) for m in rule.pattern.finditer(words)]
+    return resolved(levels)
+
+
+def resolved(levels: dict[int, list[tuple]]) -> list[tuple[int, int, Rule]]:
+    """What lies inside nothing of its own priority or more. Hits are (start, end, .., rule).
+
+    One sweep by start for each priority, longer hits of one start first, with the furthest end so
+    far: a hit lies inside an earlier one just when that reaches its end."""
     kept: list[tuple[int, int, Rule]] = []
-    for _, _, _, start, end, rule in sorted(every, key=lambda x: x[:5]):
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
-    return sorted(kept, key=lambda x: (x[0], x[1]))
+    for priority in sorted(levels, reverse=True):
+        higher, reach, mine = 0, -1, []
+        for start, end, *_, rule in sorted(levels[priority], key=lambda hit: (hit[0], -hit[1], *hit[2:-1])):
+            while higher < len(kept) and kept[higher][0] <= start:
+                reach = max(reach, kept[higher][1])
+                higher += 1
+            if end > reach:
+                mine.append((start, end, rule))
+                reach = end
+        kept = sorted(kept + mine, key=lambda hit: hit[:2])
+    return kept
 
 
 def scan_text(raw: bytes | None) -> dict:
@@ -193,19 +301,22 @@ def scan_text(raw: bytes | None) -> dict:
         "score": 0.0,
     }
     low = raw.lower()
-    if not any(gate in low for gate in gates()):
+    for gate in gates():
+        if gate in low:
+            break
+    else:
         return row
     words = b" ".join(_WORDS.findall(low)).decode("utf-8", "replace")
     base, starts = set(), []
     for pattern, label in _BASE:
         for m in pattern.finditer(words):
             base.add(label)
-            starts.append(words.count(" ", 0, m.start()))
+            starts.append(m.start())
     found = detections(words)
     row |= {
         "n_base": len(starts),
-        "first_word": min(starts, default=None),
-        "last_word": max(starts, default=None),
+        "first_word": words.count(" ", 0, min(starts)) if starts else None,
+        "last_word": words.count(" ", 0, max(starts)) if starts else None,
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(base | {rule.label for _, _, rule in found})),
         "score": max([1.0] * bool(base) + [rule.confidence for _, _, rule in found], default=0.0),
