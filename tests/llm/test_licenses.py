@@ -61,7 +61,7 @@ def examples(tree):
             ways = [chr(value)]
         elif name == "IN":
             ways = ["z" if str(value[0][0]) == "NEGATE" else chr(value[0][1])]
-        elif name == "ANY":
+        elif name in ("ANY", "NOT_LITERAL"):
             ways = ["z"]
         elif name == "BRANCH":
             ways = [x for branch in value[1] for x in examples(branch)]

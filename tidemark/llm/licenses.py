@@ -165,10 +165,13 @@ blueoak-1 | contributors | this license gives everyone as much permission to wor
 proprietary | confidential | this software is (?:the )?confidential and proprietary information of
 """
 
+#: What stands before a later name of an SPDX expression.
+EXPRESSION = r"spdx license identifier (?:[^ ]+ ){1,24}?(?:or|and|with) "
+
 #: How a license is stated: words before and after its name, priority, confidence.
 STATEMENTS = (
     (r"spdx license identifier ", r"", 50, 1.0),
-    (r"spdx license identifier (?:[^ ]+ ){1,24}?(?:or|and|with) ", r"", 50, 1.0),
+    (EXPRESSION, r"", 50, 1.0),
     (r"(?:is |are )?(?:dual )?(?:licen[sc]ed|relicen[sc]ed) (?:to you )?(?:under|by|with)(?: the terms (?:and conditions )?of)? ", r"", 40, 0.95),
     (r"(?:is |are )?(?:released|distributed|published|available|provided|made available|redistributed|covered)(?: to the public)? (?:under|by|into)(?: the terms (?:and conditions )?of)? ", r"", 40, 0.9),
     (r"(?:under|subject to) the (?:terms|conditions|terms and conditions|provisions) of ", r"", 35, 0.85),
@@ -186,6 +189,8 @@ class Rule:
     pattern: re.Pattern
     priority: int
     confidence: float
+    #: The part of a match that is detected: the whole, or, in an SPDX expression, this one of its names.
+    part: int = 0
 
 
 @dataclass(frozen=True)
@@ -218,8 +223,8 @@ def signatures() -> tuple[Signature, ...]:
                 continue
             bare_mit = not before and label in ("mit", "unlicense")
             pattern = r"(?:the )?(?:mit|expat|x11) licen[sc]e" if bare_mit and label == "mit" else name
-            whole = re.compile(rf"(?<![^ ]){before}(?:{pattern}){after}(?![^ ])")
-            stated.append(Rule(label, keywords, whole, priority, confidence))
+            whole = re.compile(rf"(?<![^ ]){before}({pattern}){after}(?![^ ])")
+            stated.append(Rule(label, keywords, whole, priority, confidence, int(before == EXPRESSION)))
         core = r"(?:mit|expat|x11)" if label == "mit" else f"(?:{name})"
         found.append(Signature(keywords, re.compile(rf"(?<![^ ]){core}(?![^ ])"), tuple(stated)))
     return tuple(found)
@@ -265,7 +270,7 @@ def detections(words: str) -> list[tuple[int, int, Rule]]:
             continue
         for rank, rule in enumerate(signature.rules):
             hits = levels.setdefault(rule.priority, [])
-            hits += [(m.start(), m.end(), order, rank, rule) for m in rule.pattern.finditer(words)]
+            hits += [(*m.span(rule.part), order, rank, rule) for m in rule.pattern.finditer(words)]
     return resolved(levels)
 
 
