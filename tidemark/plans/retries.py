@@ -60,10 +60,12 @@ def next_entries(
 def record_attempts(
     store: DeltaStore, run_id: str, at: Column, tries: int = TRIES, distance: dt.timedelta = DISTANCE
 ) -> DataFrame:
-    """Bring the ledger up to date after a run; gives what is dead now."""
-    entries = next_entries(
-        ledger(store, run_id), store.of_run("rejects", run_id), store.of_run("manifest", run_id), at, tries, distance
-    )
+    """Bring the ledger up to date after a run, and again after its texts were answered; gives what is
+    dead now. A reject whose text gave an extraction is a success."""
+    answered = store.of_run("extractions", run_id).filter("error is null").select(*_KEYS)
+    rejects = store.of_run("rejects", run_id).join(answered, _KEYS, "left_anti")
+    succeeded = store.of_run("manifest", run_id).select("source_queue_id").union(answered.select("source_queue_id"))
+    entries = next_entries(ledger(store, run_id), rejects, succeeded, at, tries, distance)
     store.write("attempts", entries, run_id)
     dead = store.of_run("attempts", run_id).filter(F.col("status") == DEAD)
     store.write("dead_letters", dead, run_id)

@@ -58,6 +58,22 @@ REJECT = """
     byte_count bigint, error string, error_type string, notes array<string>, snapshot_id string
 """
 
+# Texts of rejected documents, to be answered.
+TEXT = """
+    source_queue_id string, doc_id string, path string, observed_at timestamp, content_md5 string,
+    byte_count bigint, route string, text string, notes array<string>, error string,
+    snapshot_id string
+"""
+
+# Answers to texts, checked and scored, or why there is none.
+EXTRACTION = """
+    source_queue_id string, doc_id string, path string, observed_at timestamp, content_md5 string,
+    byte_count bigint, notes array<string>, interconnection_queue_id string, capacity_mw bigint,
+    substation_or_node string, status string, developer_name string,
+    extraction_confidence decimal(3,2), review_status string, review_reasons array<string>,
+    error string, error_type string, snapshot_id string
+"""
+
 # All deltas of a run, before any cut.
 DELTA = SNAPSHOT.replace(
     "previous_id string, snapshot_id string",
@@ -104,7 +120,8 @@ STATE = """
     parser_status string, last_error string, last_error_type string, last_snapshot_id string,
     last_record_count bigint, last_delta_count bigint, pending_fingerprint string,
     last_parsed_at timestamp, last_raw_key string, last_format string, last_bytes bigint,
-    last_delta_summary string, snapshot_id string
+    last_delta_summary string, last_extraction_confidence decimal(3,2),
+    last_review_status string, snapshot_id string
 """
 
 # Leads, and what was sent in place of one with the first rule it breaks.

@@ -33,6 +33,8 @@ SCHEMAS = {
     "staged": schema.SNAPSHOT,
     "changes": schema.CHANGE,
     "silent": schema.SILENT,
+    "texts": schema.TEXT,
+    "extractions": schema.EXTRACTION,
     "attempts": schema.ATTEMPT,
     "dead_letters": schema.ATTEMPT,
     "leads": schema.LEAD,
