@@ -503,6 +503,19 @@ FROM (
   SELECT doc, {first - 1} + place, {line} FROM docs WHERE doc % 5 = {kind})"""
 
 
+SHORT_PDF = "Could not extract enough text from PDF with the built-in reader"
+PAGE_TEXT = r"""WITH shown AS (
+  SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '<s>', 'gs'),
+    '<!--.*?-->', '<s>', 'gs') AS x FROM pages),
+broken AS (
+  SELECT page_id, regexp_replace(regexp_replace(x, '<(br|p|div|tr|li|table)([ /][^>]*)?>|</(p|div|tr|li)>', chr(10), 'g'),
+    '<[^>]*>', ' ', 'g') AS x FROM shown),
+said AS (
+  SELECT page_id, replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS x
+  FROM broken)
+SELECT CAST(page_id AS VARCHAR) AS doc_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)),
+  lambda l: trim(regexp_replace(l, '[ \t]+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text, NULL AS error
+FROM said"""
 LINE = "concat_ws('|', number, name, node, capacity, status)"
 SHEET_TEXT = """E'\\n# xl/worksheets/sheet1.xml\\n'
   || 'Queue Number' || chr(9) || 'Project Name' || chr(9) || 'POI' || chr(9) || 'Capacity (MW)'
@@ -896,19 +909,7 @@ SELECT o_orderkey, CASE WHEN e = 0 OR t = 1 THEN 'xlsx' WHEN e = 1 OR t = 3 THEN
   CASE WHEN e = 0 OR t = 1 THEN 'xlsx' WHEN e IN (2, 3) OR t = 2 THEN 'html' WHEN e = 5 THEN 'pdf'
     ELSE 'plain' END AS text_format
 FROM a""",
-    "html_visible_text": r"""
-WITH shown AS (
-  SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '<s>', 'gs'),
-    '<!--.*?-->', '<s>', 'gs') AS x FROM pages),
-broken AS (
-  SELECT page_id, regexp_replace(regexp_replace(x, '<(br|p|div|tr|li|table)([ /][^>]*)?>|</(p|div|tr|li)>', chr(10), 'g'),
-    '<[^>]*>', ' ', 'g') AS x FROM shown),
-said AS (
-  SELECT page_id, replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS x
-  FROM broken)
-SELECT CAST(page_id AS VARCHAR) AS doc_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)),
-  lambda l: trim(regexp_replace(l, '[ \t]+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text, NULL AS error
-FROM said""",
+    "html_visible_text": PAGE_TEXT,
     "whitespace_lines": r"""
 WITH a AS (
   SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS lines
@@ -951,6 +952,50 @@ FROM docs WHERE doc % 5 = 3 GROUP BY doc""",
     "pdf_text": f"""WITH {DOC_ROWS}
 SELECT 'doc-' || doc AS doc_id, {PDF_BODY} AS text, CAST(NULL AS VARCHAR) AS error
 FROM docs WHERE doc % 5 = 4 GROUP BY doc""",
+    "corpus_text": f"""WITH {DOC_ROWS},
+bodies AS (
+  SELECT doc, doc % 5 AS kind, string_agg(number || ',"' || name || '",' || concat_ws(',', node, capacity, status), chr(10) ORDER BY place) AS csv,
+    string_agg(concat_ws(' ', number, name, node, capacity, status), chr(10) ORDER BY place) AS html,
+    string_agg('<q:project><q:QueueNumber>' || number || '</q:QueueNumber><q:ProjectName>' || name || '</q:ProjectName><q:POI>' || node
+      || '</q:POI><q:CapacityMW> ' || capacity || ' </q:CapacityMW><q:More><q:Zone>skipped</q:Zone></q:More><q:Status>' || status
+      || '</q:Status></q:project>', chr(10) ORDER BY place) AS xml, {SHEET_TEXT} AS sheet, {PDF_BODY} AS pdf
+  FROM docs GROUP BY doc),
+pages_text AS (
+{PAGE_TEXT}),
+texts AS (
+  SELECT 'doc-' || doc AS doc_id, CASE kind WHEN 1 THEN 'html' WHEN 3 THEN 'xlsx' WHEN 4 THEN 'pdf' ELSE 'plain' END AS route,
+    CASE kind WHEN 0 THEN 'Last Updated On,5/21/2026,,,' || chr(10) || chr(10) || 'Queue Number,Project Name,POI,Capacity (MW),Status' || chr(10) || csv || chr(10)
+      WHEN 1 THEN 'Open queue' || chr(10) || 'Queue Number Project Name POI Capacity (MW) Status' || chr(10) || html
+      WHEN 2 THEN '<q:queue xmlns:q="urn:queue">' || xml || '</q:queue>' WHEN 3 THEN sheet ELSE pdf END AS text
+  FROM bodies
+  UNION ALL SELECT doc_id, 'html', text FROM pages_text),
+checked AS (SELECT *, route = 'pdf' AND length(text) < 50 AS short FROM texts)
+SELECT doc_id, route, CASE WHEN NOT short THEN text END AS text,
+  CASE WHEN route = 'plain' THEN 'Decoded text payload' WHEN route = 'html' THEN 'Extracted visible text from HTML'
+    WHEN route = 'xlsx' THEN 'Extracted worksheet text from XLSX XML parts'
+    WHEN short THEN 'Attempted local best-effort PDF text extraction; Local PDF text extraction failed: {SHORT_PDF}'
+    ELSE 'Attempted local best-effort PDF text extraction; Used local PDF text extraction' END AS notes,
+  CASE WHEN short THEN '{SHORT_PDF}' END AS error
+FROM checked""",
+    "text_extractions": f"""WITH {RESPONSES}, {DOC_ROWS},
+pdfs AS (SELECT doc, length({PDF_BODY}) < 50 AS short FROM docs WHERE doc % 5 = 4 GROUP BY doc),
+met AS (
+  SELECT doc, CASE WHEN short THEN '{SHORT_PDF}' ELSE error END AS error, interconnection_queue_id, capacity_mw, substation_or_node,
+    status, developer_name
+  FROM pdfs LEFT JOIN valid ON k // 40 = doc AND k % 40 = doc % 40 WHERE short OR k IS NOT NULL),
+good AS (SELECT *, error IS NULL AS fine FROM met)
+SELECT 'feed-' || doc AS source_queue_id, 'doc-' || doc AS doc_id,
+  CASE WHEN fine THEN interconnection_queue_id END AS interconnection_queue_id, CASE WHEN fine THEN capacity_mw END AS capacity_mw,
+  CASE WHEN fine THEN substation_or_node END AS substation_or_node, CASE WHEN fine THEN status END AS status,
+  CASE WHEN fine THEN developer_name END AS developer_name,
+  CASE WHEN fine THEN CAST((92 - CASE WHEN capacity_mw IS NULL THEN 22 ELSE 0 END - CASE WHEN substation_or_node IS NULL THEN 22 ELSE 0 END
+    - CASE WHEN developer_name IS NULL THEN 8 ELSE 0 END) / 100.0 AS DECIMAL(3,2)) END AS extraction_confidence,
+  CASE WHEN fine THEN 'NEEDS_REVIEW' END AS review_status,
+  CASE WHEN fine THEN concat_ws('; ', CASE WHEN capacity_mw IS NULL THEN 'Missing capacity MW' END,
+    CASE WHEN substation_or_node IS NULL THEN 'Missing substation or node' END, CASE WHEN developer_name IS NULL THEN 'Missing developer name' END,
+    'Text extraction required fallback handling') END AS reasons,
+  error, CASE WHEN NOT fine THEN 'ValueError' END AS error_type
+FROM good""",
     "document_table_records": f"""WITH {DOC_ROWS}
 SELECT 'feed-' || doc AS source_queue_id, number AS project_key, number AS interconnection_queue_id,
   name AS project_name, mw AS capacity_mw,

@@ -17,9 +17,9 @@ from tidemark.operators import catalog as cat
 from tidemark.operators import chains, delta, insights as ins, matrix as mx, quality, records as rec, report
 from tidemark.operators import report_states as states
 from tidemark.operators.lookup import ColumnLookup
-from tidemark.plans import retries
+from tidemark.plans import retries, texts
 from tidemark.plans.ingest import document_records
-from tidemark.plans.run import document_facts, rejected
+from tidemark.plans.run import NO_FORMAT, document_facts, rejected
 from tidemark.sources import decode
 from tidemark.vocabulary import (
     BASELINE_SAMPLE,
@@ -992,6 +992,53 @@ def document_text(spark, sf):
     )
 
 
+@query
+def corpus_text(spark, sf):
+    """As document_text, with no stream compressed: what stands in deflated bytes is beyond SQL."""
+    documents = fx.spread(kept(fx.corpus(spark, sf)), "doc_id").unionByName(_pages_as_documents(spark, sf))
+    return decode.document_text(documents).select(
+        "doc_id", "route", "text", joined("notes", "; ").alias("notes"), "error"
+    )
+
+
+@query
+def text_extractions(spark, sf):
+    """The text path over PDFs among documents of five formats, one answer to most of them."""
+    documents = fx.spread(kept(fx.corpus(spark, sf, deflate=True)), "doc_id")
+    rejects = documents.filter(F.col("path").endswith(".pdf")).select(
+        "source_queue_id",
+        "doc_id",
+        "path",
+        fx.ntz(fx.OBSERVED_AT).alias("observed_at"),
+        F.md5("content").alias("content_md5"),
+        F.octet_length("content").cast("bigint").alias("byte_count"),
+        F.array(F.lit(NO_FORMAT)).alias("notes"),
+    )
+    rejects = kept(rejects)
+    key = F.col("response_id")
+    document = F.floor(key / fx.ROWS_PER_DOCUMENT).cast("bigint")
+    answers = (
+        fx.responses(spark, sf)
+        .filter(key % fx.ROWS_PER_DOCUMENT == document % fx.ROWS_PER_DOCUMENT)
+        .select(F.concat(F.lit("feed-"), fx.text(document)).alias("source_queue_id"), "response")
+        .join(rejects.select("source_queue_id", "content_md5"), "source_queue_id")
+    )
+    return texts.extractions_of(texts.texts_of(documents, rejects), answers).select(
+        "source_queue_id",
+        "doc_id",
+        "interconnection_queue_id",
+        "capacity_mw",
+        "substation_or_node",
+        "status",
+        "developer_name",
+        "extraction_confidence",
+        "review_status",
+        joined("review_reasons", "; ").alias("reasons"),
+        "error",
+        "error_type",
+    )
+
+
 @query
 def document_table_records(spark, sf):
     """Documents of four table formats all the way to project records."""
