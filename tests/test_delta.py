@@ -168,6 +168,60 @@ def test_top_per_group_does_not_depend_on_lanes(spark, lanes):
         assert [r.id for r in sorted(got, key=lambda r: r.r) if r.g == g] == best
 
 
+def _ranked_rows(spark):
+    """A hot group with a third of the rows, half of them of one measure, a null group, a tiny one."""
+    key = F.col("id")
+    return spark.range(0, 6000, 1, 11).select(
+        F.when(key % 3 == 0, "hot").when(key % 3 == 1, F.lit(None)).when(key == 5, "tiny").otherwise((key % 4).cast("string")).alias("g"),
+        F.when(key % 2 == 0, 0).otherwise(key * 7919 % 1009 * (key % 5)).alias("v"),
+        "id",
+        F.repeat(F.lit("x"), 50).alias("payload"),
+    )
+
+
+@pytest.mark.parametrize("limit", [1, 40, 700, 1000, 5000])
+def test_large_limits_go_by_ranges(spark, monkeypatch, limit):
+    from tidemark.operators import ranking
+
+    rows = _ranked_rows(spark)
+    order = [F.col("v").desc(), F.col("id")]
+    wanted = {(r.g, r.id, r.r) for r in top_per_group(rows, ["g"], order, limit, "r").collect()}
+    monkeypatch.setattr(ranking, "LARGE_LIMIT", 1)
+    got = top_per_group(rows, ["g"], order, limit, "r", measure=-F.col("v"))
+    assert got.columns == [*rows.columns, "r"]
+    found = [(r.g, r.id, r.r) for r in got.collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
+    plain = top_per_group(rows, ["g"], order, limit, measure=-F.col("v"))
+    assert plain.columns == rows.columns and {(r.g, r.id) for r in plain.collect()} == {(g, i) for g, i, _ in wanted}
+    assert top_per_group(rows.limit(0), ["g"], order, limit, "r", measure=-F.col("v")).isEmpty()
+
+
+def test_only_reached_ranges_are_sent(spark):
+    """Of a group far above its limit few ranges are left, and none but the last holds rows beyond it."""
+    from tidemark.operators.ranking import cut_ranges
+
+    rows = spark.range(0, 100_000, 1, 8).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % 100_003).alias("v"))
+    _, reached = cut_ranges(rows, ["g"], F.col("v"), 5000)
+    places = sorted((r._range, r._before) for r in reached.collect())
+    assert len(places) <= 5 and places[0] == (0, 0) and places[-1][1] < 5000
+
+
+def test_selected_deltas_by_ranges(spark, monkeypatch):
+    from tidemark.operators import ranking
+
+    key = F.col("id")
+    deltas = spark.range(0, 3000, 1, 5).select(
+        F.when(key % 3 == 0, "hot").otherwise((key % 10).cast("string")).alias("source_queue_id"),
+        F.concat(F.lit("P"), key.cast("string")).alias("project_key"),
+        F.get(F.array(*[F.lit(x) for x in ("REMOVED", "NEW", "UPDATED")]), (key % 3 + key % 2).cast("int") % 3).alias("delta_type"),
+        F.when(key % 7 > 0, key * 31 % 500 - 20).alias("capacity_mw"),
+    )
+    wanted = {tuple(r) for r in delta.select_deltas(deltas, 120).collect()}
+    monkeypatch.setattr(ranking, "LARGE_LIMIT", 1)
+    got = delta.select_deltas(deltas, 120).collect()
+    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+
+
 def test_upsert_replaces_same_identity(spark):
     schema = "queue_id string, source_queue_id string, project_key string, observed_at string, parsed_at string, status string"
     old = spark.createDataFrame([("a-1", "a", "1", "t1", "p1", "old"), ("a-2", "a", "2", "t1", "p1", "old")], schema)

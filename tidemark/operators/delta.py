@@ -122,7 +122,9 @@ def baseline_top(first_time: DataFrame, limit: int | None = None) -> DataFrame:
     if limit is None:
         return _unranked(first_time)
     order = [capacity_or(-1).desc(), F.col("first_seen"), F.col("project_key")]
-    return top_per_group(first_time, ["source_queue_id"], order, limit, "delta_rank")
+    return top_per_group(
+        first_time, ["source_queue_id"], order, limit, "delta_rank", measure=-capacity_or(-1)
+    )
 
 
 def baseline_deltas(first_time: DataFrame, limit: int | None = None) -> DataFrame:
@@ -146,7 +148,13 @@ def select_deltas(deltas: DataFrame, limit: int | None = None) -> DataFrame:
         capacity_or(0).desc(),
         F.col("project_key"),
     ]
-    return top_per_group(deltas, ["source_queue_id"], order, limit, "delta_rank")
+    # Capacities beyond the spread share a measure, which costs time only.
+    spread = 1 << 40
+    within = F.greatest(F.least(capacity_or(0), F.lit(spread)), F.lit(-spread))
+    measure = delta_priority() * F.lit(2 * spread + 1) - within
+    return top_per_group(
+        deltas, ["source_queue_id"], order, limit, "delta_rank", measure=measure
+    )
 
 
 def current_sources(previous: DataFrame, present: DataFrame) -> DataFrame:

@@ -279,7 +279,7 @@ def limit_records(records: DataFrame, limit: int) -> DataFrame:
 
     A source that is cut must not report what is missing as removed: see `delta.compare`."""
     order = [F.col("first_seen"), F.col("project_key")]
-    return top_per_group(records, ["source_queue_id"], order, limit)
+    return top_per_group(records, ["source_queue_id"], order, limit, measure=F.col("first_seen"))
 
 
 def build_records(

@@ -124,6 +124,10 @@ def ingest(
     decoded = store.of_run("decoded", run_id)
     rows = decoded.filter("row_seq is not null").drop("error", "snapshot_id")
     ready = build_records(records_from_entries(matrix.keyed_rows(rows, block_rows=None)))
+    if limits.records is not None:
+        # Counted, ranged and cut: read several times, so stored once.
+        store.write("staged", ready, run_id)
+        ready = store.of_run("staged", run_id).drop("snapshot_id", "previous_id")
     cut = ready if limits.records is None else limit_records(ready, limits.records)
     manifest = store.manifest_before(run_id)
     newest = manifest.groupBy("source_queue_id").agg(F.max("snapshot_id").alias("previous_id"))
