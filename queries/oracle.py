@@ -952,6 +952,9 @@ FROM docs WHERE doc % 5 = 3 GROUP BY doc""",
     "pdf_text": f"""WITH {DOC_ROWS}
 SELECT 'doc-' || doc AS doc_id, {PDF_BODY} AS text, CAST(NULL AS VARCHAR) AS error
 FROM docs WHERE doc % 5 = 4 GROUP BY doc""",
+    "large_cut": """SELECT l_returnflag, l_orderkey, l_linenumber, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)::INT AS place
+  FROM lineitem) WHERE place <= 5000""",
     "corpus_text": f"""WITH {DOC_ROWS},
 bodies AS (
   SELECT doc, doc % 5 AS kind, string_agg(number || ',"' || name || '",' || concat_ws(',', node, capacity, status), chr(10) ORDER BY place) AS csv,

@@ -17,6 +17,7 @@ from tidemark.operators import catalog as cat
 from tidemark.operators import chains, delta, insights as ins, matrix as mx, quality, records as rec, report
 from tidemark.operators import report_states as states
 from tidemark.operators.lookup import ColumnLookup
+from tidemark.operators.ranking import top_per_group
 from tidemark.plans import retries, texts
 from tidemark.plans.ingest import document_records
 from tidemark.plans.run import NO_FORMAT, document_facts, rejected
@@ -345,6 +346,15 @@ def baseline_sources(spark, sf):
     return first_time.select(*DELTA_FIELDS, "first_seen")
 
 
+@query
+def large_cut(spark, sf):
+    """The 5 000 dearest lines of each return flag, ranked by ranges: few flags, so each is hot."""
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    lines = fx.table(spark, sf, "lineitem")
+    ranked = top_per_group(lines, ["l_returnflag"], order, 5000, "place", measure=-F.col("l_extendedprice"))
+    return ranked.select("l_returnflag", "l_orderkey", "l_linenumber", "place")
+
+
 @query
 def baseline_top(spark, sf):
     """All sources taken as first-time, so that every one is ranked."""
