@@ -814,6 +814,12 @@ SELECT origin, coalesce(trim(queue_id), '') AS queue_id, coalesce(url, '') AS ur
   coalesce(trim(active), '') AS active, utility, coalesce("Market", '') AS "Market",
   trim("Territory") AS "Territory"
 FROM typed, (VALUES ('csv'), ('json')) o(origin)""",
+    "catalog_files": f"""WITH {CATALOG_ROWS}
+SELECT origin, coalesce(trim(queue_id), '') AS queue_id, coalesce(url, '') AS url,
+  coalesce(trim(active), '') AS active, utility, coalesce("Market", '') AS "Market",
+  trim("Territory") AS "Territory"
+FROM typed, (VALUES ('csv'), ('json')) o(origin)
+UNION ALL SELECT 'given', 'by-hand', 'https://example.com/one.csv', '', 'One Utility', '', ''""",
     "catalog_normalize": f"""WITH {CATALOG_ROWS}
 SELECT source_queue_id, source_url, active, concat_ws(';', 'Market=' || market,
   'Territory=' || territory, 'UtilityName=' || utility) AS extra, error FROM normal""",

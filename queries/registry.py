@@ -5,6 +5,7 @@ Arrays and maps are flattened to text so that results compare across engines.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -700,6 +701,46 @@ def catalog_load(spark, sf):
     )
 
 
+def _files_folder(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads; local sessions without a shared one use
+    the machine's."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = f"file://{tempfile.gettempdir()}"
+    return f"{folder.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query
+def catalog_files(spark, sf):
+    """Catalog rows as CSV files with a header and as JSON documents of up to 1 000 queues each, read
+    by the readers of such files, and one row given by hand."""
+    from tidemark.sources.catalog import read_catalog_csv, read_catalog_json, with_single
+
+    source, root = fx.catalog_rows(spark, sf), _files_folder(spark)
+    source.write.csv(f"{root}/csv", header=True, quote='"', escape='"')
+    part = F.floor(F.monotonically_increasing_id() / 1000)
+    documents = source.select(part.alias("part"), F.struct(*source.columns).alias("row")).groupBy("part")
+    text = F.to_json(F.struct(F.collect_list("row").alias("queues")))
+    documents.agg(text.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/json")
+    both = (
+        read_catalog_csv(spark, f"{root}/csv")
+        .withColumn("origin", F.lit("csv"))
+        .unionByName(read_catalog_json(spark, f"{root}/json").withColumn("origin", F.lit("json")))
+    )
+    every = with_single(both, "by-hand", "https://example.com/one.csv", "One Utility")
+    named = every.withColumns(
+        {
+            "origin": F.coalesce("origin", F.lit("given")),
+            "queue_id": F.coalesce("queue_id", "QueueID"),
+            "url": F.coalesce("url", "SourceURL"),
+            "utility": F.coalesce("utility", "UtilityName"),
+        }
+    )
+    return named.select("origin", *[F.coalesce(t.strip(c), F.lit("")).alias(c) for c in source.columns])
+
+
 @query
 def catalog_normalize(spark, sf):
     return cat.normalize_catalog(fx.catalog_rows(spark, sf)).select(
