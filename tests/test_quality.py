@@ -3,6 +3,7 @@
 import json
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality
@@ -74,3 +75,25 @@ def test_leads(spark):
     ]
     assert (leads[0].email, leads[0].status, len(leads[0].use_case)) == ("buyer@example.com", "NEW", 3000)
     assert len(leads[0].lead_id) == 36 and leads[0].lead_id != leads[1].lead_id
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ('{"a": 1, "b": null, "a": "x"}', {"a": "x", "b": None}),
+        ('So: {"a": 1, "a": {"z": [1, 2]}, "b": 2, "a": 3} done', {"a": 3, "b": 2}),
+        ('{"a": 1, "a": 2} and {"b": 3}', None),
+        ('{"a": 1, "a": 2}, {"b": 3}', None),
+        ('[{"a": 1, "a": 2}]', None),
+        ('{"a": 1, "a": }', None),
+        ('{"a": {"q": 1, "q": 2}}', None),
+        ("{}", {}),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_the_last_of_a_repeated_key_counts(one, text, wanted):
+    from tidemark.functions.variants import json_object
+
+    got = one(F.to_json(json_object("x")), "x string", text)
+    assert (None if got is None else json.loads(got)) == wanted

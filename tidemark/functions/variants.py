@@ -10,12 +10,29 @@ from tidemark.functions.text import as_column
 def json_object(text: Column | str) -> Column:
     """VARIANT object: the whole text, else the span from the first { to the last }.
 
-    Text that is JSON but no object gives null, also when it holds an object.
+    Text that is JSON but no object gives null, also when it holds an object. Of a key that the
+    object repeats the last member counts; inside its members a repeated key is refused.
     """
     raw = as_column(text)
-    whole = F.try_parse_json(raw)
-    inner = F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0))
-    return F.when(raw.rlike(r"^\s*\{"), F.coalesce(whole, inner)).when(whole.isNull(), inner)
+    span = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    whole, inner = F.try_parse_json(raw), F.try_parse_json(span)
+    listed = raw.rlike(r"(?s)^\s*\[.*\]\s*$")
+    return F.when(raw.rlike(r"^\s*\{"), F.coalesce(whole, inner, _last_members(span))).when(
+        whole.isNull(), F.coalesce(inner, F.when(~listed, _last_members(span)))
+    )
+
+
+def _last_members(span: Column) -> Column:
+    """The object that a span is, with the last member of each key; null if it is none."""
+    # As the one item of a list, so that nothing may follow the object.
+    items = F.from_json(F.concat(F.lit("["), span, F.lit("]")), "array<map<string,variant>>")
+    entries = F.map_entries(F.get(items, F.lit(0)))
+
+    def is_last(entry: Column, place: Column) -> Column:
+        rest = F.slice(entries, place + 2, F.size(entries))
+        return ~F.exists(rest, lambda later: later["key"] == entry["key"])
+
+    return F.when(F.size(items) == 1, F.to_variant_object(F.map_from_entries(F.filter(entries, is_last))))
 
 
 def member(value: Column, key: str) -> Column:
