@@ -113,6 +113,15 @@ def test_visible_text(spark):
     assert row.text == "One two\nthree\nfour\n& five"
 
 
+def test_packed_bytes_that_end_like_a_line():
+    bodies = (b"(project %d)" % i for i in range(20_000))
+    packed = {zlib.compress(body)[-1:]: body for body in bodies}
+    for end in (b"\n", b"\r"):
+        for line in (b"\n", b"\r\n"):
+            data = b"stream" + line + zlib.compress(packed[end]) + line + b"endstream"
+            assert list(decode._pdf_layers(data))[1:] == [packed[end]]
+
+
 def test_pdf_plain_deflated_and_short(spark):
     body = b"BT (Queue Q-1 \\(open\\) at Oak Creek) Tj (Capacity 50 MW and more words) Tj ET"
     plain = b"%PDF\nstream\n" + body + b"\nendstream"
