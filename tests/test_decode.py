@@ -4,6 +4,9 @@ import io
 import zipfile
 import zlib
 
+from pyspark.util import PythonEvalType
+
+from queries import fixtures
 from tidemark.plans.ingest import document_records, extraction_notes, keyed_document_rows
 from tidemark.sources import decode
 
@@ -189,3 +192,11 @@ def test_xlsx_order_across_sheets(spark):
         "xl/worksheets/sheet10.xml",
         "xl/worksheets/sheet2.xml",
     ]
+
+
+def test_fixture_documents_are_packed_row_by_row():
+    """In Arrow batches a worker held 64 MB of documents, workbooks or not."""
+    for packed in (fixtures.zipped_workbook, fixtures.deflated):
+        assert packed.evalType == PythonEvalType.SQL_BATCHED_UDF
+    assert fixtures.zipped_workbook.func(None, "<sst/>") is None
+    assert fixtures.deflated.func(None) is None
