@@ -206,6 +206,25 @@ def test_only_reached_ranges_are_sent(spark):
     assert len(places) <= 5 and places[0] == (0, 0) and places[-1][1] < 5000
 
 
+def test_hot_groups_are_not_sent_by_group(spark):
+    """Rows meet their group's bounds where they are: only rows that are near the limit are shuffled.
+    A group of no more than the limit needs no bounds and stays whole, also that of null."""
+    from tidemark.operators.ranking import cut_ranges, top_per_group
+
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 > 0, "cold").alias("g"),
+        (F.col("id") * 7919 % 100_003).alias("v"),
+    )
+    bounds, _ = cut_ranges(rows, ["g"], F.col("v"), 5000)
+    assert [r.g for r in bounds.collect()] == ["hot"]
+    top = top_per_group(rows, ["g"], [F.col("v")], 5000, "place", measure=F.col("v"))
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted((r.g or "", r["count"]) for r in top.groupBy("g").count().collect()) == [
+        ("", 3000), ("cold", 3000), ("hot", 5000),
+    ]
+
+
 def test_selected_deltas_by_ranges(spark, monkeypatch):
     from tidemark.operators import ranking
 
