@@ -153,3 +153,17 @@ def test_components(spark):
     got = {r.node: r.component for r in out}
     assert len(got) == len(out)
     assert got == {x: label[x] for e in edges for x in e if e[0] != e[1]}
+
+
+def test_workers_take_batches_in_slices():
+    """A batch of Spark's holds up to 64 MB of texts; a worker makes objects of 256 rows at a time."""
+    import pyarrow as pa
+
+    n = 1000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array(range(n)), pa.array([f"some words {i}".encode() for i in range(n)])],
+        names=["doc_id", "mark", "text"],
+    )
+    parts = list(minmax._sign(2)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 256
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(n))

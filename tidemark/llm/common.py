@@ -55,6 +55,18 @@ def crc_bucket(column: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows that a worker takes from a batch at a time.
+SLICE = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices. Spark's batches hold up to 64 MB of texts; what a worker makes of them
+    as Python objects is several times that, and a reused worker keeps much of it."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def batches_of(rows: Iterator[dict], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
     """Rows gathered into Arrow batches of at most `size` rows."""
     held: list[dict] = []

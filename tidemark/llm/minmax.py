@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import sliced, written
 from tidemark.llm.components import components
 
 PERMUTATIONS = 80
@@ -128,7 +128,7 @@ _ARROW = pa.schema(
 def _sign(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingles(words)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, digests, keys = [], [], []
             for raw in batch.column(2).to_pylist():
                 found = cut.of(raw)
@@ -162,7 +162,7 @@ def _confirm(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingles(words)
         last, hub = None, np.empty(0, _U64)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = batch.to_pydict()
             out: list[tuple[int, int]] = []
             for a, b, text_a, text_b in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"], strict=True):

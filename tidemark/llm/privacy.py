@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, joined, written
+from tidemark.llm.common import batches_of, joined, sliced, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: One text says nothing beyond itself: each word that stands in it alone has a disclosure of 1.
@@ -141,7 +141,7 @@ _NOTHING = hashlib.sha256(b"").hexdigest()
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 40
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             spans = sorted(base_spans(text)) if text else []
@@ -162,7 +162,7 @@ def _places(bits: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         return bool(bits[bit >> 3] >> (bit & 7) & 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 wanted = {term for term in set(_TERM.findall(text or "")) if marked(term)}
                 if not wanted:
