@@ -182,3 +182,22 @@ def test_csv_document_with_preamble(spark):
     assert (row.interconnection_queue_id, row.capacity_mw) == ("GI-TC-2024-31", 398)
     assert (row.substation_or_node, row.status, row.fuel_type) == ("Elbert County", "Active", "Solar/Storage")
     assert (row.source_row_number, row.source_header_row_number, row.source_location) == (3, 2, "csv")
+
+
+def test_winners_carry_only_what_is_read(spark):
+    """Rows are sorted and sent with all they hold, source rows too unless told otherwise."""
+    rows = [{"Queue Number": q, "MW": mw, "POI": "n" * int(mw)} for q, mw in (("A", "1"), ("B", "2"), ("A", "3"))]
+    records = from_columns(spark, *rows)
+    whole = rec.build_records(records)
+    few = rec.build_records(records, columns=["status", "record_fingerprint"])
+    assert few.columns == ["source_queue_id", "project_key", "status", "record_fingerprint", "first_seen"]
+    assert sorted(few.collect()) == sorted(whole.select(*few.columns).collect())
+    assert rec.build_records(records, columns=[]).columns == ["source_queue_id", "project_key", "first_seen"]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "partial_max_by" in line]
+    assert sorts and not any("source_row" in line or "review_reasons" in line for line in sorts)
+
+
+def test_a_key_is_known_not_to_be_null(spark):
+    """Else joins ask for keys that are not null, which works every key out twice."""
+    assert not from_columns(spark, QUEUE_ROW).schema["project_key"].nullable
