@@ -138,6 +138,21 @@ def test_history_matches_pairwise_diffs(spark):
     assert got == expected
 
 
+def test_payload_reads_records_once_and_agrees_with_history(spark):
+    """The records of changes meet them by project: one read and one shuffle of whole records."""
+    parts = [snapshot(spark, random_rows(s)).withColumn("snapshot_seq", F.lit(s).cast("bigint")) for s in (1, 2, 3)]
+    records = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    versions = records.select("source_queue_id", "snapshot_seq").distinct()
+    changes = chains.steps(records, versions)
+    shown = ["source_queue_id", "project_key", "snapshot_seq", "delta_type", "changed_fields", "capacity_mw", "status"]
+    got = chains.with_payload(changes, records).select(*shown).collect()
+    assert sorted(got) == sorted(chains.history_deltas(records, versions).select(*shown).collect())
+    assert {r.delta_type for r in got} == {"NEW", "UPDATED", "REMOVED"}
+    stored = spark.createDataFrame(changes.collect(), changes.schema)
+    plan = chains.with_payload(stored, records.coalesce(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition 1,") == 1
+
+
 def test_lookup_joins_keep_the_facts(spark):
     facts = spark.range(500).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source_queue_id"),

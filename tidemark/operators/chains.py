@@ -91,24 +91,30 @@ def steps(index: DataFrame, versions: DataFrame, baseline: bool = False) -> Data
 def with_payload(changes: DataFrame, records: DataFrame) -> DataFrame:
     """The changes with the fields of their records, changed fields and, for removed ones, status.
 
-    Only rows that the changes name are sent: the inner joins let Spark broadcast the changes, or
-    filter the scan of the records by a Bloom filter of them. Both should be stored."""
+    Records meet the changes of their project, so they are sent once, and not at all where Spark
+    broadcasts the changes; of a project that has changed, the row before an updated one is the version
+    before it. Both should be stored."""
     fields = [c for c in records.columns if c not in (*KEYS, SEQ)]
-    told = changes.join(records.withColumnRenamed(SEQ, "at_seq"), [*KEYS, "at_seq"])
-    updated = changes.filter(F.col("delta_type") == UPDATED).select(*KEYS, SEQ)
-    old = records.select(*KEYS, (F.col(SEQ) + 1).alias(SEQ), F.struct(*TRACKED_FIELDS.values()).alias("_prev"))
-    before = old.join(updated, [*KEYS, SEQ])
+    marks = changes.groupBy(*KEYS).agg(F.collect_list(F.struct(SEQ, "delta_type", "at_seq")).alias("_marks"))
+    met = records.withColumnRenamed(SEQ, "at_seq").join(marks, KEYS)
+    needed = F.exists(
+        "_marks",
+        lambda m: (m["at_seq"] == F.col("at_seq"))
+        | ((m["delta_type"] == UPDATED) & (m[SEQ] - 1 == F.col("at_seq"))),
+    )
+    order = Window.partitionBy(*KEYS).orderBy("at_seq")
+    tracked = F.struct(*TRACKED_FIELDS.values())
+    told = met.filter(needed).withColumns({"_prev": F.lag(tracked).over(order), "_cur": tracked})
+    told = told.withColumn(
+        "_mark", F.explode(F.filter("_marks", lambda m: m["at_seq"] == F.col("at_seq")))
+    ).withColumns({SEQ: F.col("_mark")[SEQ], "delta_type": F.col("_mark.delta_type")})
     kind = F.col("delta_type")
     labels = (
         F.when(kind == REMOVED, F.array(F.lit("Status")))
         .when(kind == UPDATED, changed_fields("_prev", "_cur"))
         .otherwise(F.array().cast("array<string>"))
     )
-    rows = (
-        told.join(before, [*KEYS, SEQ], "left")
-        .withColumn("_cur", F.struct(*TRACKED_FIELDS.values()))
-        .withColumn("changed_fields", labels)
-    )
+    rows = told.withColumn("changed_fields", labels)
     return _gone_is_withdrawn(rows).select(*KEYS, SEQ, kind, "changed_fields", *fields)
 
 
